@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollatlas.functions.text import district_key, district_prefix
-from rollatlas.operators.cleaning import is_page_school
+from rollatlas.operators.cleaning import is_page_school, is_strict_school
+from rollatlas.operators.search import locale_key
 from rollatlas.operators.skew import HOT_ROWS, salted_join
 
 CHUNK_ROWS = 4096
@@ -87,7 +88,5 @@ def strict_school_list(linked: DataFrame) -> DataFrame:
 
     A global sort: the range partitioning splits a large district by name.
     """
-    from rollatlas.operators.search import locale_key
-
     kept = linked.filter(is_strict_school())
     return kept.orderBy("district_cds", locale_key("school"), "ord")

@@ -10,10 +10,11 @@ from rollatlas.functions.text import col, trim_blanks
 TOC_DEPTH = 2
 NOTE_LABEL = "Why this is important:"
 
-_FENCE = r"(?ms)^(```|~~~).*?^\1[^\n]*$"
-_BEFORE_HEADING = r"(?m)^(?=#{1,6}[ \t])"
+# (?d): only a line feed ends a line.
+_FENCE = r"(?msd)^(```|~~~).*?^\1[^\n]*$"
+_BEFORE_HEADING = r"(?md)^(?=#{1,6}[ \t])"
 _HEADING = r"\A(#{1,6})[ \t]+([^\n]*)"
-_NOTE = r"(?m)^>[ \t]*\*\*" + NOTE_LABEL + r"\*\*[ \t]*([^\n]*)$"
+_NOTE = r"(?md)^>[ \t]*\*\*" + NOTE_LABEL + r"\*\*[ \t]*([^\n]*)$"
 # First paragraph after the heading line: lines up to a blank or quoted line.
 _PARAGRAPH = r"\A[^\n]*\n\s*((?:(?!>)[^\n]*\S[^\n]*(?:\n|\z))*)"
 
@@ -26,7 +27,7 @@ def heading_slug(text: Column | str) -> Column:
 
 def sections(text: Column | str) -> Column:
     """(depth, text, question, note) of every heading of a document."""
-    plain = F.regexp_replace(F.replace(col(text), F.lit("\r\n"), F.lit("\n")), _FENCE, "")
+    plain = F.regexp_replace(F.regexp_replace(col(text), r"\r\n?", "\n"), _FENCE, "")
     pieces = F.filter(F.split(plain, _BEFORE_HEADING), lambda p: p.rlike(_HEADING))
 
     def section(piece: Column) -> Column:

@@ -27,7 +27,7 @@ from rollatlas.sources.assets import (
 
 def _stage(df: DataFrame, path: str) -> DataFrame:
     write_table(df, path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def build_directory(

@@ -1,0 +1,35 @@
+"""Intermediate tables in a folder every executor can reach.
+
+A table used by several branches of a job is written once and read back: its
+readers get column pruning and filter push-down, and a lost executor does not
+send the job back to the sources.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_SETTING = "spark.checkpoint.dir"
+_local_folder: str | None = None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder; a temporary one only where none is set (local runs)."""
+    global _local_folder
+    named = spark.conf.get(_SETTING, None)
+    if named:
+        return named
+    if _local_folder is None:
+        _local_folder = tempfile.mkdtemp(prefix="rollatlas-")
+    return _local_folder
+
+
+def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet and return the stored table."""
+    spark = df.sparkSession
+    path = f"{folder or shared_folder(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
