@@ -281,7 +281,7 @@ TABLES: dict[str, str] = {
     "known_urls": f"SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url FROM pages",
     "guide_lines": r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS number,
         trim(regexp_extract(line, '^([^.]+)\.', 1)) AS text,
-        nullif(trim(regexp_extract(line, '^[^.]+\.(.*)$', 1)), '') AS question
+        trim('Ask:' || regexp_extract(line, '^[^.]+\.(.*)$', 1)) AS question
         FROM (SELECT doc_id, i, regexp_replace(raw_line, '^[#>~` ]+', '') AS line FROM (
           SELECT doc_id, unnest(string_split(text, chr(10))) AS raw_line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))
         WHERE regexp_matches(line, '^[^.]+\..*$')""",

@@ -18,6 +18,7 @@ from rollatlas.plans import maps, pages, quality
 from rollatlas.schema import DISTRICT_COLUMNS, RAW_COLUMNS, SCHOOL_COLUMNS
 from rollatlas.session import tune
 from rollatlas.sources import assets, directory, geojson
+from rollatlas.sources.layout import spread_scan
 from rollatlas.sources.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,6 +95,14 @@ def _boundaries(spark: SparkSession, folder: str) -> DataFrame:
     return geometry.boundary_rows(_features(spark, folder))
 
 
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spread_scan(S.table(spark, folder, "pages"), "page_id")
+
+
+def _guides(spark: SparkSession, folder: str) -> DataFrame:
+    return S.guides(spread_scan(S.table(spark, folder, "documents"), "doc_id"))
+
+
 def _round_all(df: DataFrame, columns: list[str], places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in columns})
 
@@ -476,40 +485,40 @@ def page_school_chunks(spark, folder):
 @query
 def internal_links(spark, folder):
     """Distinct same-origin links of every page."""
-    return links.internal_links(S.table(spark, folder, "pages"))
+    return links.internal_links(_pages(spark, folder))
 
 
 @query
 def broken_links(spark, folder):
     """Internal links without a page behind them."""
-    p = S.table(spark, folder, "pages")
+    p = _pages(spark, folder)
     return links.broken_links(stage(links.internal_links(p), "links"), p)
 
 
 @query
 def broken_targets(spark, folder):
     """Missing targets by number of linking pages."""
-    p = S.table(spark, folder, "pages")
+    p = _pages(spark, folder)
     return links.broken_targets(links.internal_links(p), p)
 
 
 @query
 def page_link_counts(spark, folder):
     """Internal links per page, at least one expected."""
-    return links.page_link_counts(S.table(spark, folder, "pages"))
+    return links.page_link_counts(_pages(spark, folder))
 
 
 @query
 def guide_outline(spark, folder):
     """Numbered depth-2 headings with their note."""
-    listed = outline.guide_outline(S.guides(spark, folder))
+    listed = outline.guide_outline(_guides(spark, folder))
     return listed.select("doc_id", "number", "text", "question", "note")
 
 
 @query
 def guide_headings(spark, folder):
     """Headings of every guide with unique anchors."""
-    return outline.guide_headings(S.guides(spark, folder)).select("doc_id", "pos", "depth", "slug", "text")
+    return outline.guide_headings(_guides(spark, folder)).select("doc_id", "pos", "depth", "slug", "text")
 
 
 @query

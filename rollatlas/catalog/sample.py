@@ -231,13 +231,13 @@ def boundary_features(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(F.expr("k * 2 + d").alias("pos"), feature.alias("feature"))
 
 
-def guides(spark: SparkSession, folder: str) -> DataFrame:
+def guides(documents: DataFrame) -> DataFrame:
     """Documents as Markdown guides: each line's first sentence becomes a heading.
 
     Markdown marks a line already starts with are taken off first.
     """
     plain = F.regexp_replace("text", r"(?md)^[#>~` ]+", "")
     text = F.regexp_replace(
-        plain, r"(?md)^([^.\n]+)\.([^\n]*)$", "## $1\n$2\n\n> **Why this is important:** $1\n"
+        plain, r"(?md)^([^.\n]+)\.([^\n]*)$", "## $1\nAsk:$2\n\n> **Why this is important:** $1\n"
     )
-    return table(spark, folder, "documents").select("doc_id", text.alias("text"))
+    return documents.select("doc_id", text.alias("text"))

@@ -22,6 +22,7 @@ from rollatlas.functions.text import (
     street_only,
     trim_blanks,
 )
+from rollatlas.operators.arrays import explode_costly
 from rollatlas.operators.skew import HOT_ROWS, salted_join
 from rollatlas.schema import NO_DATA
 
@@ -129,10 +130,8 @@ def attempts(addresses: DataFrame) -> DataFrame:
             attempt(4, "_town", ~F.col("_town").isin([F.col(c) for c in ("_raw", "_full", "_road")])),
         )
     )
-    return with_text.select(
-        *ADDRESS, F.col("_only").alias("target_street"), F.col("_city").alias("target_city"),
-        F.explode(levels).alias("attempt"),
-    ).select(*ADDRESS, "target_street", "target_city", "attempt.level", "attempt.query")
+    target = [F.col("_only").alias("target_street"), F.col("_city").alias("target_city")]
+    return explode_costly(with_text, [*ADDRESS, *target], levels, "attempt").select(*ADDRESS, "target_street", "target_city", "attempt.level", "attempt.query")
 
 
 def top_candidates(gazetteer: DataFrame, cap: int = SEARCH_CAP) -> DataFrame:

@@ -13,6 +13,7 @@ from rollatlas.functions.urls import (
     strip_fragment,
     url_origin,
 )
+from rollatlas.operators.arrays import explode_costly
 from rollatlas.operators.skew import HOT_ROWS, salted_join
 
 _ANCHOR = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
@@ -43,7 +44,8 @@ def _own_links(pages: DataFrame, base_origin: str | None) -> DataFrame:
     home = F.lit(base_origin) if base_origin else F.col("_base.origin")
     absolute = F.transform("_hrefs", lambda href: resolve_url(href, "_base"))
     located = based.select("page_id", home.alias("_home"), absolute.alias("_links"))
-    own = F.filter("_links", lambda link: url_origin(link) == F.col("_home"))
+    # Resolved links start with their normalized origin.
+    own = F.filter("_links", lambda link: F.regexp_extract(link, "^(https?://[^/]*)", 1) == F.col("_home"))
     return located.select("page_id", F.array_distinct(own).alias("links"))
 
 
@@ -52,7 +54,7 @@ def internal_links(pages: DataFrame, base_origin: str | None = None) -> DataFram
 
     Same origin means the page's own, or ``base_origin`` when given.
     """
-    return _own_links(pages, base_origin).select("page_id", F.explode("links").alias("link"))
+    return explode_costly(_own_links(pages, base_origin), ["page_id"], "links", "link")
 
 
 def page_link_counts(pages: DataFrame, base_origin: str | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollatlas.functions.text import col, trim_blanks
+from rollatlas.operators.arrays import posexplode_costly
 
 TOC_DEPTH = 2
 NOTE_LABEL = "Why this is important:"
@@ -49,7 +50,7 @@ def guide_headings(guides: DataFrame, text: str = "text") -> DataFrame:
 
     A repeated anchor within a guide gets -1, -2, ... in order.
     """
-    found = guides.select("doc_id", F.posexplode(sections(text)).alias("pos", "_section"))
+    found = posexplode_costly(guides, ["doc_id"], sections(text), "pos", "_section")
     rows = found.select("doc_id", "pos", "_section.*").withColumn("_anchor", heading_slug("text"))
     seen = F.row_number().over(Window.partitionBy("doc_id", "_anchor").orderBy("pos")) - 1
     anchor = F.when(seen == 0, F.col("_anchor")).otherwise(F.concat_ws("-", "_anchor", seen.cast("string")))
@@ -59,7 +60,7 @@ def guide_headings(guides: DataFrame, text: str = "text") -> DataFrame:
 def guide_outline(guides: DataFrame, text: str = "text") -> DataFrame:
     """Numbered depth-2 headings of every guide (F14, W7), without a shuffle."""
     top = F.filter(sections(text), lambda s: s["depth"] == TOC_DEPTH)
-    listed = guides.select("doc_id", F.posexplode(top).alias("_pos", "_section"))
+    listed = posexplode_costly(guides, ["doc_id"], top, "_pos", "_section")
     return listed.select(
         "doc_id",
         (F.col("_pos") + 1).alias("number"),

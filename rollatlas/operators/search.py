@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollatlas.functions.display import page_path
 from rollatlas.functions.text import col
+from rollatlas.operators.arrays import explode_costly
 from rollatlas.operators.ranking import top_k
 from rollatlas.operators.skew import HOT_ROWS, salted_join
 from rollatlas.schema import ACTIVE
@@ -57,10 +58,11 @@ def search_many(
 
     sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
     pieces = F.flatten(F.transform(sizes, lambda n: _grams(F.col("_name"), n)))
-    postings = names.select("ord", "cds_code", "district", "slug", "_name", F.explode(pieces).alias("_piece"))
+    kept = ["ord", "cds_code", "district", "slug", "_name"]
+    postings = explode_costly(names, kept, pieces, "_piece")
 
     size = F.least(F.length("_wanted"), F.lit(GRAM))
-    needed = wanted.select("term", "_wanted", F.explode(_grams(F.col("_wanted"), size)).alias("_piece"))
+    needed = explode_costly(wanted, ["term", "_wanted"], _grams(F.col("_wanted"), size), "_piece")
     frequency = postings.groupBy("_piece").agg(F.count(F.lit(1)).alias("_names"))
     # A piece no name has rules its term out: count it as zero and let it win.
     weighed = salted_join(needed, frequency, ["_piece"], "left", ["term"], hot_rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollatlas.functions import display as D
 from rollatlas.functions.text import district_key, or_default, present
+from rollatlas.operators.arrays import posexplode_costly
 from rollatlas.operators.cleaning import is_page_school
 from rollatlas.operators.linking import CHUNK_ROWS, chunk_by_key
 from rollatlas.operators.ranking import first_per_key
@@ -114,5 +115,5 @@ def district_details(districts: DataFrame) -> DataFrame:
             "Website": "website",
         }
     )
-    listed = districts.select("cds_code", F.posexplode(entries).alias("position", "_entry"))
+    listed = posexplode_costly(districts, ["cds_code"], entries, "position", "_entry")
     return listed.select("cds_code", "position", "_entry.label", "_entry.value")

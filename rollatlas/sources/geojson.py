@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollatlas.operators.arrays import posexplode_costly
 from rollatlas.sources.directory import read_lines
 
 
@@ -23,7 +24,7 @@ def explode_collections(documents: DataFrame, text: str = "document") -> DataFra
     features = F.when(valid, F.col("_document.features")).otherwise(
         F.raise_error(wrong).cast("array<string>")
     )
-    listed = read.select("ord", F.posexplode(features).alias("_index", "feature"))
+    listed = posexplode_costly(read, ["ord"], features, "_index", "feature")
     return listed.select(F.struct("ord", "_index").alias("pos"), "feature")
 
 

@@ -1,0 +1,16 @@
+"""Row layout of scans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_scan(scan: DataFrame, key: str) -> DataFrame:
+    """Spread a scan over the cores when it comes in fewer pieces than there are cores.
+
+    For work that is heavy per row. A scan of many blocks, the normal case on a
+    cluster, is returned as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    pieces = scan.rdd.getNumPartitions()
+    return scan.repartition(cores, key) if pieces < cores else scan
