@@ -23,6 +23,7 @@ from rollatlas.functions.text import (
     trim_blanks,
 )
 from rollatlas.operators.arrays import explode_costly
+from rollatlas.operators.ranking import first_per_key, top_k
 from rollatlas.operators.skew import HOT_ROWS, salted_join
 from rollatlas.schema import NO_DATA
 
@@ -135,8 +136,11 @@ def attempts(addresses: DataFrame) -> DataFrame:
 
 
 def top_candidates(gazetteer: DataFrame, cap: int = SEARCH_CAP) -> DataFrame:
-    """Per query, the candidates up to the cap in rank order (W5). Arrays hold at most ``cap`` items."""
-    kept = gazetteer.filter(F.col("rank") <= cap)
+    """Per query, the first ``cap`` candidates in rank order.
+
+    Cut per task before the shuffle, so an array never holds more than ``cap`` items.
+    """
+    kept = top_k(gazetteer.filter(F.col("rank") <= cap), ["query"], ["rank"], cap)
     item = F.struct(*_CANDIDATE_FIELDS)
     return kept.groupBy("query").agg(F.sort_array(F.collect_list(item)).alias("candidates"))
 
@@ -235,7 +239,7 @@ def fill_from_address(
     """
     missing = F.col("lat").isNull() | F.col("lon").isNull()
     known, lacking = records.filter(~missing), records.filter(missing)
-    first = gazetteer.filter(F.col("rank") == 1).select(
+    first = first_per_key(gazetteer.filter(F.col("rank") == 1), ["query"], ["rank"]).select(
         F.col("query").alias(address),
         parse_float("lat").alias("_lat"),
         parse_float("lon").alias("_lon"),

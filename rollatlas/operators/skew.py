@@ -1,9 +1,13 @@
 """Equi-joins that stay balanced when one key holds a large share of the rows.
 
-The fact rows of the most frequent keys get a salt, and only those keys' rows on
-the other side are repeated once per salt. The list of such keys is at most
-``MAX_HOT_KEYS`` long, so it may be broadcast whatever the data size; every row
-is kept and the result is that of the plain join.
+The fact rows of each frequent key are split over as many salts as it takes to
+bring a (key, salt) pair down to about ``hot_rows`` rows, and that key's rows on the
+other side are repeated once per salt. So the repetition adds at most one row per
+``hot_rows`` fact rows, whatever the skew. Every row is kept and the result is that
+of the plain join.
+
+The list of frequent keys is broadcast; it never exceeds ``MAX_HOT_KEYS`` rows. A
+key that does not make the list holds less than 1 / MAX_HOT_KEYS of all rows.
 """
 
 from __future__ import annotations
@@ -11,25 +15,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 256
 HOT_ROWS = 1_000_000
-SALTS = 256
+MAX_HOT_KEYS = 100_000
 
 _SALT = "_salt"
-_HOT = "_hot"
+_SALTS = "_salts"
 
 
 def hot_keys(
     facts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS
 ) -> DataFrame:
-    """The most frequent keys with at least ``hot_rows`` rows, never more than ``max_keys``.
+    """The most frequent keys with more than ``hot_rows`` rows and their number of salts.
 
     Reads the key columns only and combines before the shuffle.
     """
     counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    frequent = counts.filter(F.col("_rows") >= hot_rows)
+    frequent = counts.filter(F.col("_rows") > hot_rows)
     ranked = frequent.orderBy(F.col("_rows").desc(), *keys).limit(max_keys)
-    return ranked.select(*keys, F.lit(True).alias(_HOT))
+    return ranked.select(*keys, F.ceil(F.col("_rows") / hot_rows).cast("int").alias(_SALTS))
 
 
 def salted_join(
@@ -39,7 +42,6 @@ def salted_join(
     how: str,
     spread: list[str],
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join ``facts`` (any key frequency) to ``dims`` (at most a few rows per key).
 
@@ -50,13 +52,12 @@ def salted_join(
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join does not support how={how!r}")
     hot = F.broadcast(hot_keys(facts, keys, hot_rows))
-    own_salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_facts = facts.join(hot, keys, "left").withColumn(
-        _SALT, F.when(F.col(_HOT), own_salt).otherwise(F.lit(0))
+    salts = F.coalesce(_SALTS, F.lit(1))
+    own_salt = F.pmod(F.xxhash64(*spread), salts).cast("int")
+    salted_facts = facts.join(hot, keys, "left").withColumn(_SALT, own_salt).drop(_SALTS)
+    salted_dims = (
+        dims.join(hot, keys, "left")
+        .withColumn(_SALT, F.explode(F.sequence(F.lit(0), salts - 1)))
+        .drop(_SALTS)
     )
-    salted_dims = dims.join(hot, keys, "left").withColumn(
-        _SALT, F.explode(F.when(F.col(_HOT), every_salt).otherwise(F.array(F.lit(0))))
-    )
-    joined = salted_facts.drop(_HOT).join(salted_dims.drop(_HOT), [*keys, _SALT], how)
-    return joined.drop(_SALT)
+    return salted_facts.join(salted_dims, [*keys, _SALT], how).drop(_SALT)
