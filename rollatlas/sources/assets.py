@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +12,8 @@ from rollatlas.schema import DISTRICT_COLUMNS, HEADER_OF, SCHOOL_COLUMNS
 
 def output_complete(spark: SparkSession, path: str) -> bool:
     """True when a Spark job has committed its output under ``path``."""
-    try:
-        return bool(spark.read.format("binaryFile").load(f"{path}/_SUCCESS").take(1))
-    except AnalysisException:
-        return False
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
 
 
 def outputs_complete(spark: SparkSession, paths: list[str]) -> bool:
