@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from rollatlas.functions.coordinates import valid_for_ingest
 from rollatlas.functions.numbers import parse_float
 from rollatlas.functions.text import (
-    col,
     count_values,
     has_value,
     join_values,
@@ -87,34 +86,23 @@ def best_candidate(candidates: Column, street: Column, city: Column) -> Column:
 def attempts(addresses: DataFrame) -> DataFrame:
     """Distinct addresses to their queries, one row per level that applies."""
     street, city, state = (F.col(c) for c in ADDRESS)
-    parts = (
-        addresses.withColumn("_norm", normalize_street(street))
-        .withColumn("_only", street_only("_norm"))
-        .withColumn("_city", trim_blanks(city))
-        .withColumn("_state", trim_blanks(state))
-    )
-    raw_text = join_values(street, city, state)
-    with_text = (
-        parts.withColumn("_raw", raw_text)
-        .withColumn(
-            "_full",
-            F.when(
-                count_values("_norm", "_city", "_state") >= 2, join_values("_norm", "_city", "_state")
-            ).otherwise(""),
-        )
-        .withColumn(
-            "_road",
-            F.when(
-                present("_only") & has_value("_city"), join_values("_only", "_city", "_state")
-            ).otherwise(""),
-        )
-        .withColumn(
-            "_town",
-            F.when(
-                has_value("_city") & (F.col("_state") == HOME_STATE),
-                F.concat_ws(", ", "_city", "_state"),
+    # Stored step by step: later texts use earlier ones several times.
+    parts = addresses.select(
+        *ADDRESS,
+        normalize_street(street).alias("_norm"),
+        trim_blanks(city).alias("_city"),
+        trim_blanks(state).alias("_state"),
+    ).withColumn("_only", street_only("_norm"))
+    full, road = ("_norm", "_city", "_state"), ("_only", "_city", "_state")
+    with_text = parts.withColumns(
+        {
+            "_raw": join_values(street, city, state),
+            "_full": F.when(count_values(*full) >= 2, join_values(*full)).otherwise(""),
+            "_road": F.when(present("_only") & has_value("_city"), join_values(*road)).otherwise(""),
+            "_town": F.when(
+                has_value("_city") & (F.col("_state") == HOME_STATE), F.concat_ws(", ", "_city", "_state")
             ).otherwise(""),
-        )
+        }
     )
 
     def attempt(level: int, query: str, applies: Column) -> Column:
@@ -155,14 +143,12 @@ def attempt_results(tried: DataFrame, gazetteer: DataFrame, hot_rows: int = HOT_
         F.col("level") == 3,
         best_candidate(F.col("candidates"), F.col("target_street"), F.col("target_city")),
     ).otherwise(F.struct(first["lat"].alias("lat"), first["lon"].alias("lon")))
-    return (
-        found.withColumn("_picked", picked)
-        .filter(present(F.col("_picked.lat")) & present(F.col("_picked.lon")))
-        .withColumn("lat", parse_float("_picked.lat"))
-        .withColumn("lon", parse_float("_picked.lon"))
-        .filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .select(*ADDRESS, "level", "query", "lat", "lon")
+    read = found.select(*ADDRESS, "level", "query", picked.alias("_picked")).select(
+        *ADDRESS, "level", "query",
+        parse_float("_picked.lat").alias("lat"), parse_float("_picked.lon").alias("lon"),
     )
+    # Empty text reads as null, so this also drops candidates without coordinates.
+    return read.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
 def resolve_addresses(
@@ -192,30 +178,33 @@ def geocode(records: DataFrame, gazetteer: DataFrame, hot_rows: int = HOT_ROWS)
     geocode_tried and numeric lat / lon. A failure sets both texts to the sentinel.
     """
     good = records.filter(~needs_geocoding())
-    bad = records.filter(needs_geocoding())
-    for c in ADDRESS:
-        bad = bad.withColumn(c, F.coalesce(c, F.lit("")))
+    bad = records.filter(needs_geocoding()).withColumns(
+        {c: F.coalesce(c, F.lit("")) for c in ADDRESS}
+    )
     found = resolve_addresses(bad.select(*ADDRESS).distinct(), gazetteer, hot_rows)
-    repaired = salted_join(bad, found, ADDRESS, "left", ["ord"], hot_rows)
+    joined = salted_join(bad, found, ADDRESS, "left", ["ord"], hot_rows)
     hit = F.col("_level").isNotNull()
-    repaired = (
-        repaired.withColumn("latitude", F.when(hit, F.col("_lat").cast("string")).otherwise(NO_DATA))
-        .withColumn("longitude", F.when(hit, F.col("_lon").cast("string")).otherwise(NO_DATA))
-        .withColumn("geocode_level", F.coalesce("_level", F.lit(0)))
-        .withColumn("geocode_ok", hit)
-        .withColumn("geocode_fallback", F.coalesce(F.col("_level") > 1, F.lit(False)))
-        .withColumn("geocode_tried", F.lit(True))
-        .withColumn("lat", F.col("_lat"))
-        .withColumn("lon", F.col("_lon"))
-        .drop("_level", "_lat", "_lon")
-    )
-    untouched = (
-        good.withColumn("geocode_level", F.lit(0))
-        .withColumn("geocode_ok", F.lit(False))
-        .withColumn("geocode_fallback", F.lit(False))
-        .withColumn("geocode_tried", F.lit(False))
-        .withColumn("lat", parse_float("latitude"))
-        .withColumn("lon", parse_float("longitude"))
+    repaired = joined.withColumns(
+        {
+            "latitude": F.when(hit, F.col("_lat").cast("string")).otherwise(NO_DATA),
+            "longitude": F.when(hit, F.col("_lon").cast("string")).otherwise(NO_DATA),
+            "geocode_level": F.coalesce("_level", F.lit(0)),
+            "geocode_ok": hit,
+            "geocode_fallback": F.coalesce(F.col("_level") > 1, F.lit(False)),
+            "geocode_tried": F.lit(True),
+            "lat": F.col("_lat"),
+            "lon": F.col("_lon"),
+        }
+    ).drop("_level", "_lat", "_lon")
+    untouched = good.withColumns(
+        {
+            "geocode_level": F.lit(0),
+            "geocode_ok": F.lit(False),
+            "geocode_fallback": F.lit(False),
+            "geocode_tried": F.lit(False),
+            "lat": parse_float("latitude"),
+            "lon": parse_float("longitude"),
+        }
     )
     return untouched.unionByName(repaired)
 

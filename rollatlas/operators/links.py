@@ -11,7 +11,6 @@ from rollatlas.functions.urls import (
     page_base,
     resolve_url,
     strip_fragment,
-    url_origin,
 )
 from rollatlas.operators.arrays import explode_costly
 from rollatlas.operators.skew import HOT_ROWS, salted_join

@@ -18,10 +18,18 @@ from pyspark.sql import functions as F
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 
+# Below this estimated size all rows of a table fit one task, so no key needs a split.
+SMALL_BYTES = 64 << 20
+
 _SALT = "_salt"
 _SALTS = "_salts"
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate, which starts from the real file sizes. Runs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def hot_keys(
     facts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS
 ) -> DataFrame:
@@ -42,15 +50,21 @@ def salted_join(
     how: str,
     spread: list[str],
     hot_rows: int = HOT_ROWS,
+    small_bytes: int | None = None,
 ) -> DataFrame:
     """Join ``facts`` (any key frequency) to ``dims`` (at most a few rows per key).
 
     ``how`` is inner, left, left_semi or left_anti. ``spread`` names fact columns
     that differ between rows of one key; the salt is their hash, so a task that is
-    run again gives its rows the same salts.
+    run again gives its rows the same salts. Facts below ``small_bytes`` are joined
+    without salts; an explicit ``hot_rows`` other than the default always salts.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salted_join does not support how={how!r}")
+    if small_bytes is None:
+        small_bytes = SMALL_BYTES if hot_rows == HOT_ROWS else 0
+    if small_bytes and estimated_bytes(facts) < small_bytes:
+        return facts.join(dims, keys, how)
     hot = F.broadcast(hot_keys(facts, keys, hot_rows))
     salts = F.coalesce(_SALTS, F.lit(1))
     own_salt = F.pmod(F.xxhash64(*spread), salts).cast("int")
