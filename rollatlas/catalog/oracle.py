@@ -393,6 +393,7 @@ def _queries() -> dict[str, str]:
             LEFT JOIN (SELECT district_cds, count(*) AS n FROM links WHERE link_status <> 'bad_prefix' AND {PAGE_SCHOOL} GROUP BY 1) c
             ON c.district_cds = d.cds_code""",
         "school_links": "SELECT ord, cds_code, district_cds, link_status FROM links",
+        "link_sample": "SELECT ord, cds_code, district_cds, link_status FROM links ORDER BY ord LIMIT 5",
         "orphan_schools": "SELECT ord, cds_code, school, link_status FROM links WHERE link_status <> 'linked'",
         "strict_school_list": """SELECT district_cds, cds_code, school, ord FROM linked WHERE status = 'Active' AND public_yes_no = 'Y'
             AND lower(educational_program_type) <> 'homeschool' AND lower(school) <> 'homeschool'

@@ -13,7 +13,7 @@ from rollatlas.functions import coordinates as K
 from rollatlas.functions import display as D
 from rollatlas.functions import text as X
 from rollatlas.functions.numbers import parse_float
-from rollatlas.operators import cleaning, geocode, geometry, linking, links, outline, search
+from rollatlas.operators import cleaning, geocode, geometry, linking, links, outline, ranking, search
 from rollatlas.plans import maps, pages, quality
 from rollatlas.schema import DISTRICT_COLUMNS, RAW_COLUMNS, SCHOOL_COLUMNS
 from rollatlas.session import tune
@@ -189,6 +189,14 @@ def school_links(spark, folder):
     return status.select("ord", "cds_code", "district_cds", "link_status")
 
 
+@query
+def link_sample(spark, folder):
+    """First five schools with their link status, for inspection."""
+    t = Tables(spark, folder)
+    status = linking.link_status(t.schools, t.districts)
+    return ranking.first_rows(status, ["ord"], 5).select("ord", "cds_code", "district_cds", "link_status")
+
+
 @query
 def orphan_schools(spark, folder):
     """Schools without a district, with the reason."""

@@ -48,24 +48,31 @@ def parse_features(features: DataFrame, feature: str = "feature", id_property: s
         F.get_json_object(text, "$.geometry.type").alias("geom_type"),
         F.get_json_object(text, "$.geometry.coordinates").alias("_coordinates"),
         F.get_json_object(text, "$.properties").alias("properties"),
+        F.get_json_object(text, "$.geometry").alias("geometry"),
     ).select(
-        "pos", "boundary_id", "geom_type", "properties",
+        "pos", "boundary_id", "geom_type", "properties", "geometry",
         lift_coordinates("geom_type", "_coordinates").alias("polygons"),
     )
 
 
-def boundary_rows(features: DataFrame) -> DataFrame:
+def boundary_rows(features: DataFrame, keep_unsupported: bool = True) -> DataFrame:
     """Features with an id, last one per file key, in degrees.
 
-    Types other than polygons keep their coordinates and are flagged.
+    Types other than polygons are flagged; they keep their coordinates, or lose them
+    when ``keep_unsupported`` is off. Their geometry text is kept as it was read.
     """
     keyed = features.filter(present("boundary_id")).withColumn(
         "boundary_key", sanitize_key("boundary_id")
     )
     kept = last_per_key(keyed, ["boundary_key"], ["pos"])
     area = F.coalesce(F.col("geom_type").isin(*AREA_TYPES), F.lit(False))
-    return kept.withColumn("reprojected", area).withColumn(
-        "polygons", F.when(area, reproject_polygons("polygons")).otherwise(F.col("polygons"))
+    other = F.when(F.lit(keep_unsupported), F.col("polygons"))
+    return kept.withColumns(
+        {
+            "reprojected": area,
+            "polygons": F.when(area, reproject_polygons("polygons")).otherwise(other),
+            "geometry": F.when(~area, F.col("geometry")),
+        }
     )
 
 

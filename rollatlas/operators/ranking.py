@@ -19,6 +19,11 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column | str], k: int) ->
     return ranked.filter(F.col(_RANK) <= k).drop(_RANK)
 
 
+def first_rows(df: DataFrame, order: list[Column | str], n: int) -> DataFrame:
+    """First ``n`` rows in the given order, for inspection."""
+    return df.orderBy(*order).limit(n)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     return top_k(df, keys, order, 1)
 

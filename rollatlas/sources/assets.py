@@ -47,17 +47,15 @@ def page_params(districts: DataFrame) -> DataFrame:
 
 def boundary_features(boundaries: DataFrame) -> DataFrame:
     """One standalone feature per boundary key, as compact JSON text."""
-    lifted = F.col("polygons")
-    single = F.get(lifted, F.lit(0))
-    coordinates = (
-        F.when(F.col("geom_type") == "MultiPolygon", F.to_json(lifted))
-        .when(F.col("geom_type").isin("Polygon", "MultiLineString"), F.to_json(single))
-        .when(F.col("geom_type").isin("LineString", "MultiPoint"), F.to_json(F.get(single, F.lit(0))))
-        .when(F.col("geom_type") == "Point", F.to_json(F.get(F.get(single, F.lit(0)), F.lit(0))))
+    polygons = F.col("polygons")
+    coordinates = F.when(F.col("geom_type") == "MultiPolygon", F.to_json(polygons)).otherwise(
+        F.to_json(F.get(polygons, F.lit(0)))
     )
-    geometry = F.concat(
+    drawn = F.concat(
         F.lit('{"type":"'), F.col("geom_type"), F.lit('","coordinates":'), coordinates, F.lit("}")
     )
+    # Other types go out as they came in.
+    geometry = F.when(F.col("reprojected"), drawn).otherwise(F.col("geometry"))
     feature = F.concat(
         F.lit('{"type":"Feature","properties":'),
         F.coalesce("properties", F.lit("null")),

@@ -28,8 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet and return the stored table."""
+    """Write ``df`` as Parquet and return the stored table.
+
+    All tables of an application lie in one folder, to be removed with it.
+    """
     spark = df.sparkSession
-    path = f"{folder or shared_folder(spark)}/stage-{uuid.uuid4().hex}/{name}"
+    root = f"{folder or shared_folder(spark)}/rollatlas-{spark.sparkContext.applicationId}"
+    path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from rollatlas.operators import geometry as M
 from rollatlas.sources import geojson
@@ -26,6 +25,8 @@ FEATURES = [
     feature("03", "Point", [5.5, 6.5]),
     feature("04", "LineString", [[1, 2], [3, 4]]),
     feature("05", "Polygon", []),
+    {"type": "Feature", "id": 9, "properties": {"CDSCode": "06"}, "geometry": {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 2]}]}},
+    {"type": "Feature", "properties": {"CDSCode": "07"}, "geometry": None},
 ]
 
 
@@ -42,7 +43,7 @@ def collection(spark, tmp_path_factory):
 
 def test_boundaries(collection):
     got = {r["boundary_key"]: r for r in M.boundary_rows(M.parse_features(collection)).collect()}
-    assert sorted(got) == ["01", "02_x", "03", "04", "05"]
+    assert sorted(got) == ["01", "02_x", "03", "04", "05", "06", "07"]
     assert json.loads(got["01"]["properties"])["note"] == "later"
     assert len(got["01"]["polygons"][0][0]) == 2
     lon, lat = got["01"]["polygons"][0][0][0]
@@ -50,6 +51,8 @@ def test_boundaries(collection):
     assert [len(p[0]) for p in got["02_x"]["polygons"]] == [4, 3]
     assert not got["03"]["reprojected"] and got["03"]["polygons"] == [[[[5.5, 6.5]]]]
     assert got["04"]["polygons"] == [[[[1.0, 2.0], [3.0, 4.0]]]]
+    strict = M.boundary_rows(M.parse_features(collection), keep_unsupported=False)
+    assert [r["boundary_key"] for r in strict.filter("polygons IS NULL").orderBy("boundary_key").collect()] == ["03", "04", "06", "07"]
 
 
 def test_extent(collection):
@@ -130,14 +133,15 @@ def test_feature_output(spark, tmp_path, collection):
     one = read_one_key(spark, f"{tmp_path}/boundaries", "boundary_key", "02_x", buckets=8)
     assert [r["boundary_id"] for r in one.collect()] == ["02/x"]
     written = spark.read.json(f"{tmp_path}/boundary_features").collect()
-    assert len(written) == 5
+    assert len(written) == 7
     kinds = {}
     for r in written:
         f = json.loads(r["feature"])
-        kinds[r["boundary_key"]] = (f["type"], f["geometry"]["type"], f["geometry"]["coordinates"])
+        g = f["geometry"] or {}
+        kinds[r["boundary_key"]] = (f["type"], g.get("type"), g.get("coordinates") or g.get("geometries"))
     assert kinds["03"] == ("Feature", "Point", [5.5, 6.5])
-    assert kinds["05"] == ("Feature", "Polygon", [])
+    assert kinds["05"] == ("Feature", "Polygon", None)
+    assert kinds["06"] == ("Feature", "GeometryCollection", [{"type": "Point", "coordinates": [1, 2]}])
+    assert kinds["07"] == ("Feature", None, None)
     assert len(kinds["02_x"][2]) == 2 and len(kinds["01"][2][0]) == 2
 
-
-_ = F
