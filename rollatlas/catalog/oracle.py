@@ -243,8 +243,8 @@ TABLES: dict[str, str] = {
     "placed_s": _placed("schools", "results_s"),
     "map_gaz": f"""SELECT query, concat(35 + k % 3, '.', {S.digits('k % 1000', 3)}) AS lat,
         concat('-', 117 + k % 3, '.', {S.digits('k % 1000', 3)}) AS lon FROM (
-        SELECT concat(street_address, ', ', street_city, ', ', street_state, ' ', street_zip) AS query, min(k) AS k
-        FROM (SELECT *, CAST(ord / 2 AS BIGINT) AS k FROM raw_d WHERE ord % 2 = 0) WHERE k % 3 <> 1 GROUP BY 1)""",
+        SELECT query, min(k) AS k FROM (SELECT k, unnest([{', '.join(S.MAP_QUERIES)}]) AS query
+          FROM (SELECT *, CAST(ord / 2 AS BIGINT) AS k FROM raw_d WHERE ord % 2 = 0) WHERE k % 3 <> 1) GROUP BY 1)""",
     "offices": f"""SELECT p.cds_code, p.district, p.address,
         CASE WHEN p.ok THEN p.lat WHEN p.address <> 'Address Not Available' THEN {number('g.lat')} END AS lat,
         CASE WHEN p.ok THEN p.lon WHEN p.address <> 'Address Not Available' THEN {number('g.lon')} END AS lon
@@ -441,6 +441,29 @@ def _queries() -> dict[str, str]:
         "school_markers": "SELECT district_cds, ord, cds_code, lat, lon, popup FROM school_points",
         "school_marker_cells": _cluster("school_points", "district_cds"),
         "district_map_view": _map_view(),
+        "card_map_view": f"""SELECT cds_code, district, CASE WHEN b_lat IS NOT NULL THEN 'boundary' WHEN lat IS NOT NULL AND lon IS NOT NULL THEN 'point'
+            WHEN g_lat IS NOT NULL THEN 'address' ELSE 'none' END AS view,
+            round(b_lat, 6) AS min_lat, round(b_lon, 6) AS min_lon, round(c_lat, 6) AS max_lat, round(c_lon, 6) AS max_lon,
+            CASE WHEN b_lat IS NULL THEN CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lat ELSE g_lat END END AS centre_lat,
+            CASE WHEN b_lat IS NULL THEN CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN lon ELSE g_lon END END AS centre_lon,
+            CASE WHEN b_lat IS NOT NULL THEN NULL WHEN lat IS NOT NULL AND lon IS NOT NULL THEN 13 WHEN g_lat IS NOT NULL THEN 15 END AS zoom
+            FROM (SELECT p.cds_code, p.district, p.lat, p.lon, b.min_lat AS b_lat, b.min_lon AS b_lon, b.max_lat AS c_lat, b.max_lon AS c_lon,
+              {number('g.lat')} AS g_lat, {number('g.lon')} AS g_lon
+              FROM (SELECT *, {joined(*STREET)} AS address FROM placed_d) p
+              LEFT JOIN (SELECT x.* FROM boxes x JOIN kept_features f ON f.boundary_key = x.boundary_key WHERE f.geom_type <> 'Point') b ON b.boundary_key = p.cds_code
+              LEFT JOIN map_gaz g ON g.query = p.address AND p.address <> '') v""",
+        "overview_map_view": f"""SELECT cds_code, district, CASE WHEN e1 IS NOT NULL THEN 'bounds' WHEN g_lat IS NOT NULL THEN 'name' ELSE 'default' END AS view,
+            round(e1, 6) AS min_lat, round(e2, 6) AS min_lon, round(e3, 6) AS max_lat, round(e4, 6) AS max_lon,
+            CASE WHEN e1 IS NULL THEN coalesce(g_lat, 36.7783::DOUBLE) END AS centre_lat, CASE WHEN e1 IS NULL THEN coalesce(g_lon, -119.4179::DOUBLE) END AS centre_lon,
+            CASE WHEN e1 IS NOT NULL THEN NULL WHEN g_lat IS NOT NULL THEN 10 ELSE 6 END AS zoom
+            FROM (SELECT p.cds_code, p.district, {number('g.lat')} AS g_lat, {number('g.lon')} AS g_lon,
+              least(b.min_lat, p.o_lat, s.min_lat) AS e1, least(b.min_lon, p.o_lon, s.min_lon) AS e2,
+              greatest(b.max_lat, p.o_lat, s.max_lat) AS e3, greatest(b.max_lon, p.o_lon, s.max_lon) AS e4
+              FROM (SELECT *, CASE WHEN {bounded('lat', 'lon')} THEN lat END AS o_lat, CASE WHEN {bounded('lat', 'lon')} THEN lon END AS o_lon FROM placed_d) p
+              LEFT JOIN boxes b ON b.boundary_key = p.cds_code
+              LEFT JOIN (SELECT district_cds, min(lat) AS min_lat, min(lon) AS min_lon, max(lat) AS max_lat, max(lon) AS max_lon FROM school_points GROUP BY 1) s
+                ON s.district_cds = p.cds_code
+              LEFT JOIN map_gaz g ON g.query = p.district || ', California') v""",
         "district_pages": f"""SELECT d.slug, d.cds_code, {default('district', 'Unknown District')} || ' - District Details' AS title,
             'Information and schools for ' || {default('district', 'Unknown District')} || ' in ' || {default('county', 'California')} ||
             '. View address, website, grades, and map.' AS description, {default('district', 'Unknown District')} AS name,

@@ -459,6 +459,24 @@ def district_map_view(spark, folder):
     return _round_all(view, geometry.BOX_FIELDS)
 
 
+@query
+def card_map_view(spark, folder):
+    """First view of the older card map (P5, second policy)."""
+    t = Tables(spark, folder)
+    view = maps.card_map_view(t.placed_districts, _boundaries(spark, folder), S.map_gazetteer(spark, folder))
+    return _round_all(view, geometry.BOX_FIELDS)
+
+
+@query
+def overview_map_view(spark, folder):
+    """First view of the older overview map (P5, third policy)."""
+    t = Tables(spark, folder)
+    view = maps.overview_map_view(
+        t.placed_districts, t.placed_linked, _boundaries(spark, folder), S.map_gazetteer(spark, folder)
+    )
+    return _round_all(view, geometry.BOX_FIELDS)
+
+
 # Pages -----------------------------------------------------------------------------------
 
 

@@ -93,6 +93,13 @@ CANDIDATE_KIND = {
       WHEN 4 THEN 'school' ELSE 'service' END""",
 }
 
+# Texts the map looks up: address in map form, flat address, district name.
+MAP_QUERIES = [
+    "concat(street_address, ', ', street_city, ', ', street_state, ' ', street_zip)",
+    "concat(street_address, ', ', street_city, ', ', street_state, ', ', street_zip)",
+    "concat(district, ', California')",
+]
+
 # Boundaries: x, y and side of the square drawn for key k, in web-mercator metres.
 SQUARE_X = "(-13600000 + (k % 1000) * 1000 + d * 500)"
 SQUARE_Y = "(3900000 + (k % 777) * 1000 + d * 500)"
@@ -191,13 +198,11 @@ def gazetteer(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def map_gazetteer(spark: SparkSession, folder: str) -> DataFrame:
-    """First candidate for full map addresses of some districts."""
+    """First candidate for the full addresses and the names of some districts."""
     known = raw_districts(spark, folder).filter("ord % 2 = 0")
-    address = (
-        "concat(street_address, ', ', street_city, ', ', street_state, ' ', street_zip)"
-    )
     rows = known.withColumn("k", F.expr("CAST(ord / 2 AS BIGINT)")).filter("k % 3 <> 1")
-    return rows.groupBy(F.expr(address).alias("query")).agg(F.min("k").alias("k")).select(
+    asked = rows.select("k", F.explode(F.array(*[F.expr(q) for q in MAP_QUERIES])).alias("query"))
+    return asked.groupBy("query").agg(F.min("k").alias("k")).select(
         "query", F.lit(1).alias("rank"),
         F.expr(f"concat(35 + k % 3, '.', {digits('k % 1000', 3)})").alias("lat"),
         F.expr(f"concat('-', 117 + k % 3, '.', {digits('k % 1000', 3)})").alias("lon"),

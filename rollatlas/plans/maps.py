@@ -11,6 +11,7 @@ from rollatlas.functions.text import or_default, sanitize_key
 from rollatlas.operators.cleaning import is_page_school
 from rollatlas.operators.geocode import fill_from_address
 from rollatlas.operators.geometry import (
+    BOX_FIELDS,
     CELL_PIXELS,
     cluster_points,
     extent,
@@ -21,10 +22,12 @@ from rollatlas.operators.geometry import (
 from rollatlas.operators.skew import HOT_ROWS
 from rollatlas.plans.pages import STREET
 
-# View used when nothing can be shown, and zoom on a single office.
+# View used when nothing can be shown, and zooms on a single place.
 DEFAULT_CENTRE = (36.7783, -119.4179)
 DEFAULT_ZOOM = 6
-OFFICE_ZOOM = 14
+CARD_POINT_ZOOM = 13
+CARD_ADDRESS_ZOOM = 15
+NAME_ZOOM = 10
 
 
 def district_markers(districts: DataFrame, base: str = "/") -> DataFrame:
@@ -129,3 +132,81 @@ def district_map_view(
         F.when(~fitted, F.lit(DEFAULT_CENTRE[1])).alias("centre_lon"),
         F.when(~fitted, F.lit(DEFAULT_ZOOM)).alias("zoom"),
     )
+
+
+def _no_box() -> list:
+    return [F.lit(None).cast("double").alias(f) for f in BOX_FIELDS]
+
+
+def card_map_view(
+    districts: DataFrame, boundaries: DataFrame, gazetteer: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """View of the older card: the boundary alone, else the district's point, else its address.
+
+    Only polygons count as a boundary here, and the point is not checked for bounds.
+    """
+    shapes = boundaries.filter("reprojected").select("boundary_key", extent("polygons").alias("_box"))
+    joined = districts.select(
+        "ord", "cds_code", "district", "lat", "lon", D.address_flat(*STREET).alias("address"),
+        sanitize_key("cds_code").alias("boundary_key"),
+    ).join(shapes, "boundary_key", "left")
+    shown = joined.filter(F.col("_box").isNotNull()).select(
+        "cds_code", "district", F.lit("boundary").alias("view"), "_box.*",
+        F.lit(None).cast("double").alias("centre_lat"), F.lit(None).cast("double").alias("centre_lon"),
+        F.lit(None).cast("int").alias("zoom"),
+    )
+    rest = joined.filter(F.col("_box").isNull()).withColumn("_own", F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    found = fill_from_address(rest, gazetteer.filter("query <> ''"), "address", ["ord", "cds_code"], hot_rows)
+    located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    points = found.select(
+        "cds_code", "district",
+        F.when(F.col("_own"), "point").when(located, "address").otherwise("none").alias("view"),
+        *_no_box(),
+        F.col("lat").alias("centre_lat"), F.col("lon").alias("centre_lon"),
+        F.when(F.col("_own"), CARD_POINT_ZOOM).when(located, CARD_ADDRESS_ZOOM).alias("zoom"),
+    )
+    return shown.unionByName(points)
+
+
+def overview_map_view(
+    districts: DataFrame,
+    linked: DataFrame,
+    boundaries: DataFrame,
+    gazetteer: DataFrame,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """View of the older overview: all layers together, else the district's name looked up."""
+    own = in_bounds(F.col("lat"), F.col("lon"))
+    shapes = boundaries.select("boundary_key", extent("polygons").alias("shape"))
+    markers = points_extent(school_markers(linked), ["district_cds"]).select(
+        F.col("district_cds").alias("cds_code"), F.col("box").alias("school_box")
+    )
+    joined = (
+        districts.select(
+            "ord", "cds_code", "district", F.when(own, point_box("lat", "lon")).alias("office"),
+            sanitize_key("cds_code").alias("boundary_key"),
+        )
+        .join(shapes, "boundary_key", "left")
+        .join(markers, "cds_code", "left")
+        .withColumn("_box", grow_box("shape", "office", "school_box"))
+    )
+    shown = joined.filter(F.col("_box").isNotNull()).select(
+        "cds_code", "district", F.lit("bounds").alias("view"), "_box.*",
+        F.lit(None).cast("double").alias("centre_lat"), F.lit(None).cast("double").alias("centre_lon"),
+        F.lit(None).cast("int").alias("zoom"),
+    )
+    rest = joined.filter(F.col("_box").isNull()).select(
+        "ord", "cds_code", "district",
+        F.concat(F.col("district"), F.lit(", California")).alias("address"),
+        F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"),
+    )
+    found = fill_from_address(rest, gazetteer, "address", ["ord", "cds_code"], hot_rows)
+    located = F.col("lat").isNotNull()
+    points = found.select(
+        "cds_code", "district", F.when(located, "name").otherwise("default").alias("view"),
+        *_no_box(),
+        F.coalesce("lat", F.lit(DEFAULT_CENTRE[0])).alias("centre_lat"),
+        F.coalesce("lon", F.lit(DEFAULT_CENTRE[1])).alias("centre_lon"),
+        F.when(located, NAME_ZOOM).otherwise(DEFAULT_ZOOM).alias("zoom"),
+    )
+    return shown.unionByName(points)

@@ -128,3 +128,29 @@ def test_map_views(spark):
     assert got[D3]["view"] == "schools" and box(got[D3]) == (10.0, 20.0, 10.0, 20.0)
     assert got[d4]["view"] == "default" and (got[d4]["centre_lat"], got[d4]["zoom"]) == (36.7783, 6)
     assert [got[c]["school_markers"] for c in (D1, D2, D3, d4)] == [1, 1, 1, 0]
+
+
+def test_older_map_views(spark):
+    ring = [[[[-123.0, 37.0], [-122.5, 37.5]]]]
+    d4, d5 = "01000040000000", "01000050000000"
+    more = district_table(
+        spark,
+        [{"ord": 8, "cds_code": d4, "district": "Four"}, {"ord": 9, "cds_code": d5, "district": "Five", "lat": 95.0, "lon": 1.0}],
+    )
+    all_districts = districts(spark).unionByName(more)
+    boundaries = spark.createDataFrame(
+        [(D1, ring, True), (d4, ring, False)], "boundary_key string, polygons array<array<array<array<double>>>>, reprojected boolean"
+    )
+    gaz = gazetteer_table(
+        spark, [candidate("5 Elm St, Napa, CA, 9", 1, "38.5", "-122.5"), candidate("Five, California", 1, "30", "-120"), candidate("", 1)]
+    )
+    card = {r["cds_code"]: r for r in maps.card_map_view(all_districts, boundaries, gaz).collect()}
+    assert {c: (r["view"], r["zoom"], r["centre_lat"]) for c, r in card.items()} == {
+        D1: ("boundary", None, None), D2: ("address", 15, 38.5), D3: ("none", None, None), d4: ("none", None, None), d5: ("point", 13, 95.0)
+    }
+    assert (card[D1]["min_lat"], card[D1]["max_lon"]) == (37.0, -122.5)
+    wide = {r["cds_code"]: r for r in maps.overview_map_view(all_districts, schools(spark), boundaries, gaz).collect()}
+    assert {c: (r["view"], r["zoom"]) for c, r in wide.items()} == {
+        D1: ("bounds", None), D2: ("bounds", None), D3: ("bounds", None), d4: ("bounds", None), d5: ("name", 10)
+    }
+    assert (wide[D1]["max_lat"], wide[D2]["min_lat"], wide[d5]["centre_lat"]) == (39.0, 0.0, 30.0)
