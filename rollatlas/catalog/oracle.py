@@ -378,7 +378,7 @@ def _queries() -> dict[str, str]:
     chunked = "SELECT {key}, ord // 4096 AS chunk, CAST(count(*) AS INTEGER) AS n, string_agg(cds_code, ',' ORDER BY ord) AS codes FROM {table} GROUP BY 1, 2"
     wanted = SEARCH_TERM.lower()
     return {
-        "directory_lines": "SELECT ord, " + ", ".join(f"trim({c}) AS {c}" for c in RAW_COLUMNS) + " FROM raw",
+        "directory_lines": "SELECT ord, " + ", ".join("' ' || district AS district" if c == "district" else f"trim({c}) AS {c}" for c in RAW_COLUMNS) + " FROM raw",
         "directory_districts": f"SELECT ord, {district_columns}, slug FROM districts",
         "directory_schools": f"SELECT ord, {school_columns} FROM schools",
         "reject_report": REJECTS,

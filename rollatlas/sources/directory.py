@@ -7,12 +7,13 @@ shuffle. Row numbers grow within a block, blocks within a file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollatlas.functions.text import trim_blanks
 from rollatlas.operators.ranking import top_k
 from rollatlas.schema import RAW_COLUMNS, RAW_SCHEMA
 
@@ -70,8 +71,9 @@ def body_of_file(file_scan: DataFrame, count: int = PREAMBLE_LINES) -> DataFrame
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """lines(ord, line) to trimmed raw records; blank lines and blank records go.
+    """lines(ord, line) to raw records; blank lines and blank records go.
 
+    Fields are trimmed, the inside of quotes is not.
     A line with too few or too many fields stops the job. Empty fields are empty
     text, not null (the sentinel is for fields that are not there at all).
     """
@@ -79,24 +81,30 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     fields = ", ".join(f"{c} string" for c in RAW_COLUMNS)
     record = F.from_csv("line", fields, {**_OPTIONS, "mode": "FAILFAST"})
     parsed = filled.select("ord", record.alias("_record"))
-    fields = [F.coalesce(trim_blanks(F.col("_record")[c]), F.lit("")).alias(c) for c in RAW_COLUMNS]
+    fields = [F.coalesce(F.col("_record")[c], F.lit("")).alias(c) for c in RAW_COLUMNS]
     return parsed.select("ord", *fields)
 
 
-def _without_preamble(read, files: list[str], count: int) -> DataFrame:
+def _without_preamble(
+    spark: SparkSession,
+    read: Callable[[str | list[str]], DataFrame],
+    path: str | list[str],
+    count: int,
+) -> DataFrame:
     if not count:
-        return read(files)
+        return read(path)
+    # The listing gives URIs; paths are read with their escapes undone.
+    files = sorted(unquote(f) for f in spark.read.text(path).inputFiles())
     if len(files) > MAX_SINGLE_SCANS:
-        return skip_preamble(read(files), count)
-    return reduce(DataFrame.unionByName, [body_of_file(read([f]), count) for f in files])
+        return skip_preamble(read(path), count)
+    return reduce(DataFrame.unionByName, [body_of_file(read(f), count) for f in files])
 
 
 def read_directory(
     spark: SparkSession, path: str | list[str], preamble: int = PREAMBLE_LINES
 ) -> DataFrame:
     """Raw records of one or more directory exports, one record per line."""
-    files = sorted(spark.read.text(path).inputFiles())
-    return parse_lines(_without_preamble(lambda f: read_lines(spark, f), files, preamble))
+    return parse_lines(_without_preamble(spark, lambda f: read_lines(spark, f), path, preamble))
 
 
 def read_directory_multiline(
@@ -108,9 +116,11 @@ def read_directory_multiline(
     non-blank records here.
     """
     reader = spark.read.schema(RAW_SCHEMA).options(**_OPTIONS, multiLine="true", mode="FAILFAST")
-    fields = [F.coalesce(trim_blanks(c), F.lit("")).alias(c) for c in RAW_COLUMNS]
-    files = sorted(spark.read.text(path).inputFiles())
+    fields = [F.coalesce(c, F.lit("")).alias(c) for c in RAW_COLUMNS]
     kept = _without_preamble(
-        lambda f: reader.csv(f).select(source_position().alias("ord"), *fields), files, preamble
+        spark,
+        lambda f: reader.csv(f).select(source_position().alias("ord"), *fields),
+        path,
+        preamble,
     )
     return kept.filter(F.concat_ws("", *RAW_COLUMNS) != "")

@@ -20,10 +20,13 @@ def test_read_csv(spark, tmp_path):
         line(record_type="District", cds_code=" 01 ", district='" Big, ""Q"" "'),
         "", ",".join([" "] * 41), line(record_type="School", cds_code="02"),
     ]
+    (tmp_path / "School 100% Data.csv").write_text("\n".join(PREAMBLE + rows) + "\n")
     (tmp_path / "a.csv").write_text("\n".join(PREAMBLE + rows) + "\n")
+    spaced = directory.read_directory(spark, str(tmp_path / "School 100% Data.csv"))
+    assert spaced.count() == 2
     got = directory.read_directory(spark, str(tmp_path / "a.csv")).orderBy("ord").collect()
     assert [(r["record_type"], r["cds_code"], r["district"]) for r in got] == [
-        ("District", "01", 'Big, "Q"'), ("School", "02", "")
+        ("District", "01", ' Big, "Q" '), ("School", "02", "")
     ]
     assert got[0]["website"] == ""
     everything = directory.read_directory(spark, str(tmp_path / "a.csv"), preamble=0)
