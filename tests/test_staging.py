@@ -1,0 +1,56 @@
+from __future__ import annotations
+
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from rollatlas.operators.skew import estimated_bytes, salted_join
+from rollatlas.sources.layout import spread_scan
+from rollatlas.sources.staging import shared_folder, stage
+
+
+class NamedFolder:
+    """Stands in for a session whose cluster names a checkpoint folder."""
+
+    class conf:
+        @staticmethod
+        def get(key, default=None):
+            return "hdfs://shared/checkpoints" if key == "spark.checkpoint.dir" else default
+
+
+def test_shared_folder(spark):
+    assert shared_folder(NamedFolder()) == "hdfs://shared/checkpoints"
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        assert Path(shared_folder(spark)).is_dir()
+
+
+def test_stage(spark, tmp_path):
+    df = spark.range(10).select("id", F.struct("id").alias("s"))
+    one, two = stage(df, "t", str(tmp_path)), stage(df, "t", str(tmp_path))
+    assert sorted(one.collect()) == sorted(two.collect()) == sorted(df.collect())
+    apps = list(tmp_path.iterdir())
+    assert len(apps) == 1 and len(list(apps[0].iterdir())) == 2
+
+
+def test_spread_scan(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    spread = spread_scan(scan, "id")
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(r[0] for r in spread.collect()) == list(range(100))
+    wide = spread.repartition(16)
+    assert spread_scan(wide, "id") is wide
+
+
+def test_small_tables_are_joined_plainly(spark, tmp_path):
+    spark.range(100).withColumn("k", F.col("id") % 5).write.parquet(str(tmp_path / "t"))
+    facts = spark.read.parquet(str(tmp_path / "t"))
+    dims = spark.range(3).withColumnRenamed("id", "k")
+    assert 0 < estimated_bytes(facts) < 100_000
+    plain = salted_join(facts, dims, ["k"], "left", ["id"])
+    salted = salted_join(facts, dims, ["k"], "left", ["id"], small_bytes=1)
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "_salt" not in plan(plain) and "_salt" in plan(salted)
+    assert sorted(plain.select("id", "k").collect()) == sorted(salted.select("id", "k").collect())
