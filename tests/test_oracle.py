@@ -8,10 +8,12 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from rollatlas.catalog import oracle
+from rollatlas.catalog import queries as catalog
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = catalog.registry()
+SQL = oracle.statements()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -32,6 +34,7 @@ def test_same_result(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 def test_flagship(spark):
