@@ -6,13 +6,26 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollatlas.llm import matrices, packing, sharding
+from rollatlas.llm import decontamination, language, matrices, packing, sharding, toxicity
 from rollatlas.llm.shared import ship, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False))
+    model = language.fit(language.training_rows(docs, ~held_out))
+    found = language.identify(docs.select("doc_id", "text"), model, ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op3_packed_matrices(spark: SparkSession, folder: str) -> DataFrame:
     return matrices.packed_matrices(table(spark, folder, "documents"), TOKENIZER)
 
@@ -21,10 +34,22 @@ def op4_packed_windows(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op7_benchmark_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.shared_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op8_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, folder, "labels"), ~held_out))
+    found = toxicity.score(docs.select("doc_id", "text"), model, ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def _sent(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship(spark)
