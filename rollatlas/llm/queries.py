@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollatlas.llm import decontamination, language, matrices, packing, sharding, toxicity
+from rollatlas.llm import decontamination, language, matrices, packing, repeats, sharding, toxicity
 from rollatlas.llm.shared import ship, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeat_digests(table(spark, folder, "documents"))
+
+
 def _sent(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship(spark)
