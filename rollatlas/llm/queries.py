@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollatlas.llm import decontamination, language, matrices, packing, repeats, sharding, toxicity
+from rollatlas.llm import decontamination, jaccard, language, matrices, packing, repeats, sharding, toxicity
 from rollatlas.llm.shared import ship, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,10 @@ def op4_packed_windows(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
 def op7_benchmark_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.shared_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
