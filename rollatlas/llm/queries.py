@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollatlas.llm import decontamination, jaccard, language, matrices, packing, repeats, sharding, toxicity
+from rollatlas.llm import decontamination, graphs, jaccard, language, matrices, packing, repeats, sharding, toxicity
 from rollatlas.llm.shared import ship, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,11 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op2_graph_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    rows = graphs.usable(table(spark, folder, "embeddings"))
+    return graphs.search(graphs.build_index(rows), rows.filter("id % 50 = 0"))
+
+
 def op3_packed_matrices(spark: SparkSession, folder: str) -> DataFrame:
     return matrices.packed_matrices(table(spark, folder, "documents"), TOKENIZER)
 
