@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollatlas.llm import decontamination, graphs, jaccard, language, matrices, packing, repeats, sharding, toxicity
-from rollatlas.llm.shared import ship, table
+from rollatlas.llm import decontamination, graphs, jaccard, language, matrices, packing, repeats, sharding, toxicity, warc
+from rollatlas.llm.shared import new_folder, ship, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -43,6 +43,12 @@ def op5_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = new_folder(spark, "warc")
+    warc.write_warc(warc.page_records(table(spark, folder, "pages")), archive)
+    return warc.archived_pages(warc.read_warc(spark, archive))
+
+
 def op7_benchmark_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.shared_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
