@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
             for first, end, data, offsets in bytetext.steps(batch.column(len(keep))):
                 row, term = found_terms(model.terms, data, offsets)
                 logit[first:end] += np.bincount(row, model.weight[term], end - first)
-            value = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+            value = np.where(np.isfinite(logit), 1 / (1 + np.exp(-np.clip(logit, -500, 500))), 0.0)
             kept = [batch.column(c) for c in range(len(keep))]
             kept += [pa.array(value), pa.array((value >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(kept, names=[*keep, "score", "predicted"])

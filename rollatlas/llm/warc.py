@@ -187,18 +187,20 @@ class Archive:
                 extra = extra[4 + size :]
         inflate = zlib.decompressobj(31)
         raw, fed = inflate.decompress(head, 64 << 10), len(head)
+        full = len(raw) == 64 << 10
 
         def more(limit: int) -> bool:
-            nonlocal raw, fed
+            nonlocal raw, fed, full
             rest = inflate.unconsumed_tail
-            if not rest:
+            # After a full answer there may be output left without any new input.
+            if not rest and not full:
                 self.source.seek(at + fed)
                 rest = self.source.read(1 << 20)
                 fed += len(rest)
-            if not rest or inflate.eof:
-                return False
-            raw += inflate.decompress(rest, limit)
-            return True
+            out = inflate.decompress(rest, limit)
+            full = len(out) == limit
+            raw += out
+            return bool(rest or out)
 
         while (end := _header_end(raw)) is None and not inflate.eof and more(64 << 10):
             pass
@@ -222,7 +224,7 @@ class Archive:
                 raw = b""
                 if not more(8 << 20):
                     return headers, self.size
-            length = fed - len(inflate.unused_data) - len(inflate.unconsumed_tail)
+            length = fed - len(inflate.unused_data)
         return headers, at + length
 
 
