@@ -285,8 +285,11 @@ TABLES: dict[str, str] = {
         FROM (SELECT doc_id, i, regexp_replace(raw_line, '^[#>~` ]+', '') AS line FROM (
           SELECT doc_id, unnest(string_split(text, chr(10))) AS raw_line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))
         WHERE regexp_matches(line, '^[^.]+\..*$')""",
-    "guide_anchors": r"""SELECT doc_id, number - 1 AS pos, text,
+    "guide_anchors": r"""SELECT doc_id, number - 1 AS pos, text, question,
+        CASE WHEN regexp_matches(text, '^[A-E]') THEN 1 WHEN text LIKE 'T%' THEN 3 ELSE 2 END AS depth,
         replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}\p{Pc}\- ]', '', 'g'), ' ', '-') AS anchor FROM guide_lines""",
+    "guide_slugs": r"""SELECT *, CASE WHEN seen = 1 THEN anchor ELSE anchor || '-' || (seen - 1) END AS slug
+        FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, anchor ORDER BY pos) AS seen FROM guide_anchors) x""",
 }
 
 
@@ -479,9 +482,9 @@ def _queries() -> dict[str, str]:
             WHERE regexp_replace(link, '#.*$', '') NOT IN (SELECT url FROM known_urls) GROUP BY 1""",
         "page_link_counts": """SELECT p.page_id, CAST(coalesce(n, 0) AS INTEGER) AS internal_links, coalesce(n, 0) > 0 AS has_link FROM pages p
             LEFT JOIN (SELECT page_id, count(*) AS n FROM page_links GROUP BY 1) l ON l.page_id = p.page_id""",
-        "guide_outline": "SELECT doc_id, number, text, question, text AS note FROM guide_lines",
-        "guide_headings": """SELECT doc_id, pos, 2 AS depth, CASE WHEN seen = 1 THEN anchor ELSE anchor || '-' || (seen - 1) END AS slug, text
-            FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, anchor ORDER BY pos) AS seen FROM guide_anchors) x""",
+        "guide_outline": """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS number,
+            text, question, text AS note, slug AS anchor FROM guide_slugs WHERE depth = 2""",
+        "guide_headings": "SELECT doc_id, pos, depth, slug, text FROM guide_slugs",
         "boundary_totals": """SELECT 'boundaries' AS section, 'features' AS metric, count(*) AS value FROM features UNION ALL
             SELECT 'boundaries', 'without_id', count(*) FROM features WHERE boundary_id IS NULL UNION ALL
             SELECT 'boundaries', 'boundaries', count(*) FROM kept_features UNION ALL

@@ -18,8 +18,6 @@ from rollatlas.plans import maps, pages, quality
 from rollatlas.schema import DISTRICT_COLUMNS, RAW_COLUMNS, SCHOOL_COLUMNS
 from rollatlas.session import tune
 from rollatlas.sources import assets, directory, geojson
-from rollatlas.sources.layout import spread_scan
-from rollatlas.sources.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 ZOOMS = [6, 9, 12]
@@ -44,7 +42,7 @@ def registry() -> dict[str, Query]:
 
 
 class Tables:
-    """Clean tables of one query run; each is stored once and shared by the query's branches."""
+    """Clean tables of one query run, as plans; nothing runs before the query does."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -55,15 +53,15 @@ class Tables:
 
     @cached_property
     def districts(self) -> DataFrame:
-        return stage(_districts(self.spark, self.folder), "districts")
+        return _districts(self.spark, self.folder)
 
     @cached_property
     def schools(self) -> DataFrame:
-        return stage(_schools(self.spark, self.folder), "schools")
+        return _schools(self.spark, self.folder)
 
     @cached_property
     def placed_districts(self) -> DataFrame:
-        return stage(geocode.geocode(self.districts, self.gazetteer), "placed_districts")
+        return geocode.geocode(self.districts, self.gazetteer)
 
     @cached_property
     def placed_schools(self) -> DataFrame:
@@ -71,11 +69,11 @@ class Tables:
 
     @cached_property
     def linked(self) -> DataFrame:
-        return stage(linking.linked_schools(self.schools, self.districts), "linked")
+        return linking.linked_schools(self.schools, self.districts)
 
     @cached_property
     def placed_linked(self) -> DataFrame:
-        placed = stage(self.placed_schools, "placed_schools")
+        placed = self.placed_schools
         return linking.linked_schools(placed, self.districts)
 
 
@@ -96,11 +94,11 @@ def _boundaries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread_scan(S.table(spark, folder, "pages"), "page_id")
+    return S.table(spark, folder, "pages")
 
 
 def _guides(spark: SparkSession, folder: str) -> DataFrame:
-    return S.guides(spread_scan(S.table(spark, folder, "documents"), "doc_id"))
+    return S.guides(S.table(spark, folder, "documents"))
 
 
 def _round_all(df: DataFrame, columns: list[str], places: int = 6) -> DataFrame:
@@ -231,7 +229,7 @@ def geocode_attempts(spark, folder):
 def geocode_candidates(spark, folder):
     """Candidate chosen per attempt."""
     t = Tables(spark, folder)
-    tried = stage(geocode.attempts(_schools(spark, folder).select(*geocode.ADDRESS).distinct()), "attempts")
+    tried = geocode.attempts(_schools(spark, folder).select(*geocode.ADDRESS).distinct())
     return geocode.attempt_results(tried, t.gazetteer)
 
 
@@ -518,7 +516,7 @@ def internal_links(spark, folder):
 def broken_links(spark, folder):
     """Internal links without a page behind them."""
     p = _pages(spark, folder)
-    return links.broken_links(stage(links.internal_links(p), "links"), p)
+    return links.broken_links(links.internal_links(p), p)
 
 
 @query
@@ -536,9 +534,9 @@ def page_link_counts(spark, folder):
 
 @query
 def guide_outline(spark, folder):
-    """Numbered depth-2 headings with their note."""
+    """Numbered depth-2 headings with their anchor and note."""
     listed = outline.guide_outline(_guides(spark, folder))
-    return listed.select("doc_id", "number", "text", "question", "note")
+    return listed.select("doc_id", "number", "text", "anchor", "question", "note")
 
 
 @query

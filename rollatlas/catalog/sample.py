@@ -245,4 +245,6 @@ def guides(documents: DataFrame) -> DataFrame:
     text = F.regexp_replace(
         plain, r"(?md)^([^.\n]+)\.([^\n]*)$", "## $1\nAsk:$2\n\n> **Why this is important:** $1\n"
     )
+    # Depth by first letter, so that outlines leave some headings out.
+    text = F.regexp_replace(F.regexp_replace(text, r"(?m)^## (?=[A-E])", "# "), r"(?m)^## (?=T)", "### ")
     return documents.select("doc_id", text.alias("text"))

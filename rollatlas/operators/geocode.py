@@ -23,7 +23,6 @@ from rollatlas.functions.text import (
 )
 from rollatlas.operators.arrays import explode_costly
 from rollatlas.operators.ranking import first_per_key, top_k
-from rollatlas.operators.skew import HOT_ROWS, salted_join
 from rollatlas.schema import NO_DATA
 
 HOME_STATE = "CA"
@@ -128,16 +127,16 @@ def top_candidates(gazetteer: DataFrame, cap: int = SEARCH_CAP) -> DataFrame:
 
     Cut per task before the shuffle, so an array never holds more than ``cap`` items.
     """
-    kept = top_k(gazetteer.filter(F.col("rank") <= cap), ["query"], ["rank"], cap)
+    kept = top_k(gazetteer, ["query"], ["rank"], cap)
     item = F.struct(*_CANDIDATE_FIELDS)
     return kept.groupBy("query").agg(F.sort_array(F.collect_list(item)).alias("candidates"))
 
 
-def attempt_results(tried: DataFrame, gazetteer: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def attempt_results(tried: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Chosen candidate per attempt; attempts without usable coordinates are left out."""
-    found = salted_join(
-        tried, top_candidates(gazetteer), ["query"], "inner", [*ADDRESS, "level"], hot_rows
-    )
+    # Only what is asked for is ranked.
+    asked = gazetteer.join(tried.select("query").distinct(), "query", "left_semi")
+    found = tried.join(top_candidates(asked), ["query"], "inner")
     first = F.get("candidates", F.lit(0))
     picked = F.when(
         F.col("level") == 3,
@@ -152,14 +151,14 @@ def attempt_results(tried: DataFrame, gazetteer: DataFrame, hot_rows: int = HOT_
 
 
 def resolve_addresses(
-    addresses: DataFrame, gazetteer: DataFrame, hot_rows: int = HOT_ROWS
+    addresses: DataFrame, gazetteer: DataFrame
 ) -> DataFrame:
     """Lowest successful level per distinct address.
 
     Attempts do not affect each other, so trying in order equals trying all and
     keeping the lowest level.
     """
-    results = attempt_results(attempts(addresses), gazetteer, hot_rows)
+    results = attempt_results(attempts(addresses), gazetteer)
     best = results.groupBy(*ADDRESS).agg(
         F.min_by(F.struct("level", "lat", "lon"), "level").alias("_best")
     )
@@ -171,7 +170,7 @@ def needs_geocoding() -> Column:
     return ~valid_for_ingest("latitude", "longitude")
 
 
-def geocode(records: DataFrame, gazetteer: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def geocode(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Repair records whose coordinates fail the strict rule; leave the others as they are.
 
     Adds geocode_level (0 untouched or failed), geocode_ok, geocode_fallback,
@@ -181,8 +180,8 @@ def geocode(records: DataFrame, gazetteer: DataFrame, hot_rows: int = HOT_ROWS)
     bad = records.filter(needs_geocoding()).withColumns(
         {c: F.coalesce(c, F.lit("")) for c in ADDRESS}
     )
-    found = resolve_addresses(bad.select(*ADDRESS).distinct(), gazetteer, hot_rows)
-    joined = salted_join(bad, found, ADDRESS, "left", ["ord"], hot_rows)
+    found = resolve_addresses(bad.select(*ADDRESS).distinct(), gazetteer)
+    joined = bad.join(found, ADDRESS, "left")
     hit = F.col("_level").isNotNull()
     repaired = joined.withColumns(
         {
@@ -219,8 +218,7 @@ def geocode_report(records: DataFrame, entity: str) -> DataFrame:
 
 
 def fill_from_address(
-    records: DataFrame, gazetteer: DataFrame, address: str, spread: list[str],
-    hot_rows: int = HOT_ROWS,
+    records: DataFrame, gazetteer: DataFrame, address: str,
 ) -> DataFrame:
     """Single-attempt fallback: first candidate for the address text.
 
@@ -228,12 +226,12 @@ def fill_from_address(
     """
     missing = F.col("lat").isNull() | F.col("lon").isNull()
     known, lacking = records.filter(~missing), records.filter(missing)
-    first = first_per_key(gazetteer.filter(F.col("rank") == 1), ["query"], ["rank"]).select(
+    first = first_per_key(gazetteer, ["query"], ["rank"]).select(
         F.col("query").alias(address),
         parse_float("lat").alias("_lat"),
         parse_float("lon").alias("_lon"),
     )
     first = first.filter(F.col("_lat").isNotNull() & F.col("_lon").isNotNull())
-    found = salted_join(lacking, first, [address], "left", spread, hot_rows)
+    found = lacking.join(first, [address], "left")
     filled = found.withColumn("lat", F.col("_lat")).withColumn("lon", F.col("_lon"))
     return known.unionByName(filled.drop("_lat", "_lon"))

@@ -9,19 +9,18 @@ from pyspark.sql import types as T
 from rollatlas.functions.text import district_key, district_prefix
 from rollatlas.operators.cleaning import is_page_school, is_strict_school
 from rollatlas.operators.search import locale_key
-from rollatlas.operators.skew import HOT_ROWS, salted_join
 
 CHUNK_ROWS = 4096
 
 
-def link_status(schools: DataFrame, districts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def link_status(schools: DataFrame, districts: DataFrame) -> DataFrame:
     """Every school with its district key and linked / bad_prefix / no_district.
 
     One join gives both the linked schools and the orphans.
     """
     keyed = schools.withColumn("district_cds", district_key("cds_code"))
     known = districts.select(F.col("cds_code").alias("district_cds"), F.lit(True).alias("_known"))
-    joined = salted_join(keyed, known, ["district_cds"], "left", ["ord", "cds_code"], hot_rows)
+    joined = keyed.join(known, ["district_cds"], "left")
     status = (
         F.when(F.length(district_prefix("cds_code")) != 7, "bad_prefix")
         .when(F.col("_known").isNull(), "no_district")
@@ -30,15 +29,15 @@ def link_status(schools: DataFrame, districts: DataFrame, hot_rows: int = HOT_RO
     return joined.withColumn("link_status", status).drop("_known")
 
 
-def linked_schools(schools: DataFrame, districts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def linked_schools(schools: DataFrame, districts: DataFrame) -> DataFrame:
     """Schools whose district exists."""
-    linked = link_status(schools, districts, hot_rows)
+    linked = link_status(schools, districts)
     return linked.filter(F.col("link_status") == "linked").drop("link_status")
 
 
-def orphan_schools(schools: DataFrame, districts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def orphan_schools(schools: DataFrame, districts: DataFrame) -> DataFrame:
     """Schools without a district, with the reason."""
-    linked = link_status(schools, districts, hot_rows)
+    linked = link_status(schools, districts)
     return linked.filter(F.col("link_status") != "linked")
 
 

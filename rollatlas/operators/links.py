@@ -13,7 +13,6 @@ from rollatlas.functions.urls import (
     strip_fragment,
 )
 from rollatlas.operators.arrays import explode_costly
-from rollatlas.operators.skew import HOT_ROWS, salted_join
 
 _ANCHOR = r"(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)"
 
@@ -62,11 +61,11 @@ def page_link_counts(pages: DataFrame, base_origin: str | None = None) -> DataFr
     return counted.withColumn("has_link", F.col("internal_links") > 0)
 
 
-def broken_links(links: DataFrame, known: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def broken_links(links: DataFrame, known: DataFrame) -> DataFrame:
     """Links whose target is not among the known page addresses."""
     targets = links.withColumn("_target", strip_fragment("link"))
     urls = known.select(normalize_url(strip_fragment("url")).alias("_target")).distinct()
-    broken = salted_join(targets, urls, ["_target"], "left_anti", ["page_id", "link"], hot_rows)
+    broken = targets.join(urls, ["_target"], "left_anti")
     return broken.drop("_target")
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollatlas.functions.text import col, trim_blanks
 from rollatlas.operators.arrays import posexplode_costly
 
 TOC_DEPTH = 2
+# Fixed value: the label that guides set before a note.
 NOTE_LABEL = "Why this is important:"
 
 # (?d): only a line feed ends a line.
@@ -16,8 +17,9 @@ _FENCE = r"(?msd)^(```|~~~).*?^\1[^\n]*$"
 _BEFORE_HEADING = r"(?md)^(?=#{1,6}[ \t])"
 _HEADING = r"\A(#{1,6})[ \t]+([^\n]*)"
 _NOTE = r"(?md)^>[ \t]*\*\*" + NOTE_LABEL + r"\*\*[ \t]*([^\n]*)$"
-# First paragraph after the heading line: lines up to a blank or quoted line.
-_PARAGRAPH = r"\A[^\n]*\n\s*((?:(?!>)[^\n]*\S[^\n]*(?:\n|\z))*)"
+# Where the first paragraph ends: before a blank or a quoted line. No repeated group here or
+# above: the regex engine recurses for those, and a long document would end the job.
+_PARAGRAPH_END = r"\n(?=>|[^\S\n]*(?:\n|\z))"
 
 
 def heading_slug(text: Column | str) -> Column:
@@ -26,6 +28,12 @@ def heading_slug(text: Column | str) -> Column:
     return F.translate(kept, " ", "-")
 
 
+def first_paragraph(piece: Column) -> Column:
+    """Text between the heading line of a piece and the first blank or quoted line after it."""
+    body = F.regexp_replace(F.regexp_replace(piece, r"\A[^\n]*", ""), r"\A\s+", "")
+    return F.when(body.startswith(">"), "").otherwise(F.get(F.split(body, _PARAGRAPH_END, 2), F.lit(0)))
+
+
 def sections(text: Column | str) -> Column:
     """(depth, text, question, note) of every heading of a document."""
     plain = F.regexp_replace(F.regexp_replace(col(text), r"\r\n?", "\n"), _FENCE, "")
@@ -33,7 +41,7 @@ def sections(text: Column | str) -> Column:
 
     def section(piece: Column) -> Column:
         title = F.regexp_replace(F.regexp_extract(piece, _HEADING, 2), r"[ \t]+#+[ \t]*$", "")
-        question = trim_blanks(F.regexp_extract(piece, _PARAGRAPH, 1))
+        question = trim_blanks(first_paragraph(piece))
         note = trim_blanks(F.regexp_extract(piece, _NOTE, 1))
         return F.struct(
             F.length(F.regexp_extract(piece, _HEADING, 1)).alias("depth"),
@@ -45,27 +53,52 @@ def sections(text: Column | str) -> Column:
     return F.transform(pieces, section)
 
 
+def unique_anchors(slugs: Column) -> Column:
+    """Anchors of a document's headings in order, each one only once.
+
+    A slug that is taken gets the first free of -1, -2, ...; a numbered anchor may itself be
+    taken by a heading that is written that way.
+    """
+
+    def add(done: Column, slug: Column) -> Column:
+        before = F.size(F.filter(F.slice(slugs, 1, F.size(done)), lambda s: s == slug))
+        # As many other headings as begin like this could hold a number each.
+        alike = F.size(F.filter(slugs, lambda s: s.startswith(F.concat(slug, F.lit("-")))))
+        low = F.greatest(before, F.lit(1))
+        numbered = F.transform(F.sequence(low, low + alike), lambda n: F.concat_ws("-", slug, n.cast("string")))
+        free = F.get(F.filter(numbered, lambda a: ~F.array_contains(done, a)), F.lit(0))
+        return F.array_append(done, F.when(F.array_contains(done, slug), free).otherwise(slug))
+
+    return F.aggregate(slugs, F.array().cast("array<string>"), add)
+
+
+def _anchored(guides: DataFrame, text: str) -> DataFrame:
+    """(doc_id, sections with their anchor), all within the row."""
+    found = guides.select("doc_id", sections(text).alias("_sections"))
+    slugs = found.withColumn("_slugs", F.transform("_sections", lambda s: heading_slug(s["text"])))
+    anchors = slugs.withColumn("_anchors", unique_anchors(F.col("_slugs")))
+    joined = F.zip_with("_sections", "_anchors", lambda s, a: s.withField("slug", a))
+    return anchors.select("doc_id", joined.alias("_sections"))
+
+
 def guide_headings(guides: DataFrame, text: str = "text") -> DataFrame:
     """headings(doc_id, pos, depth, slug, text, question, note) of every guide.
 
-    A repeated anchor within a guide gets -1, -2, ... in order.
+    Anchors are unique within a guide, over headings of all depths.
     """
-    found = posexplode_costly(guides, ["doc_id"], sections(text), "pos", "_section")
-    rows = found.select("doc_id", "pos", "_section.*").withColumn("_anchor", heading_slug("text"))
-    seen = F.row_number().over(Window.partitionBy("doc_id", "_anchor").orderBy("pos")) - 1
-    anchor = F.when(seen == 0, F.col("_anchor")).otherwise(F.concat_ws("-", "_anchor", seen.cast("string")))
-    return rows.withColumn("slug", anchor).drop("_anchor")
+    found = posexplode_costly(_anchored(guides, text), ["doc_id"], F.col("_sections"), "pos", "_section")
+    return found.select("doc_id", "pos", "_section.*")
 
 
 def guide_outline(guides: DataFrame, text: str = "text") -> DataFrame:
-    """Numbered depth-2 headings of every guide (F14, W7), without a shuffle."""
-    top = F.filter(sections(text), lambda s: s["depth"] == TOC_DEPTH)
-    listed = posexplode_costly(guides, ["doc_id"], top, "_pos", "_section")
+    """Numbered depth-2 headings of every guide (F14, W7), with the anchors of ``guide_headings``."""
+    top = F.filter("_sections", lambda s: s["depth"] == TOC_DEPTH)
+    listed = posexplode_costly(_anchored(guides, text), ["doc_id"], top, "_pos", "_section")
     return listed.select(
         "doc_id",
         (F.col("_pos") + 1).alias("number"),
         F.col("_section.text").alias("text"),
-        heading_slug("_section.text").alias("anchor"),
+        F.col("_section.slug").alias("anchor"),
         F.col("_section.question").alias("question"),
         F.col("_section.note").alias("note"),
     )

@@ -9,7 +9,6 @@ from rollatlas.functions.display import page_path
 from rollatlas.functions.text import col
 from rollatlas.operators.arrays import explode_costly
 from rollatlas.operators.ranking import top_k
-from rollatlas.operators.skew import HOT_ROWS, salted_join
 from rollatlas.schema import ACTIVE
 
 RESULT_LIMIT = 10
@@ -44,7 +43,6 @@ def _grams(text: Column, size: Column | int) -> Column:
 
 def search_many(
     districts: DataFrame, terms: DataFrame, k: int = RESULT_LIMIT, base: str = "/",
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Search for every row of ``terms(term)`` at once.
 
@@ -65,11 +63,17 @@ def search_many(
     needed = explode_costly(wanted, ["term", "_wanted"], _grams(F.col("_wanted"), size), "_piece")
     frequency = postings.groupBy("_piece").agg(F.count(F.lit(1)).alias("_names"))
     # A piece no name has rules its term out: count it as zero and let it win.
-    weighed = salted_join(needed, frequency, ["_piece"], "left", ["term"], hot_rows)
+    weighed = needed.join(frequency, ["_piece"], "left")
     rarest = weighed.groupBy("term", "_wanted").agg(
         F.min_by("_piece", F.struct(F.coalesce("_names", F.lit(0)), "_piece")).alias("_piece")
     )
-    met = salted_join(postings, rarest, ["_piece"], "inner", ["ord"], hot_rows)
-    hits = met.filter(F.contains("_name", "_wanted"))
-    best = top_k(hits, ["term"], [locale_key("district"), F.col("ord")], k)
+    order = [locale_key("district"), F.col("ord")]
+    # A short term is its piece: every name with it is a hit, so the best are taken before the
+    # terms come in, however many share them.
+    whole = F.length("_wanted") <= GRAM
+    short = rarest.filter(whole)
+    met = top_k(postings.join(short.select("_piece").distinct(), "_piece", "left_semi"), ["_piece"], order, k)
+    long = postings.join(rarest.filter(~whole), ["_piece"], "inner").filter(F.contains("_name", "_wanted"))
+    hits = met.join(short, "_piece").unionByName(long)
+    best = top_k(hits, ["term"], order, k)
     return best.select("term", "cds_code", "district", "slug", page_path("slug", base).alias("path"))

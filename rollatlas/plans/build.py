@@ -13,7 +13,6 @@ from rollatlas.operators.cleaning import district_rows, school_rows
 from rollatlas.operators.geocode import geocode
 from rollatlas.operators.geometry import boundary_rows, parse_features
 from rollatlas.operators.linking import link_status
-from rollatlas.operators.skew import HOT_ROWS
 from rollatlas.sources.assets import (
     boundary_features,
     district_map,
@@ -34,7 +33,6 @@ def build_directory(
     raw: DataFrame,
     gazetteer: DataFrame,
     out: str,
-    hot_rows: int = HOT_ROWS,
     json_assets: bool = True,
 ) -> bool:
     """Raw records to districts, linked schools and page parameters under ``out``.
@@ -50,9 +48,9 @@ def build_directory(
     raw = _stage(raw, f"{out}/stage/raw")
     districts = _stage(district_rows(raw), f"{out}/stage/districts")
     schools = _stage(school_rows(raw), f"{out}/stage/schools")
-    districts = _stage(geocode(districts, gazetteer, hot_rows), f"{out}/districts")
-    schools = _stage(geocode(schools, gazetteer, hot_rows), f"{out}/stage/schools_geocoded")
-    status = _stage(link_status(schools, districts, hot_rows), f"{out}/stage/school_links")
+    districts = _stage(geocode(districts, gazetteer), f"{out}/districts")
+    schools = _stage(geocode(schools, gazetteer), f"{out}/stage/schools_geocoded")
+    status = _stage(link_status(schools, districts), f"{out}/stage/school_links")
     linked = status.filter("link_status = 'linked'").drop("link_status")
     write_table(linked, f"{out}/schools")
     if json_assets:

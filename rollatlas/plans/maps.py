@@ -19,7 +19,6 @@ from rollatlas.operators.geometry import (
     point_box,
     points_extent,
 )
-from rollatlas.operators.skew import HOT_ROWS
 from rollatlas.plans.pages import STREET
 
 # View used when nothing can be shown, and zooms on a single place.
@@ -71,7 +70,7 @@ def school_marker_layer(
 
 
 def district_offices(
-    districts: DataFrame, gazetteer: DataFrame, hot_rows: int = HOT_ROWS
+    districts: DataFrame, gazetteer: DataFrame
 ) -> DataFrame:
     """Office point per district: its own coordinates, else the address looked up."""
     own = in_bounds(F.col("lat"), F.col("lon"))
@@ -85,7 +84,7 @@ def district_offices(
     )
     # The stand-in text for a missing address is never looked up.
     known = gazetteer.filter(F.col("query") != D.NO_ADDRESS)
-    return fill_from_address(located, known, "address", ["ord", "cds_code"], hot_rows)
+    return fill_from_address(located, known, "address")
 
 
 def district_map_view(
@@ -93,7 +92,6 @@ def district_map_view(
     linked: DataFrame,
     boundaries: DataFrame,
     gazetteer: DataFrame,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """What each district's map shows at first.
 
@@ -101,7 +99,7 @@ def district_map_view(
     is there. Without it the schools' own box is fitted, else the default view.
     School boxes are reduced per district before the join.
     """
-    offices = district_offices(districts, gazetteer, hot_rows).select(
+    offices = district_offices(districts, gazetteer).select(
         "cds_code", "district", point_box("lat", "lon").alias("office")
     )
     shapes = boundaries.select("boundary_key", extent("polygons").alias("shape"))
@@ -139,7 +137,7 @@ def _no_box() -> list:
 
 
 def card_map_view(
-    districts: DataFrame, boundaries: DataFrame, gazetteer: DataFrame, hot_rows: int = HOT_ROWS
+    districts: DataFrame, boundaries: DataFrame, gazetteer: DataFrame
 ) -> DataFrame:
     """View of the older card: the boundary alone, else the district's point, else its address.
 
@@ -156,7 +154,7 @@ def card_map_view(
         F.lit(None).cast("int").alias("zoom"),
     )
     rest = joined.filter(F.col("_box").isNull()).withColumn("_own", F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    found = fill_from_address(rest, gazetteer.filter("query <> ''"), "address", ["ord", "cds_code"], hot_rows)
+    found = fill_from_address(rest, gazetteer.filter("query <> ''"), "address")
     located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     points = found.select(
         "cds_code", "district",
@@ -173,7 +171,6 @@ def overview_map_view(
     linked: DataFrame,
     boundaries: DataFrame,
     gazetteer: DataFrame,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """View of the older overview: all layers together, else the district's name looked up."""
     own = in_bounds(F.col("lat"), F.col("lon"))
@@ -200,7 +197,7 @@ def overview_map_view(
         F.concat(F.col("district"), F.lit(", California")).alias("address"),
         F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"),
     )
-    found = fill_from_address(rest, gazetteer, "address", ["ord", "cds_code"], hot_rows)
+    found = fill_from_address(rest, gazetteer, "address")
     located = F.col("lat").isNotNull()
     points = found.select(
         "cds_code", "district", F.when(located, "name").otherwise("default").alias("view"),

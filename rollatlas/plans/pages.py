@@ -11,7 +11,6 @@ from rollatlas.operators.arrays import posexplode_costly
 from rollatlas.operators.cleaning import is_page_school
 from rollatlas.operators.linking import CHUNK_ROWS, chunk_by_key
 from rollatlas.operators.ranking import first_per_key
-from rollatlas.operators.skew import HOT_ROWS, salted_join
 from rollatlas.schema import NO_DATA
 
 STREET = ["street_address", "street_city", "street_state", "street_zip"]
@@ -55,7 +54,7 @@ def district_pages(params: DataFrame, districts: DataFrame, linked: DataFrame) -
 
 
 def page_schools(
-    params: DataFrame, districts: DataFrame, linked: DataFrame, hot_rows: int = HOT_ROWS
+    params: DataFrame, districts: DataFrame, linked: DataFrame
 ) -> DataFrame:
     """Schools of every page, one row per school.
 
@@ -63,7 +62,7 @@ def page_schools(
     """
     pages = page_districts(params, districts).select("slug", F.col("cds_code").alias("district_cds"))
     kept = linked.filter(is_page_school())
-    shown = salted_join(kept, pages, ["district_cds"], "inner", ["ord", "cds_code"], hot_rows)
+    shown = kept.join(pages, ["district_cds"], "inner")
     site = F.when(F.col("website") != NO_DATA, D.website_href("website"))
     return shown.select(
         "slug",

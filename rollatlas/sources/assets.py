@@ -74,22 +74,24 @@ def write_by_key(df: DataFrame, path: str, key: str, buckets: int = 256, fmt: st
     """Files grouped by a hash bucket of the key, sorted by key inside.
 
     A reader of one key opens one bucket directory and, with Parquet statistics,
-    few row groups; a directory per key would mean millions of tiny files.
+    few row groups; a directory per key would mean millions of tiny files. The number of
+    buckets is kept with the table, as the outer directory.
     """
-    bucketed = df.withColumn("bucket", key_bucket(key, buckets))
+    bucketed = df.withColumn("buckets", F.lit(buckets)).withColumn("bucket", key_bucket(key, F.lit(buckets)))
     # Ranges, not one task per bucket: a bucket may span many tasks.
     sorted_rows = bucketed.repartitionByRange("bucket", key).sortWithinPartitions("bucket", key)
-    sorted_rows.write.format(fmt).mode("overwrite").partitionBy("bucket").save(path)
+    sorted_rows.write.format(fmt).mode("overwrite").partitionBy("buckets", "bucket").save(path)
 
 
-def key_bucket(key: str | Column, buckets: int = 256) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+def key_bucket(key: str | Column, buckets: Column) -> Column:
+    return F.pmod(F.xxhash64(key), buckets).cast("int")
 
 
-def read_one_key(spark: SparkSession, path: str, key: str, value: str, buckets: int = 256) -> DataFrame:
+def read_one_key(spark: SparkSession, path: str, key: str, value: str, fmt: str = "parquet") -> DataFrame:
     """Rows of one key of a ``write_by_key`` table; partition pruning leaves one bucket."""
-    table = spark.read.parquet(path)
-    return table.filter((F.col("bucket") == key_bucket(F.lit(value), buckets)) & (F.col(key) == value))
+    table = spark.read.format(fmt).load(path)
+    own = F.col("bucket") == key_bucket(F.lit(value), F.col("buckets"))
+    return table.filter(own & (F.col(key) == value)).drop("buckets", "bucket")
 
 
 def read_checked(spark: SparkSession, path: str, needed: list[str], fmt: str = "parquet") -> DataFrame:

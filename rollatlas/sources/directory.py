@@ -7,10 +7,6 @@ shuffle. Row numbers grow within a block, blocks within a file.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
-from urllib.parse import unquote
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +14,6 @@ from rollatlas.operators.ranking import top_k
 from rollatlas.schema import RAW_COLUMNS, RAW_SCHEMA
 
 PREAMBLE_LINES = 4
-# Up to this many files are scanned one by one, which makes the preamble a plain filter.
-MAX_SINGLE_SCANS = 64
 
 _OPTIONS = {
     "header": "false",
@@ -29,9 +23,18 @@ _OPTIONS = {
 }
 
 
-# A line of empty fields. Checked on the text: a filter on the parsed fields would be
-# moved in front of the parser and run it once per field.
-_NO_VALUES = r"^\s*(?:\"\s*\")?\s*(?:,\s*(?:\"\s*\")?\s*)*$"
+# An empty quoted field. Without a repeated group, for which the regex engine would recurse.
+_EMPTY_QUOTED = r"(^|,)\s*\"\s*\"\s*(?=,|$)"
+
+
+def no_values(line: Column | str) -> Column:
+    """Whether a line holds nothing but empty fields.
+
+    Checked on the text: a filter on the parsed fields would be moved in front of the parser and
+    run it once per field.
+    """
+    line = F.col(line) if isinstance(line, str) else line
+    return F.translate(F.regexp_replace(line, _EMPTY_QUOTED, "$1"), ", \t\n\v\f\r", "") == ""
 
 
 def source_position() -> Column:
@@ -48,26 +51,16 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def skip_preamble(lines: DataFrame, count: int = PREAMBLE_LINES) -> DataFrame:
-    """Drop the first ``count`` lines of every file of a multi-file scan.
+    """Drop the first ``count`` rows of every file of a scan with ``ord``.
 
-    Later blocks pass through. Rows of the first blocks are compared with the last
-    preamble row of their file, found with a row-number limit per task. Costs two
-    more reads of the text, so small file lists go through ``read_directory``'s
-    file-by-file path instead.
+    The last preamble row of each file comes from the first blocks' positions alone, by a
+    row-number limit that is cut in each task; later blocks pass whatever it is.
     """
-    later = lines.filter(F.col("ord.block") > 0)
-    first = lines.filter(F.col("ord.block") == 0).withColumn("_file", F.col("ord.file"))
-    heads = first.select("_file", F.col("ord.row").alias("_row"))
-    last = (
-        top_k(heads, ["_file"], ["_row"], count).groupBy("_file").agg(F.max("_row").alias("_last"))
-    )
-    body = first.join(last, "_file").filter(F.col("ord.row") > F.col("_last")).drop("_file", "_last")
-    return later.unionByName(body)
-
-
-def body_of_file(file_scan: DataFrame, count: int = PREAMBLE_LINES) -> DataFrame:
-    """Drop the first ``count`` rows of a scan of a single file: its row numbers start at 0."""
-    return file_scan.filter(~((F.col("ord.block") == 0) & (F.col("ord.row") < count)))
+    at = F.col("ord")
+    heads = lines.filter(at["block"] == 0).select(at["file"].alias("_file"), at["row"].alias("_row"))
+    last = top_k(heads, ["_file"], ["_row"], count).groupBy("_file").agg(F.max("_row").alias("_last"))
+    placed = lines.withColumn("_file", at["file"]).join(last, "_file", "left")
+    return placed.filter((at["block"] > 0) | (at["row"] > F.col("_last"))).drop("_file", "_last")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -77,7 +70,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     A line with too few or too many fields stops the job. Empty fields are empty
     text, not null (the sentinel is for fields that are not there at all).
     """
-    filled = lines.filter(~F.col("line").rlike(_NO_VALUES))
+    filled = lines.filter(~no_values("line"))
     fields = ", ".join(f"{c} string" for c in RAW_COLUMNS)
     record = F.from_csv("line", fields, {**_OPTIONS, "mode": "FAILFAST"})
     parsed = filled.select("ord", record.alias("_record"))
@@ -85,26 +78,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return parsed.select("ord", *fields)
 
 
-def _without_preamble(
-    spark: SparkSession,
-    read: Callable[[str | list[str]], DataFrame],
-    path: str | list[str],
-    count: int,
-) -> DataFrame:
-    if not count:
-        return read(path)
-    # The listing gives URIs; paths are read with their escapes undone.
-    files = sorted(unquote(f) for f in spark.read.text(path).inputFiles())
-    if len(files) > MAX_SINGLE_SCANS:
-        return skip_preamble(read(path), count)
-    return reduce(DataFrame.unionByName, [body_of_file(read(f), count) for f in files])
-
-
 def read_directory(
     spark: SparkSession, path: str | list[str], preamble: int = PREAMBLE_LINES
 ) -> DataFrame:
     """Raw records of one or more directory exports, one record per line."""
-    return parse_lines(_without_preamble(spark, lambda f: read_lines(spark, f), path, preamble))
+    lines = read_lines(spark, path)
+    return parse_lines(skip_preamble(lines, preamble) if preamble else lines)
 
 
 def read_directory_multiline(
@@ -117,10 +96,6 @@ def read_directory_multiline(
     """
     reader = spark.read.schema(RAW_SCHEMA).options(**_OPTIONS, multiLine="true", mode="FAILFAST")
     fields = [F.coalesce(c, F.lit("")).alias(c) for c in RAW_COLUMNS]
-    kept = _without_preamble(
-        spark,
-        lambda f: reader.csv(f).select(source_position().alias("ord"), *fields),
-        path,
-        preamble,
-    )
+    rows = reader.csv(path).select(source_position().alias("ord"), *fields)
+    kept = skip_preamble(rows, preamble) if preamble else rows
     return kept.filter(F.concat_ws("", *RAW_COLUMNS) != "")

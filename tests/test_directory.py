@@ -124,3 +124,18 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "administrator_name" not in plan
     # At most one row per key leaves each task.
     assert "row_number(), 1, Partial" in plan
+
+
+def test_lines_without_values(spark):
+    blank = ["", "   ", ",,,", ' "" , "  ",,"" ', "," * 100_000, '"",' * 50_000]
+    filled = ['","', '""""', "a,,", '"",x', ', """", ', "0", '"a",""']
+    df = spark.createDataFrame([(x,) for x in blank + filled], "line string")
+    got = [r[0] for r in df.select(directory.no_values("line")).collect()]
+    assert got == [True] * len(blank) + [False] * len(filled)
+
+
+def test_preamble_of_many_files(spark, tmp_path):
+    for i in range(70):
+        (tmp_path / f"{i}.csv").write_text("\n".join([*PREAMBLE, line(record_type="School", cds_code=f"c{i}")]))
+    got = directory.read_directory(spark, f"{tmp_path}/*.csv")
+    assert sorted(r["cds_code"] for r in got.collect()) == sorted(f"c{i}" for i in range(70))

@@ -52,10 +52,9 @@ RECORDS = [
 ]
 
 
-@pytest.mark.parametrize("hot_rows", [G.HOT_ROWS, 1])
-def test_cascade(spark, hot_rows):
+def test_cascade(spark):
     placed = G.geocode(
-        school_table(spark, [r for r, _ in RECORDS]).drop("lat", "lon"), gazetteer_table(spark, GAZETTEER), hot_rows
+        school_table(spark, [r for r, _ in RECORDS]).drop("lat", "lon"), gazetteer_table(spark, GAZETTEER)
     )
     got = {r["school"]: r for r in placed.collect()}
     assert len(got) == len(RECORDS)
@@ -102,5 +101,13 @@ def test_address_fallback(spark):
         "ord bigint, address string, lat double, lon double",
     )
     gaz = gazetteer_table(spark, [candidate("A", 1, "5", "6"), candidate("A", 2, "7", "8"), candidate("C", 1, "x", "6")])
-    got = G.fill_from_address(points, gaz, "address", ["ord"]).orderBy("ord").collect()
+    got = G.fill_from_address(points, gaz, "address").orderBy("ord").collect()
     assert [(r["lat"], r["lon"]) for r in got] == [(1.0, 2.0), (5.0, 6.0), (None, None), (None, None)]
+
+
+def test_ranks_need_not_start_at_one(spark):
+    points = spark.createDataFrame([(1, "A", None, None)], "ord bigint, address string, lat double, lon double")
+    for ranks in ((0, 2), (7, 9)):
+        gaz = gazetteer_table(spark, [candidate("A", ranks[1], "7", "8"), candidate("A", ranks[0], "5", "6")])
+        assert [(r["lat"], r["lon"]) for r in G.fill_from_address(points, gaz, "address").collect()] == [(5.0, 6.0)]
+        assert [c["lat"] for c in G.top_candidates(gaz, 1).collect()[0]["candidates"]] == ["5"]

@@ -130,7 +130,7 @@ def test_feature_output(spark, tmp_path, collection):
     from rollatlas.sources.assets import read_one_key
 
     build_boundaries(collection, str(tmp_path), buckets=8)
-    one = read_one_key(spark, f"{tmp_path}/boundaries", "boundary_key", "02_x", buckets=8)
+    one = read_one_key(spark, f"{tmp_path}/boundaries", "boundary_key", "02_x")
     assert [r["boundary_id"] for r in one.collect()] == ["02/x"]
     written = spark.read.json(f"{tmp_path}/boundary_features").collect()
     assert len(written) == 7

@@ -48,3 +48,19 @@ def test_outline(spark):
         (3, "Repeat", "####### seven\n##no space", None),
         (4, "Élan vital_2!", "Last question?", None),
     ]
+
+
+def test_anchors_are_unique_and_the_outline_has_them(spark):
+    text = "## Repeat\n## Repeat\n### Repeat 1\n## Repeat 1\n# Other\n## Repeat\n## Repeat 1-1\n## Other\n"
+    slugs = ["repeat", "repeat-1", "repeat-1-1", "repeat-1-2", "other", "repeat-2", "repeat-1-1-1", "other-1"]
+    heads = guide_headings(guides(spark, text)).filter("doc_id = 1").orderBy("pos").collect()
+    assert [r["slug"] for r in heads] == slugs
+    listed = guide_outline(guides(spark, text)).orderBy("number").collect()
+    assert [r["anchor"] for r in listed] == [r["slug"] for r in heads if r["depth"] == 2]
+
+
+def test_long_sections_pass(spark):
+    text = "## Long\n" + "words of one line\n" * 100_000 + "\n## Next\n\n\n> quoted\nnot a question\n## End\n  indented\n \t\nbehind"
+    got = guide_outline(guides(spark, text)).orderBy("number").collect()
+    assert len(got[0]["question"]) == 18 * 100_000 - 1
+    assert [r["question"] for r in got[1:]] == [None, "indented"]

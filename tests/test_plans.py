@@ -26,7 +26,7 @@ def test_row_operators_do_not_shuffle(spark):
     for name in ("internal_links", "page_link_counts", "guide_outline", "addresses", "boundary_boxes"):
         plan = plan_of(entry.queries()[name](spark, FOLDER))
         shuffles = plan.count("\n* Exchange") + plan.count("hashpartitioning")
-        # boundary_boxes keeps the last feature per key; small scans are spread once.
+        # boundary_boxes keeps the last feature per key.
         assert shuffles <= 1, name
 
 

@@ -1,67 +1,23 @@
 from __future__ import annotations
 
 import pytest
-from helpers import plan_of
 from pyspark.sql import functions as F
 
 from rollatlas.operators.linking import chunk_by_key
-from rollatlas.operators.skew import hot_keys, salted_join
 
 
 @pytest.fixture(scope="module")
 def hot(spark):
-    """One key with a third of the rows, one missing on the other side, nulls."""
+    """One key with a third of the rows, and nulls."""
     facts = spark.range(3000).select(
         F.col("id").alias("ord"),
         F.expr("CASE WHEN id % 3 = 0 THEN 1 WHEN id % 50 = 1 THEN NULL WHEN id % 7 = 2 THEN 999 ELSE id % 40 END").alias("key"),
     )
-    dims = spark.range(40).select(F.col("id").alias("key"), F.concat(F.lit("d"), "id").alias("name"))
-    return facts, dims
-
-
-def rows(df):
-    return sorted((tuple(r) for r in df.collect()), key=str)
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("hot_rows", [1, 200, 10_000])
-def test_same_as_plain_join(hot, how, hot_rows):
-    facts, dims = hot
-    plain = facts.join(dims, ["key"], how)
-    salted = salted_join(facts, dims, ["key"], how, ["ord"], hot_rows=hot_rows)
-    assert rows(salted.select(plain.columns)) == rows(plain)
-
-
-def test_hot_rows_are_spread(spark, hot):
-    facts, dims = hot
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    try:
-        joined = salted_join(facts, dims, ["key"], "inner", ["ord"], hot_rows=100)
-        sizes = [r[0] for r in joined.groupBy(F.spark_partition_id()).count().select("count").collect()]
-        assert sum(sizes) == facts.join(dims, "key").count()
-        assert max(sizes) < 500  # the hot key alone has 1000 rows
-        assert "SortMergeJoin" in plan_of(joined)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
-
-
-def test_hot_key_list_is_bounded(hot):
-    facts, _ = hot
-    assert hot_keys(facts, ["key"], hot_rows=1, max_keys=5).count() == 5
-    assert [tuple(r) for r in hot_keys(facts, ["key"], hot_rows=300).collect()] == [(1, 4)]
-
-
-def test_other_join_types_are_refused(hot):
-    with pytest.raises(ValueError):
-        salted_join(*hot, ["key"], "full", ["ord"])
+    return facts
 
 
 def test_chunks_hold_everything_in_order(hot):
-    facts, _ = hot
+    facts = hot
     numbered = facts.filter("key IS NOT NULL").withColumn("v", F.col("ord"))
     chunks = chunk_by_key(numbered, "key", ["v"], "items", rows=100)
     got = chunks.orderBy("key", "chunk").collect()
