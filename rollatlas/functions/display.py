@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 from rollatlas.functions.text import col, has_value, join_values, or_default, present, trim_blanks
 
+# Texts that stand in for missing fields.
 NO_ADDRESS = "Address Not Available"
 NO_WEBSITE = "Website Not Available"
+UNKNOWN_DISTRICT = "Unknown District"
+NO_VALUE = "N/A"
+# Texts around names in titles and descriptions.
+TITLE_END = " - District Details"
+ABOUT = "Information and schools for "
+HOME_STATE_NAME = "California"
+ABOUT_END = ". View address, website, grades, and map."
 
 # Addresses of the public profile pages, keyed by code.
 DISTRICT_DASHBOARD = "https://www.caschooldashboard.org/reports/gissearch/districts/"
@@ -73,7 +81,7 @@ def grade_span(low: Column | str, high: Column | str, style: str = "district") -
     both = has_value(low) & has_value(high)
     span = F.concat_ws(" - ", low, high)
     if style == "district":
-        return F.when(both, span).otherwise("N/A")
+        return F.when(both, span).otherwise(NO_VALUE)
     if style == "school":
         return F.when(both, F.format_string("(%s)", span)).otherwise("")
     if style == "list":
@@ -115,16 +123,16 @@ def marker_link(slug: Column | str, code: Column | str, base: str = "/") -> Colu
 
 
 def page_title(name: Column | str) -> Column:
-    return F.concat(or_default(name, "Unknown District"), F.lit(" - District Details"))
+    return F.concat(or_default(name, UNKNOWN_DISTRICT), F.lit(TITLE_END))
 
 
 def page_description(name: Column | str, county: Column | str) -> Column:
     return F.concat(
-        F.lit("Information and schools for "),
-        or_default(name, "Unknown District"),
+        F.lit(ABOUT),
+        or_default(name, UNKNOWN_DISTRICT),
         F.lit(" in "),
-        or_default(county, "California"),
-        F.lit(". View address, website, grades, and map."),
+        or_default(county, HOME_STATE_NAME),
+        F.lit(ABOUT_END),
     )
 
 
@@ -138,7 +146,7 @@ def page_trail(name: Column | str) -> Column:
     return F.array(
         F.struct(F.lit("Home").alias("text"), F.lit("/").alias("href")),
         F.struct(
-            or_default(name, "Unknown District").alias("text"),
+            or_default(name, UNKNOWN_DISTRICT).alias("text"),
             F.lit(None).cast("string").alias("href"),
         ),
     )

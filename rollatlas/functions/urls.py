@@ -9,6 +9,11 @@ from rollatlas.functions.binding import let
 from rollatlas.functions.text import col, trim_blanks
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
+# Characters that the URL standard has encoded besides blanks, controls and
+# non-ASCII, as classes of regular expressions.
+UNSAFE_PATH = '"<>`{}'
+UNSAFE_QUERY = "\"<>'"
+UNSAFE_FRAGMENT = '"<>`'
 _AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#\\]*)"
 
 
@@ -61,13 +66,30 @@ def _fold_dots(path: Column) -> Column:
     return F.when(path.contains("/."), closed).otherwise(path)
 
 
+def _encoded(text: Column, unsafe: str) -> Column:
+    """Percent-encode blanks, controls, non-ASCII and the characters of ``unsafe``."""
+    odd = f"[^!-~]|[{unsafe}]"
+
+    def one(c: Column) -> Column:
+        return F.when(c.rlike(odd), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c)
+
+    letters = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one)
+    return F.when(text.rlike(odd), F.array_join(letters, "")).otherwise(text)
+
+
 def normalize_url(url: Column | str) -> Column:
-    """Lower-case scheme and host, fold dots, give an empty path its slash; null off the web."""
+    """Lower-case scheme and host, fold dots, give an empty path its slash, percent-encode; null
+    off the web."""
 
     def assemble(parts: Column) -> Column:
         path = F.regexp_extract(parts["rest"], r"^([^?#]*)", 1)
-        tail = F.substr(parts["rest"], F.length(path) + 1)
-        return F.concat(parts["origin"], let(or_root(path), _fold_dots), tail)
+        query = F.regexp_extract(parts["rest"], r"^[^?#]*(\?[^#]*)", 1)
+        fragment = F.substr(parts["rest"], F.length(path) + F.length(query) + 1)
+        folded = let(or_root(path), _fold_dots)
+        return F.concat(
+            parts["origin"], let(folded, lambda p: _encoded(p, UNSAFE_PATH)),
+            let(query, lambda q: _encoded(q, UNSAFE_QUERY)), let(fragment, lambda f: _encoded(f, UNSAFE_FRAGMENT)),
+        )
 
     def read(address: Column) -> Column:
         rest = F.regexp_replace(address, _AUTHORITY, "")

@@ -17,6 +17,7 @@ from rollatlas.schema import (
 )
 
 # Hosts whose published addresses carry a www. prefix that does not resolve.
+# Fixed value: hosts whose website only answers with www.
 WWW_HOSTS = ("srvusd.net",)
 
 

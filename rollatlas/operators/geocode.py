@@ -25,6 +25,7 @@ from rollatlas.operators.arrays import explode_costly
 from rollatlas.operators.ranking import first_per_key, top_k
 from rollatlas.schema import NO_DATA
 
+# The state of town queries, candidates asked for, and the worst score accepted.
 HOME_STATE = "CA"
 SEARCH_CAP = 5
 SCORE_LIMIT = 60

@@ -67,3 +67,17 @@ def test_audit(spark):
     counts = {r["page_id"]: (r["internal_links"], r["has_link"]) for r in L.page_link_counts(p).collect()}
     assert counts == {1: (3, True), 2: (0, False), 3: (3, True)}
     assert L.internal_links(p, "http://site.org").collect() == [(1, "http://site.org/plain")]
+
+
+def test_links_are_percent_encoded(spark):
+    from pyspark.sql import functions as F
+
+    from rollatlas.functions.urls import normalize_url
+
+    cases = {
+        "http://a/f\u00fcr x": "http://a/f%C3%BCr%20x", "http://a/f%C3%BCr%20x": "http://a/f%C3%BCr%20x",
+        "http://a/\U0001f600/{b}?q='a b'\u00e9#`c`": "http://a/%F0%9F%98%80/%7Bb%7D?q=%27a%20b%27%C3%A9#%60c%60",
+        "http://a/plain?x=1&y={2}#z": "http://a/plain?x=1&y={2}#z", "http://a": "http://a/",
+    }
+    got = spark.createDataFrame([(c,) for c in cases], "u string").select("u", normalize_url(F.col("u")).alias("n")).collect()
+    assert {r["u"]: r["n"] for r in got} == cases
