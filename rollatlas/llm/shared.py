@@ -11,6 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Settings under which an execution deletes its own shuffle files when it ends.
+_CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
 _LOCAL: dict[str, str] = {}
 _SHIPPED: dict[str, str] = {}
 
@@ -41,11 +43,19 @@ def new_folder(spark: SparkSession, label: str) -> str:
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a table that is read more than once, and read it back.
 
-    It survives lost executors and cuts the lineage, so later reads repeat nothing.
+    It survives lost executors and cuts the lineage, so later reads repeat nothing. The shuffle
+    files behind it are of no use once it is written, and go.
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in _CLEANUP}
+    try:
+        for k in _CLEANUP:
+            spark.conf.set(k, "true")
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
