@@ -4,14 +4,14 @@ Sets are banded by size so that a set can only link with sets of its own band or
 Within a band two linked sets differ in at most ``limit`` shingles (symmetric difference). The
 universe of shingles is hashed into segments. With ``limit + 1`` segments, one is equal in both
 sets (pigeonhole). Some segments may instead be compared up to one deletion, which counts for
-two; the number of those, against more segments, is chosen by estimated cost (rows written plus
-sets that share a segment by chance). ``spare`` segments more than needed let each set give up
-its most crowded ones without losing a link.
+two. ``spare`` segments more than needed let each set give up its most crowded ones without losing
+a link. Each band gets spare segments, or half as many segments with a deletion each, whichever
+costs less by estimate: rows written, plus sets that share a segment by chance.
 
 Sets that share a segment are verified exactly. In a crowded segment all are first compared with
-one of them; only those that stay in different components are compared with others, and at last
-all such pairs, so no link between components is lost while groups of near copies need one
-comparison for each member. Texts that are there more than once are compared once.
+one of them, so groups of near copies need one comparison for each member. What shares segments
+and is still in different components is compared in blocks of sets, as matrix products that
+return links and no pairs; so no link between components is lost. Texts that are there more than once are compared once.
 
 Words are stretches without ASCII white space, A-Z lower-cased. A shingle's identity is 52 bits
 of its hash. A text without words has an empty set and links with nothing; one of fewer words
@@ -40,8 +40,13 @@ WORDS = 4
 PERCENT = 85
 #: Segments shared by at most so many sets have all their pairs compared at once.
 FEW = 6
+#: Bytes and number of sets in a block that is compared with other blocks in one task.
+BLOCK_BYTES = 4 << 20
+BLOCK_ROWS = 512
+#: Shingles that are counted together in one block.
+BLOCK_SHINGLES = 4096
 #: Texts for each task that looks for equal segments.
-TASK_TEXTS = 1000
+TASK_TEXTS = 8000
 #: Steps of a text column hold at most so many rows, which leaves 52 bits for a shingle.
 STEP_ROWS = 4096
 _SEGMENT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -58,6 +63,17 @@ class Bands:
     spare: np.ndarray
 
 
+def _at_least(n: int, mean: float) -> float:
+    """Probability that a Poisson number with this mean is ``n`` or more."""
+    if n > mean + 12 * math.sqrt(mean) + 12:
+        return 0.0
+    term = below = math.exp(-mean)
+    for i in range(1, n):
+        term *= mean / i
+        below += term
+    return max(0.0, 1 - below)
+
+
 def bands(texts: int, percent: int = PERCENT) -> Bands:
     least = [1]
     while least[-1] < 1 << 40:
@@ -67,16 +83,23 @@ def bands(texts: int, percent: int = PERCENT) -> Bands:
     for low, following in zip(least, least[1:]):
         # 100 * both >= percent * (all - both) bounds what two sets differ in.
         limit = 2 * (following - 1) * (100 - percent) // (100 + percent)
-        spare = 1 + math.ceil(0.12 * limit) if limit else 0
         best = None
-        for deletions in [0] + [1 << i for i in range(60) if 1 << i <= (limit + 1) // 2]:
-            segments = limit + 1 + spare - deletions
+        plenty = limit + 3 + math.ceil(0.3 * limit) if limit else 1
+        half = limit // 2 + 1
+        for segments, deletions in ((plenty, 0), (half, half)):
+            spare = segments + deletions - limit - 1
             size = (low + following) / 2 / segments
             written = segments + deletions * size
-            chance = each / 2 * ((segments - deletions) * math.exp(-2 * size) + deletions * ((1 + size) * math.exp(-size)) ** 2)
+            # A segment without shingles is shared by chance, and given up as far as there are
+            # segments to spare. One with a shingle at most is so where a deletion is allowed.
+            plain = segments - deletions
+            chance = each / 2 * (
+                plain * math.exp(-2 * size) * _at_least(spare + 1, plain * math.exp(-size))
+                + deletions * ((1 + size) * math.exp(-size)) ** 2
+            )
             if best is None or written + chance < best[0]:
-                best = (written + chance, segments, deletions)
-        rows.append((low, best[1], best[2], spare))
+                best = (written + chance, segments, deletions, spare)
+        rows.append((low, *best[1:]))
     return Bands(*(np.array(x, np.int64) for x in zip(*rows)))
 
 
@@ -172,8 +195,8 @@ def _signature_rows(texts: DataFrame, plan: Bands, n_words: int, tasks: int) ->
     return texts.mapInArrow(run, "task long, ids binary, signatures binary, bands binary")
 
 
-#: Rows of the staged table: sizes (kind 0: id a, size), pairs (kind 1: a, b) and members of
-#: crowded segments (kind 2: the list a has member b, size members, equal in n segments).
+#: Rows of the staged table: sizes (kind 0: id a, size) and members of shared segments (kind 1:
+#: the list a has member b, size members, equal in n segments).
 _FOUND = "kind int, a long, b long, size long, n int, band int, fixed boolean"
 
 
@@ -196,29 +219,21 @@ def _shared_segments(rows: DataFrame) -> DataFrame:
             signature, ids, band = signature[order], ids[order], band[order]
             first = np.flatnonzero(np.concatenate([[True], signature[1:] != signature[:-1]]))
             size = np.diff(first, append=len(ids))
-            pairs = []
-            for n in range(2, FEW + 1):
-                at = first[size == n]
-                pairs += [np.stack([ids[at + j], ids[at + i]]) for i in range(n) for j in range(i + 1, n)]
-            if pairs:
-                both = np.concatenate(pairs, axis=1)
-                both = np.unique(both[:, both[0] != both[1]], axis=1)
-                add(out, 1, both[0], both[1], 0, 0, 0, False)
             # Segments with one and the same members count as one, seen several times.
-            crowded = np.flatnonzero(size > FEW)
-            if len(crowded):
-                row = np.repeat(first[crowded], size[crowded])
-                row += np.arange(len(row)) - np.repeat(np.cumsum(size[crowded]) - size[crowded], size[crowded])
-                start = np.cumsum(size[crowded]) - size[crowded]
-                fixed = (signature[first[crowded]] & np.uint64(1)).astype(bool)
+            shared = np.flatnonzero(size > 1)
+            if len(shared):
+                row = np.repeat(first[shared], size[shared])
+                row += np.arange(len(row)) - np.repeat(np.cumsum(size[shared]) - size[shared], size[shared])
+                start = np.cumsum(size[shared]) - size[shared]
+                fixed = (signature[first[shared]] & np.uint64(1)).astype(bool)
                 key = np.add.reduceat(bytetext.mix(ids[row].view(np.uint64)), start)
-                key = bytetext.mix(key + band[first[crowded]].astype(np.uint64) * _BAND + fixed)
+                key = bytetext.mix(key + band[first[shared]].astype(np.uint64) * _BAND + fixed)
                 name, pick, times = np.unique(key, return_index=True, return_counts=True)
-                length = size[crowded][pick]
+                length = size[shared][pick]
                 member = np.repeat(start[pick], length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
                 repeat = lambda x: np.repeat(x, length)
-                add(out, 2, repeat(name.view(np.int64)), ids[row][member], repeat(length), repeat(times),
-                    repeat(band[first[crowded]][pick].astype(np.int64)), repeat(fixed[pick]))
+                add(out, 1, repeat(name.view(np.int64)), ids[row][member], repeat(length), repeat(times),
+                    repeat(band[first[shared]][pick].astype(np.int64)), repeat(fixed[pick]))
         kinds = {"kind": pa.int32(), "n": pa.int32(), "band": pa.int32(), "fixed": pa.bool_()}
         return pa.table({
             k: pa.array(np.concatenate(v) if v else np.zeros(0, bool if k == "fixed" else np.int64), kinds.get(k, pa.int64()))
@@ -269,6 +284,56 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _block_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join what is similar enough within each group of (node, root).
+
+    A group is dealt into blocks; every two blocks meet in one task, which counts the shingles
+    that their documents share as a product of 0/1 matrices and returns a tree for each cluster.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        docs = table.column("doc").to_numpy()
+        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").combine_chunks()]
+        size = np.array([len(x) for x in parts])
+        row = np.repeat(np.arange(len(parts)), size)
+        name, place, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        order = np.argsort(place, kind="stable")
+        row, place = row[order], place[order]
+        # A shingle of one document alone is shared by nobody.
+        often = (times > 1)[place]
+        row, place = row[often], (np.cumsum(times > 1) - 1)[place[often]]
+        both = np.zeros((len(parts), len(parts)), np.float32)
+        for low in range(0, int((times > 1).sum()), BLOCK_SHINGLES):
+            a, b = np.searchsorted(place, [low, low + BLOCK_SHINGLES])
+            has = np.zeros((len(parts), BLOCK_SHINGLES), np.float32)
+            has[row[a:b], place[a:b] - low] = 1
+            both += has @ has.T
+        together = size[:, None] + size[None, :]
+        linked = (100 + percent) * both.astype(np.int64) >= percent * together
+        label = np.arange(len(parts))
+        while True:
+            least = np.where(linked, label[None, :], len(parts)).min(axis=1)
+            least = np.minimum(label, least)
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        moved = label != np.arange(len(parts))
+        return pa.table({"a": docs[moved], "b": docs[label[moved]]})
+
+    members = groups.select(F.col("node").alias("doc"), F.col("root").alias("group"))
+    sized = members.join(sets.select("doc", F.octet_length("shingles").cast("long").alias("bytes")), "doc")
+    most = F.greatest(F.sum("bytes") / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_ROWS)
+    blocks = sized.groupBy("group").agg(F.ceil(most).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    dealt = members.join(blocks, "group").withColumn("own", own).select(
+        "doc", "group", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    )
+    met = dealt.select("doc", "group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return met.join(sets, "doc").groupBy("group", "low", "high").applyInArrow(run, "a long, b long")
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = WORDS, percent: int = PERCENT,
 ) -> DataFrame:
@@ -288,45 +353,45 @@ def jaccard_components(
     found = stage(_shared_segments(_signature_rows(texts, plan, n_words, tasks)), "jaccard-segments")
 
     sizes = found.filter("kind = 0").groupBy(F.col("a").alias("doc")).agg(F.max("size").alias("n_shingles"))
-    pairs = found.filter("kind = 1").select("a", "b").distinct()
     # Each set gives up its most crowded segments, as many as its band can spare.
     spare = F.element_at(F.array([F.lit(int(x)) for x in plan.spare]), F.col("band") + 1)
     members = (
-        found.filter("kind = 2").groupBy(F.col("a").alias("list"), F.col("b").alias("doc"), "band", "fixed", "size")
+        found.filter("kind = 1").groupBy(F.col("a").alias("list"), F.col("b").alias("doc"), "band", "fixed", "size")
         .agg(F.sum("n").alias("n"))
     )
     crowd = W.partitionBy("doc", "band").orderBy("fixed", F.desc("size"), "list").rowsBetween(W.unboundedPreceding, 0)
     chosen = ~((F.sum("n").over(crowd) <= spare) & ~F.col("fixed"))
-    members = stage(members.withColumn("chosen", chosen), "jaccard-lists")
+    # Two linked sets share more segments than can be given up.
+    least = F.element_at(F.array([F.lit(int(x)) for x in plan.spare + 1 - 2 * plan.deletions]), F.col("band") + 1)
+    enough = F.sum(F.when(~F.col("fixed"), F.col("n")).otherwise(0)).over(W.partitionBy("doc", "band")) >= least
+    members = stage(members.withColumn("chosen", chosen).withColumn("enough", enough).filter("enough"), "jaccard-lists")
     needed = members.groupBy("list").agg(F.max("chosen").alias("any")).filter("any").select("list")
-    members = stage(members.join(needed, "list", "left_semi").select("list", "doc", "chosen"), "jaccard-lists")
+    members = stage(members.join(needed, "list", "left_semi").select("list", "doc", "chosen", "size"), "jaccard-lists")
+    few = members.filter(F.col("size") <= FEW)
+    pairs = few.select("list", F.col("doc").alias("a"), F.col("chosen").alias("a_chosen")).join(
+        few.select("list", F.col("doc").alias("b"), F.col("chosen").alias("b_chosen")), "list"
+    ).filter("a > b and (a_chosen or b_chosen)").select("a", "b")
 
-    docs_met = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(members.select("doc")).distinct()
+    docs_met = members.select("doc").distinct()
     mine = source.join(docs_met.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = stage(_sets(mine.select("doc_id", "text"), n_words), "jaccard-sets")
 
+    members = members.filter(F.col("size") > FEW)
     centre = members.groupBy("list").agg(F.min("doc").alias("b"))
     stars = members.filter("chosen").join(centre, "list").select(F.col("doc").alias("a"), "b").filter("a != b")
     links = stage(_verified(pairs.union(stars).distinct(), sets, percent), "jaccard-links")
     labels = components(links)
-    for last in (False, False, True):
-        labelled = members.join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left").select(
-            "list", "doc", "chosen", F.coalesce("root", "doc").alias("root")
-        )
-        split = labelled.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-        open_lists = stage(labelled.join(split.select("list", "low", "high"), "list"), "jaccard-open")
-        if open_lists.isEmpty():
-            break
-        if last:
-            other = open_lists.select("list", F.col("doc").alias("b"), F.col("root").alias("other"))
-            more = open_lists.filter("chosen").join(other, "list").filter("root != other").select(
-                F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")
-            )
-        else:
-            # The component with the largest root is compared with by its smallest member.
-            other = open_lists.filter("root = high").groupBy("list").agg(F.min("doc").alias("b"))
-            more = open_lists.filter("root < high").join(other, "list").select(F.col("doc").alias("a"), "b")
-        links = stage(links.union(_verified(more.distinct(), sets, percent)), "jaccard-links")
+    labelled = members.join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left").select(
+        "list", "doc", F.coalesce("root", "doc").alias("root")
+    )
+    split = labelled.groupBy("list").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("doc").alias("b")
+    ).filter("low < high")
+    open_lists = stage(labelled.join(split.select("list", "b"), "list").select(F.col("doc").alias("a"), "b"), "jaccard-open")
+    if not open_lists.isEmpty():
+        # What shares such segments is compared in blocks; a group of one document is none.
+        groups = components(open_lists)
+        links = links.union(_block_links(groups, sets, percent))
         labels = components(links)
 
     told = rows.join(owners, "key").join(sizes, "doc").join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left")
