@@ -17,6 +17,8 @@ from rollatlas.llm import bytetext
 
 #: Words held at a time; a full cache is emptied, which changes no id.
 CACHE_WORDS = 600_000
+#: Bytes of text encoded together; fewer make more merges of the cache.
+STEP_BYTES = 2 << 20
 END_ID = 2
 _LETTERS = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _PLAIN_MARKS = np.isin(np.arange(256), list(b'.,;:!?()[]{}"-#&$%*+/=@_~^'))
@@ -90,5 +92,5 @@ def encoder(path: str) -> WordEncoder:
 def encoded_rows(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, ids, end of each row's ids) for runs of rows of a text column."""
     own = encoder(path)
-    for first, _, data, offsets in bytetext.steps(column):
+    for first, _, data, offsets in bytetext.steps(column, STEP_BYTES):
         yield first, *own.encode(data, offsets)
