@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import pytest
 from helpers import candidate, gazetteer_table, school_table
 from pyspark.sql import functions as F
 
