@@ -10,6 +10,11 @@ the same text or another. Texts are UTF-8 bytes and matches never cross texts.
 3. Regions go to shards by their anchor's hash, so any two equal windows meet in a shard. Equal
    regions count as repeated at once and stand in the shard's string once. The shard's suffix
    array and permuted common prefixes tell which windows of the rest occur again.
+4. A hash whose regions would fill a good part of a shard is no shard key. Those regions get
+   anchors anew, of longer strings (``finer``), which equal windows share just so. Equal regions
+   are counted by a digest of their bytes, one of them goes on, and only different ones go to
+   shards or, where they are too many again, to the next longer strings. At the last, strings are
+   whole windows, and their digests tell which occur again.
 
 A text that is there more than once is covered whole if it has ``length`` bytes or more; one of
 its rows stands for it in the steps above, so groups of copies cost no more than one text. Null
@@ -34,6 +39,8 @@ LENGTH = 400
 GRAM = 32
 #: Bytes of regions that a shard is meant to hold.
 SHARD_BYTES = 3 << 20
+#: A hash whose regions hold more than this part of ``SHARD_BYTES`` is split.
+HOT_PART = 4
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -81,43 +88,64 @@ def text_key(column: str = "text") -> Column:
     return F.unhex(F.md5(_text(column)))
 
 
+def finer(length: int, gram: int) -> int:
+    """The next longer strings after ``gram``; ``length`` is the last."""
+    return length - (length - gram) // 8
+
+
+def _anchor_runs(
+    data: np.ndarray, offsets: np.ndarray, length: int, gram: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, first, last) of runs of near anchors with one hash, in order."""
+    row, place, value = anchors(data, offsets, length, gram)
+    order = np.lexsort((place, value, row))
+    row, place, value = row[order], place[order], value[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1]) | (place[1:] - place[:-1] > length)
+    if gram == length:
+        # Nothing checks these later, so a run holds equal windows, not only equal hashes.
+        raw, at = memoryview(data), offsets[row] + place
+        for i in np.flatnonzero(~new).tolist():
+            new[i] = raw[at[i - 1] : at[i - 1] + length] != raw[at[i] : at[i] + length]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(row))[: len(first)] - 1
+    return row[first], value[first], place[first], place[last]
+
+
 def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(hash, key, first, last) of runs of near anchors with one hash, of (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, _, data, offsets in bytetext.steps(batch.column(1)):
-                row, place, value = anchors(data, offsets, length, gram)
-                order = np.lexsort((place, value, row))
-                row, place, value = row[order], place[order], value[order]
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1]) | (place[1:] - place[:-1] > length)
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(row))[: len(first)] - 1
+                row, value, first, last = _anchor_runs(data, offsets, length, gram)
                 yield pa.RecordBatch.from_pydict({
-                    "hash": pa.array(value[first].view(np.int64)),
-                    "key": batch.column(0).take(pa.array(row[first] + begin)),
-                    "first": pa.array(place[first], pa.int32()),
-                    "last": pa.array(place[last], pa.int32()),
+                    "hash": pa.array(value.view(np.int64)),
+                    "key": batch.column(0).take(pa.array(row + begin)),
+                    "first": pa.array(first, pa.int32()),
+                    "last": pa.array(last, pa.int32()),
                 })
 
     return texts.select("key", "text").mapInArrow(run, "hash long, key binary, first int, last int")
 
 
-def regions(marked: DataFrame, length: int, gram: int, shards: int) -> DataFrame:
-    """(shard, key, start, bytes) around the anchors of (key, text, places of hash, first, last)."""
-    reach = length - gram
+def regions(marked: DataFrame, shards: int) -> DataFrame:
+    """(shard, key, start, bytes) of (key, at, bytes, places of hash, hot, from, to).
+
+    ``at`` is the place of the bytes in their text. Hot places have shard -1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = bytetext.text_bytes(batch.column(1))
-            lists = batch.column(2)
+            data, offsets = bytetext.text_bytes(batch.column(2))
+            lists = batch.column(3)
             flat = lists.flatten()
             row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            shard = flat.field(0).to_numpy().view(np.uint64) % np.uint64(shards)
-            first, last = flat.field(1).to_numpy().astype(np.int64), flat.field(2).to_numpy().astype(np.int64)
-            start = np.maximum(first - reach, 0)
-            end = np.minimum(last + length, np.diff(offsets)[row])
+            shard = (flat.field(0).to_numpy().view(np.uint64) % np.uint64(shards)).astype(np.int64)
+            shard[flat.field(1).to_numpy(zero_copy_only=False).astype(bool)] = -1
+            at = batch.column(1).to_numpy().astype(np.int64)
+            start = flat.field(2).to_numpy().astype(np.int64) - at[row]
+            end = np.minimum(flat.field(3).to_numpy().astype(np.int64) - at[row], np.diff(offsets)[row])
             # Overlapping regions of a text in one shard become one, so that no byte is there twice.
             order = np.lexsort((start, shard, row))
             row, shard, start, end = row[order], shard[order], start[order], end[order]
@@ -138,13 +166,54 @@ def regions(marked: DataFrame, length: int, gram: int, shards: int) -> DataFrame
                 cut = slice(lo, lo + 4096)
                 parts = [raw[b + s : b + e] for b, s, e in zip(base[cut].tolist(), start[cut].tolist(), end[cut].tolist())]
                 yield pa.RecordBatch.from_pydict({
-                    "shard": pa.array(shard[cut].astype(np.int64)),
+                    "shard": pa.array(shard[cut]),
                     "key": batch.column(0).take(pa.array(row[cut])),
-                    "start": pa.array(start[cut], pa.int32()),
+                    "start": pa.array(at[row[cut]] + start[cut], pa.int32()),
                     "bytes": pa.array([bytes(p) for p in parts], pa.binary()),
                 })
 
-    return marked.select("key", "text", "places").mapInArrow(run, "shard long, key binary, start int, bytes binary")
+    return marked.mapInArrow(run, "shard long, key binary, start int, bytes binary")
+
+
+def region_rows(pieces: DataFrame, length: int, gram: int) -> DataFrame:
+    """(hash, digest, key, at, from, to, own) of the regions around the anchors of (key, at, bytes).
+
+    ``own``: there are several anchors with that hash in the region. Where ``gram`` is ``length``
+    a region is a run of equal windows and the digest is that of one.
+    """
+    reach = length - gram
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(1).to_numpy().astype(np.int64)
+            for begin, _, data, offsets in bytetext.steps(batch.column(2)):
+                row, value, first, last = _anchor_runs(data, offsets, length, gram)
+                start = np.maximum(first - reach, 0)
+                end = np.minimum(last + length, np.diff(offsets)[row])
+                if reach:
+                    new = np.ones(len(row), bool)
+                    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1]) | (start[1:] > end[:-1])
+                    head = np.flatnonzero(new)
+                    tail = np.append(head[1:], len(row))[: len(head)] - 1
+                    row, value, start, end = row[head], value[head], start[head], end[tail]
+                    first, last = first[head], last[tail]
+                raw, base = memoryview(data), offsets[row]
+                upto = end if reach else start + length
+                digest = [
+                    hashlib.blake2b(raw[b + s : b + e], digest_size=16).digest()
+                    for b, s, e in zip(base.tolist(), start.tolist(), upto.tolist())
+                ]
+                place = at[row + begin]
+                yield pa.RecordBatch.from_pydict({
+                    "hash": pa.array(value.view(np.int64)), "digest": pa.array(digest, pa.binary()),
+                    "key": batch.column(0).take(pa.array(row + begin)), "at": pa.array(place, pa.int32()),
+                    "from": pa.array(place + start, pa.int32()), "to": pa.array(place + end, pa.int32()),
+                    "own": pa.array(first < last),
+                })
+
+    return pieces.select("key", "at", "bytes").mapInArrow(
+        run, "hash long, digest binary, key binary, at int, from int, to int, own boolean"
+    )
 
 
 def repeated_starts(parts: list[bytes], length: int) -> list[np.ndarray]:
@@ -213,20 +282,75 @@ def _union(low: list[int], high: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _crowded(cut: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, from, to) stretches of covered bytes of the hot regions, those of shard -1, in ``cut``."""
+    out = []
+    while True:
+        pieces = cut.filter("shard = -1").select("key", F.col("start").alias("at"), "bytes")
+        gram = finer(length, gram)
+        rows = stage(region_rows(pieces, length, gram), "repeat-split")
+        kinds = stage(
+            rows.groupBy("hash", "digest").agg(
+                F.count(F.lit(1)).alias("n"), F.max("own").alias("own"), F.min(F.struct("key", "at", "from", "to")).alias("one")
+            ),
+            "repeat-kinds",
+        )
+        # What is there several times is covered whole; one of it meets what is not the same.
+        again = kinds.filter("n > 1").select("hash", "digest")
+        out.append(rows.join(again, ["hash", "digest"], "left_semi").select("key", "from", "to"))
+        if gram == length:
+            out.append(rows.filter("own").select("key", "from", "to"))
+            break
+        size = F.sum(F.col("one.to") - F.col("one.from"))
+        each = kinds.groupBy("hash").agg(size.alias("size"), F.count(F.lit(1)).alias("kinds"), F.max("own").alias("own"))
+        each = stage(
+            each.filter("kinds > 1 or own").select("hash", "size", (F.col("size") > SHARD_BYTES // HOT_PART).alias("hot")),
+            "repeat-hashes",
+        )
+        cold, hot = _totals(each)
+        one = kinds.join(each.select("hash", "hot"), "hash").select("one.*", "hash", "hot")
+        places = one.groupBy("key", "at").agg(F.collect_list(F.struct("hash", "hot", "from", "to")).alias("places"))
+        marked = pieces.join(places, ["key", "at"]).select("key", "at", "bytes", "places")
+        cut = stage(regions(marked, max(1, cold // SHARD_BYTES)), "repeat-cut")
+        out.append(covered(cut.filter("shard >= 0"), length))
+        if not hot:
+            break
+    found = out[0]
+    for more in out[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _totals(sized: DataFrame) -> tuple[int, bool]:
+    """Bytes of what is not hot, and whether there is something hot, of (size, hot)."""
+    cold = F.sum(F.when(F.col("hot"), 0).otherwise(F.col("size")))
+    row = sized.agg(F.coalesce(cold, F.lit(0)).alias("cold"), F.coalesce(F.max("hot"), F.lit(False)).alias("hot")).first()
+    return int(row.cold), row.hot
+
+
 def repeated_texts(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(key, text, spans of from and to) of the texts with covered bytes that are there once."""
     source = docs.select(text_key(text_col).alias("key"), _text(text_col).alias("text"))
     found = stage(anchor_rows(source, length, gram).distinct(), "repeat-anchors")
     # A run of anchors with one hash in one text is a repeat in itself.
     times = F.sum(F.when(F.col("first") < F.col("last"), 2).otherwise(1))
-    often = found.groupBy("hash").agg(times.alias("n")).filter("n > 1")
-    hits = stage(found.join(often, "hash", "left_semi"), "repeat-hits")
-    size = hits.count() * 2 * length
-    shards = max(1, size // SHARD_BYTES)
-    places = hits.groupBy("key").agg(F.collect_list(F.struct("hash", "first", "last")).alias("places"))
+    size = F.col("last") - F.col("first") + 2 * length
+    often = found.groupBy("hash").agg(times.alias("n"), F.sum(size).alias("all")).filter("n > 1")
+    often = often.select("hash", (F.col("all") > SHARD_BYTES // HOT_PART).alias("hot"))
+    hits = stage(found.join(often, "hash").select("*", size.alias("size")), "repeat-hits")
+    cold, hot = _totals(hits)
+    place = F.struct(
+        "hash", "hot", F.greatest(F.col("first") - (length - gram), F.lit(0)).alias("from"), (F.col("last") + length).alias("to")
+    )
+    places = hits.groupBy("key").agg(F.collect_list(place).alias("places"))
     once = source.filter(F.octet_length("text") >= length).dropDuplicates(["key"])
     marked = stage(once.join(places, "key"), "repeat-texts")
-    found = covered(regions(marked, length, gram, shards), length)
+    cut = regions(marked.select("key", F.lit(0).alias("at"), "text", "places"), max(1, cold // SHARD_BYTES))
+    if hot:
+        cut = stage(cut, "repeat-cut")
+    found = covered(cut.filter("shard >= 0") if hot else cut, length)
+    if hot:
+        found = found.unionByName(_crowded(cut, length, gram))
     lists = found.groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("found"))
     return marked.select("key", "text").join(lists, "key")
 

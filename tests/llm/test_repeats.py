@@ -72,3 +72,24 @@ def test_repeated_rows_and_nothing(docs_of):
     found = repeats.repeat_digests(docs_of(rows), length=40, gram=8).collect()
     assert [(r.n_removed, r.n_spans) for r in found] == [(120, 1)] * 2
     assert repeats.repeat_digests(docs_of([])).collect() == []
+
+
+def test_no_shard_takes_all_of_a_quoted_passage(docs_of, monkeypatch):
+    random.seed(5)
+    new = lambda n: "".join(random.choice("abcdé ") for _ in range(n))
+    passage, near = new(70), new(25)
+    rows = [(i, new(60) + passage + new(60)) for i in range(120)]
+    # Some agree with others beyond the passage, some hold runs of other lengths, one is a copy.
+    rows += [(200 + i, new(30) + near + passage[:50] + new(30)) for i in range(40)]
+    rows += [(300 + i, new(30) + "-" * (40 + i) + new(30)) for i in range(40)] + [(400, rows[0][1])]
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 1000)
+    largest, covered = [], repeats.covered
+
+    def spy(cut, length):
+        largest.extend(r[1] for r in cut.selectExpr("shard", "octet_length(bytes) as n").groupBy("shard").sum("n").collect())
+        return covered(cut, length)
+
+    monkeypatch.setattr(repeats, "covered", spy)
+    found = repeats.repeat_digests(docs_of(rows), length=40, gram=8).collect()
+    assert sorted(map(tuple, found)) == sorted(x[:5] for x in brute(rows, 40))
+    assert max(largest, default=0) <= 3 * repeats.SHARD_BYTES
