@@ -78,6 +78,32 @@ def test_odd_documents_pass_all_stages(spark, tmp_path):
     assert {r.doc_id for r in found} == {5, None}
 
 
+def text_of(seed, words=90):
+    return " ".join(f"w{seed}x{i}" for i in range(words))
+
+
+def test_near_copies_without_id(spark, docs_of):
+    near = text_of(3) + " and more"
+    rows = [(1, text_of(1)), (None, text_of(1)), (None, text_of(2)), (None, text_of(2)), (7, near), (None, text_of(3)), (None, text_of(4))]
+    kept = corpus_pipeline.one_of_near_copies(spark, docs_of(rows), "").collect()
+    want = [(1, text_of(1)), (7, near), (None, text_of(2)), (None, text_of(4))]
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)
+
+
+def test_repeats_keep_a_text_that_also_has_no_id(spark, docs_of):
+    rows = [(1, text_of(1)), (None, text_of(1))]
+    docs = corpus_pipeline.one_of_near_copies(spark, docs_of(rows), "")
+    assert [(r.doc_id, r.text) for r in corpus_pipeline.no_repeats(spark, docs, "").collect()] == rows[:1]
+
+
+def test_benchmark_without_id(spark, docs_of, tmp_path):
+    item = text_of(9, 20)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"before {item} after"), (None, text_of(1)), (2, text_of(2)), (3, f"this {item}"), (None, None)]
+    kept = corpus_pipeline.no_benchmark(spark, docs_of(rows), str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {(None, text_of(1)), (2, text_of(2)), (None, None)}
+
+
 @needs_tables
 @pytest.mark.parametrize("name", list(queries.registry()))
 def test_queries_on_empty_tables(spark, tmp_path, name):
