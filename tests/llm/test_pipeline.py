@@ -82,6 +82,12 @@ def text_of(seed, words=90):
     return " ".join(f"w{seed}x{i}" for i in range(words))
 
 
+def test_documents_without_labels_stay(spark, docs_of):
+    rows = [(1, text_of(1)), (None, text_of(2)), (3, "12 34"), (4, None)]
+    kept = corpus_pipeline.known_language(spark, docs_of(rows), "").collect()
+    assert [(r.doc_id, r.text, r.lang) for r in kept] == [(*r, None) for r in rows[:2]]
+
+
 def test_near_copies_without_id(spark, docs_of):
     near = text_of(3) + " and more"
     rows = [(1, text_of(1)), (None, text_of(1)), (None, text_of(2)), (None, text_of(2)), (7, near), (None, text_of(3)), (None, text_of(4))]
