@@ -215,6 +215,31 @@ def _towns() -> str:
 PLACED_NATION = "JOIN nation ON n_nationkey = {key} JOIN region ON n_regionkey = r_regionkey"
 ORIGIN = "regexp_extract(url, '^(https?://[^/?#]*)', 1)"
 
+# Parts of an address behind its origin.
+PATH = "regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1)"
+QUERY = "regexp_extract(url, '^[^?#]*([?][^#]*)', 1)"
+FRAGMENT = "regexp_extract(url, '(#.*)$', 1)"
+NO_FRAGMENT = "''"
+
+
+def dots_folded(path: str) -> str:
+    """``.`` segments go, ``..`` segments take the one before them along."""
+    return f"regexp_replace(regexp_replace({path}, '/[.]/', '/', 'g'), '/[^/]+/[.][.]/', '/', 'g')"
+
+
+def percent_encoded(origin: str, path: str, query: str, fragment: str) -> str:
+    """An address of its parts. Blanks, controls and non-ASCII are percent-encoded everywhere;
+    of the other characters those that the URL standard names for each part."""
+
+    def part(text: str, unsafe: str) -> str:
+        unsafe = unsafe.replace("'", "''")
+        one = f"CASE WHEN regexp_matches(c, '[^!-~]|[{unsafe}]') THEN url_encode(c) ELSE c END"
+        return f"array_to_string(list_transform(regexp_extract_all({text}, '(?s).'), lambda c: {one}), '')"
+
+    path, query, fragment = part(path, '"<>`{}'), part(query, "\"<>'"), part(fragment, '"<>`')
+    return f"{origin} || coalesce(nullif({path}, ''), '/') || {query} || {fragment}"
+
+
 TABLES: dict[str, str] = {
     "supplier_in": f"SELECT s_suppkey AS k, s_name AS s, n_name AS n, r_name AS r FROM supplier {PLACED_NATION.format(key='s_nationkey')}",
     "customer_in": f"SELECT c_custkey AS k, c_name AS s, n_name AS n, r_name AS r FROM customer {PLACED_NATION.format(key='c_nationkey')}",
@@ -276,9 +301,15 @@ TABLES: dict[str, str] = {
         {SITE.replace('website', 's.website')} AS website, '{DASH}gissearch/schools/' || s.cds_code AS dashboard_url,
         '{CDE}' || s.cds_code AS profile_url
         FROM page_rows s JOIN districts d ON d.cds_code = s.district_cds""",
-    "page_links": f"""SELECT DISTINCT page_id, {ORIGIN} || h AS link
-        FROM (SELECT *, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages) WHERE h LIKE '/%'""",
-    "known_urls": f"SELECT DISTINCT regexp_replace(url, '#.*$', '') AS url FROM pages",
+    "page_bases": f"""SELECT page_id, html || {S.MORE_LINKS} AS html, regexp_replace(url, '#.*$', '') AS page,
+        regexp_replace(url, '[?#].*$', '') AS bare, {ORIGIN} AS origin, regexp_extract(url, '^(https?:)', 1) AS scheme FROM pages""",
+    "page_hrefs": """SELECT page_id, origin, CASE WHEN h LIKE '//%' THEN scheme || h WHEN h LIKE '/%' THEN origin || h
+          WHEN h = '' THEN page WHEN h LIKE '#%' THEN page || h WHEN h LIKE '?%' THEN bare || h
+          WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h ELSE regexp_replace(bare, '[^/]*$', '') || h END AS url
+        FROM (SELECT *, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM page_bases)""",
+    "page_links": f"""SELECT DISTINCT page_id, {percent_encoded(ORIGIN, dots_folded(PATH), QUERY, FRAGMENT)} AS link
+        FROM page_hrefs WHERE {ORIGIN} = origin""",
+    "known_urls": f"SELECT DISTINCT {percent_encoded(ORIGIN, PATH, QUERY, NO_FRAGMENT)} AS url FROM pages",
     "guide_lines": r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS number,
         trim(regexp_extract(line, '^([^.]+)\.', 1)) AS text,
         trim('Ask:' || regexp_extract(line, '^[^.]+\.(.*)$', 1)) AS question
@@ -378,7 +409,8 @@ def _map_view() -> str:
 def _queries() -> dict[str, str]:
     district_columns, school_columns = ", ".join(DISTRICT_COLUMNS), ", ".join(SCHOOL_COLUMNS)
     headers = ", ".join(f'{c} AS "{HEADER_OF[c]}"' for c in DISTRICT_COLUMNS)
-    chunked = "SELECT {key}, ord // 4096 AS chunk, CAST(count(*) AS INTEGER) AS n, string_agg(cds_code, ',' ORDER BY ord) AS codes FROM {table} GROUP BY 1, 2"
+    chunked = """SELECT {key}, (place - 1) // {rows} AS chunk, CAST(count(*) AS INTEGER) AS n, string_agg(cds_code, ',' ORDER BY ord) AS codes
+        FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY ord) AS place FROM {table}) GROUP BY 1, 2"""
     wanted = SEARCH_TERM.lower()
     return {
         "directory_lines": "SELECT ord, " + ", ".join("' ' || district AS district" if c == "district" else f"trim({c}) AS {c}" for c in RAW_COLUMNS) + " FROM raw",
@@ -390,7 +422,7 @@ def _queries() -> dict[str, str]:
             {bounded(LAT, LON)} AND NOT contains(lower(latitude || longitude), 'redacted') AS display_ok,
             {bounded(LAT, LON)} AS map_ok FROM raw""",
         "district_map_rows": f"SELECT cds_code AS key, ord, {headers}, slug FROM districts",
-        "schools_by_district": chunked.format(key="district_cds", table="linked"),
+        "schools_by_district": chunked.format(key="district_cds", table="linked", rows=S.SCHOOLS_IN_ARRAY),
         "page_params": "SELECT slug AS \"districtSlug\" FROM districts WHERE slug <> ''",
         "school_counts": f"""SELECT d.cds_code, d.district, d.slug, coalesce(n, 0) AS school_count FROM districts d
             LEFT JOIN (SELECT district_cds, count(*) AS n FROM links WHERE link_status <> 'bad_prefix' AND {PAGE_SCHOOL} GROUP BY 1) c
@@ -475,7 +507,7 @@ def _queries() -> dict[str, str]:
             '{DASH}gissearch/districts/' || d.cds_code AS dashboard_url, '{CDE}' || d.cds_code AS profile_url, coalesce(n, 0) AS school_count
             FROM districts d LEFT JOIN (SELECT district_cds, count(*) AS n FROM page_rows GROUP BY 1) c ON c.district_cds = d.cds_code""",
         "page_schools": "SELECT * FROM page_list",
-        "page_school_chunks": chunked.format(key="slug", table="page_list"),
+        "page_school_chunks": chunked.format(key="slug", table="page_list", rows=S.SCHOOLS_IN_ARRAY),
         "internal_links": "SELECT page_id, link FROM page_links",
         "broken_links": "SELECT page_id, link FROM page_links WHERE regexp_replace(link, '#.*$', '') NOT IN (SELECT url FROM known_urls)",
         "broken_targets": """SELECT regexp_replace(link, '#.*$', '') AS target, count(DISTINCT page_id) AS pages FROM page_links

@@ -94,7 +94,7 @@ def _boundaries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
-    return S.table(spark, folder, "pages")
+    return S.pages(spark, folder)
 
 
 def _guides(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,7 +158,7 @@ def district_map_rows(spark, folder):
 @query
 def schools_by_district(spark, folder):
     """School arrays per district in bounded chunks (A1, S7), arrays shown as code lists."""
-    chunks = assets.schools_by_district(Tables(spark, folder).linked)
+    chunks = assets.schools_by_district(Tables(spark, folder).linked, S.SCHOOLS_IN_ARRAY)
     codes = F.array_join(F.transform("schools", lambda s: s["CDS Code"]), ",")
     return chunks.select("district_cds", "chunk", "n", codes.alias("codes"))
 
@@ -498,7 +498,7 @@ def page_school_chunks(spark, folder):
     """School arrays per page in bounded chunks (P3), arrays shown as code lists."""
     t = Tables(spark, folder)
     schools = pages.page_schools(assets.page_params(t.districts), t.districts, t.linked)
-    chunks = pages.page_school_chunks(schools)
+    chunks = pages.page_school_chunks(schools, S.SCHOOLS_IN_ARRAY)
     codes = F.array_join(F.transform("schools", lambda s: s["cds_code"]), ",")
     return chunks.select("slug", "chunk", "n", codes.alias("codes"))
 

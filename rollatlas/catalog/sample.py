@@ -100,12 +100,23 @@ MAP_QUERIES = [
     "concat(district, ', California')",
 ]
 
+# Districts of the sample have at most twelve schools, so arrays of this size show a second chunk.
+SCHOOLS_IN_ARRAY = 5
+
 # Boundaries: x, y and side of the square drawn for key k, in web-mercator metres.
 SQUARE_X = "(-13600000 + (k % 1000) * 1000 + d * 500)"
 SQUARE_Y = "(3900000 + (k % 777) * 1000 + d * 500)"
 SQUARE_SIDE = "(5000 + (k % 7) * 100)"
 
 
+# Links of every kind that a page may hold besides root-relative ones, one kind a page. The last
+# three lead to the page itself, so some targets exist.
+MORE_LINKS = """CASE page_id % 9 WHEN 0 THEN '<a href="more/../list.html">l</a>' WHEN 1 THEN '<a href="./next page.html?q=\u00e9#\u00e8">n</a>'
+  WHEN 2 THEN '<a href="//foreign.example.org/x">f</a>' WHEN 3 THEN '<a href="mailto:someone@example.org">m</a>'
+  WHEN 4 THEN '<a href="https://foreign.example.net/a">f</a>' WHEN 5 THEN '<a href="?page=3#p">q</a>'
+  WHEN 6 THEN '<a href="#part">p</a>' WHEN 7 THEN '<a href="">s</a>' ELSE concat('<a href="', url, '">u</a>') END"""
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
@@ -236,6 +247,11 @@ def boundary_features(spark: SparkSession, folder: str) -> DataFrame:
     return placed.select(F.expr("k * 2 + d").alias("pos"), feature.alias("feature"))
 
 
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The given pages with one more link each."""
+    return table(spark, folder, "pages").withColumn("html", F.expr(f"concat(html, {MORE_LINKS})"))
+
+
 def guides(documents: DataFrame) -> DataFrame:
     """Documents as Markdown guides: each line's first sentence becomes a heading.
 

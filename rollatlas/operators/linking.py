@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,17 +67,38 @@ def position_block(df: DataFrame, rows: int, ord_col: str = "ord") -> Column:
     return F.floor(position / rows)
 
 
+def number_in_key(df: DataFrame, key: str, name: str, ord_col: str = "ord", block_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Rows with their place (from 0) among the rows of their key in source order, nulls a key too.
+
+    Prefix sums instead of one window over the key: rows are counted for each key and block of
+    source positions, the counts are summed along the blocks, and rows are numbered inside a
+    block. The only thing that meets in one task is a key's counts, one for each block.
+    """
+    blocked = df.withColumn("_block", position_block(df, block_rows, ord_col))
+    counts = blocked.groupBy(key, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(
+        F.col(key).alias("_key"), F.col("_block").alias("_of"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy(key, "_block").orderBy(ord_col)
+    placed = blocked.withColumn("_inside", F.row_number().over(inside))
+    joined = placed.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_of")))
+    return joined.withColumn(name, F.col("_before") + F.col("_inside") - 1).select(*df.columns, name)
+
+
 def chunk_by_key(
     df: DataFrame, key: str, columns: list[str], name: str, rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Rows per key as arrays in source order, in chunks of bounded size (A1).
+    """Rows per key as arrays in source order (A1): one array up to ``rows`` rows, beyond that
+    full arrays numbered 0, 1, ... and one with the rest.
 
-    A key's array is its chunks put together in chunk order. No task holds more
-    than ``rows`` rows of a key, however many the key has.
+    No task holds more than ``rows`` rows of a key, however many the key has.
     """
-    chunked = df.withColumn("chunk", position_block(df, rows))
-    item = F.struct("ord", *columns)
-    packed = chunked.groupBy(key, "chunk").agg(F.sort_array(F.collect_list(item)).alias(name))
+    numbered = number_in_key(df, key, "_place")
+    item = F.struct("_place", *columns)
+    packed = numbered.groupBy(key, F.floor(F.col("_place") / rows).alias("chunk")).agg(
+        F.sort_array(F.collect_list(item)).alias(name)
+    )
     plain = F.transform(name, lambda s: F.struct(*[s[c].alias(c) for c in columns]))
     return packed.withColumn("n", F.size(name)).withColumn(name, plain)
 

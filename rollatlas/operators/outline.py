@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollatlas.functions.binding import let
 from rollatlas.functions.text import col, trim_blanks
 from rollatlas.operators.arrays import posexplode_costly
 
@@ -53,25 +54,91 @@ def sections(text: Column | str) -> Column:
     return F.transform(pieces, section)
 
 
-def unique_anchors(slugs: Column) -> Column:
-    """Anchors of a document's headings in order, each one only once.
+_NUMBERED = r"-\d+$"
 
-    A slug that is taken gets the first free of -1, -2, ...; a numbered anchor may itself be
-    taken by a heading that is written that way.
-    """
+
+def _in_turn(slugs: Column) -> Column:
+    """Anchors of slugs in order by trying each against those before it."""
 
     def add(done: Column, slug: Column) -> Column:
         before = F.size(F.filter(F.slice(slugs, 1, F.size(done)), lambda s: s == slug))
-        # As many other headings as begin like this could hold a number each.
+        # As many other headings as begin like this could hold a number each, and where the first
+        # of this slug was displaced, it holds one too.
         alike = F.size(F.filter(slugs, lambda s: s.startswith(F.concat(slug, F.lit("-")))))
         low = F.greatest(before, F.lit(1))
-        numbered = F.transform(F.sequence(low, low + alike), lambda n: F.concat_ws("-", slug, n.cast("string")))
+        numbered = F.transform(F.sequence(low, low + alike + 1), lambda n: F.concat_ws("-", slug, n.cast("string")))
         free = F.get(F.filter(numbered, lambda a: ~F.array_contains(done, a)), F.lit(0))
         return F.array_append(done, F.when(F.array_contains(done, slug), free).otherwise(slug))
 
     return F.aggregate(slugs, F.array().cast("array<string>"), add)
 
 
+def _runs(items: Column, same: str) -> Column:
+    """Sorted structs cut where the field ``same`` changes."""
+
+    def cut(a: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(a) - 1)
+        new = F.filter(at, lambda i: (i == 0) | (F.get(a, i)[same] != F.get(a, i - 1)[same]))
+
+        def slices(starts: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(a))
+            return F.transform(starts, lambda s, j: F.slice(a, s + 1, end(j) - s))
+
+        return let(new, slices)
+
+    return let(items, cut)
+
+
+def unique_anchors(slugs: Column) -> Column:
+    """Anchors of a document's headings in order, each one only once.
+
+    A slug that is taken gets the first free of -1, -2, ...; a numbered anchor may itself be
+    taken by a heading that is written that way.
+
+    Headings are sorted by slug and numbered run by run. Only families in which a repeated slug
+    meets a heading written as that slug with a number are settled one heading after the other;
+    an anchor never leaves the family of its stem, the slug without its numbers.
+    """
+    placed = F.transform(
+        slugs,
+        lambda s, i: F.struct(F.regexp_replace(s, r"(-\d+)+$", "").alias("stem"), s.alias("slug"), i.alias("pos")),
+    )
+
+    def numbered(run: Column) -> Column:
+        return F.transform(
+            run,
+            lambda h, k: F.struct(
+                h["pos"].alias("pos"),
+                F.when(k == 0, h["slug"]).otherwise(F.concat_ws("-", h["slug"], k.cast("string"))).alias("anchor"),
+            ),
+        )
+
+    def settle(family: Column) -> Column:
+        def settled(ordered: Column) -> Column:
+            return let(
+                _in_turn(F.transform(ordered, lambda h: h["slug"])),
+                lambda done: F.zip_with(ordered, done, lambda h, a: F.struct(h["pos"].alias("pos"), a.alias("anchor"))),
+            )
+
+        by_place = F.array_sort(family, lambda x, y: x["pos"] - y["pos"])
+
+        def choose(runs: Column) -> Column:
+            taken = F.transform(F.filter(runs, lambda r: F.size(r) > 1), lambda r: F.get(r, F.lit(0))["slug"])
+            written = F.transform(runs, lambda r: F.get(r, F.lit(0))["slug"])
+            parents = F.transform(
+                F.filter(written, lambda s: s.rlike(_NUMBERED)), lambda s: F.regexp_replace(s, _NUMBERED, "")
+            )
+            clash = F.arrays_overlap(taken, parents)
+            return F.when(clash, let(by_place, settled)).otherwise(F.flatten(F.transform(runs, numbered)))
+
+        return let(_runs(family, "slug"), choose)
+
+    families = F.transform(_runs(F.array_sort(placed), "stem"), settle)
+    by_place = F.array_sort(F.flatten(families))
+    anchors = F.transform(by_place, lambda h: h["anchor"])
+    return F.when(F.size(slugs) == 0, F.array().cast("array<string>")).otherwise(anchors)
+
+
 def _anchored(guides: DataFrame, text: str) -> DataFrame:
     """(doc_id, sections with their anchor), all within the row."""
     found = guides.select("doc_id", sections(text).alias("_sections"))

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
-from rollatlas.operators.outline import guide_headings, guide_outline
+import time
+
+from pyspark.sql import functions as F
+
+from rollatlas.operators.outline import guide_headings, guide_outline, unique_anchors
 
 GUIDE = """Intro line.
 
@@ -64,3 +68,35 @@ def test_long_sections_pass(spark):
     got = guide_outline(guides(spark, text)).orderBy("number").collect()
     assert len(got[0]["question"]) == 18 * 100_000 - 1
     assert [r["question"] for r in got[1:]] == [None, "indented"]
+
+
+def _anchors(slugs: list[str]) -> list[str]:
+    """Anchors one after the other, as a plain loop gives them."""
+    taken, seen, out = set(), {}, []
+    for slug in slugs:
+        anchor, n = slug, max(seen.get(slug, 0), 1)
+        while anchor in taken:
+            anchor, n = f"{slug}-{n}", n + 1
+        seen[slug] = seen.get(slug, 0) + 1
+        taken.add(anchor)
+        out.append(anchor)
+    return out
+
+
+def test_anchors_of_any_mixture(spark):
+    import random
+
+    pick = random.Random(5)
+    names = ["a", "a-1", "a-2", "a-1-1", "b", "b-x", "b-x-1", "", "-1", "a-01", "é-3", "é"]
+    rows = [(i, [pick.choice(names[: pick.randint(1, len(names))]) for _ in range(pick.randint(0, 14))]) for i in range(300)]
+    got = spark.createDataFrame(rows, "i int, s array<string>").select("i", unique_anchors(F.col("s")).alias("a")).collect()
+    assert {r["i"]: r["a"] for r in got} == {i: _anchors(s) for i, s in rows}
+
+
+def test_twenty_thousand_headings_in_seconds(spark):
+    text = "".join(f"## {'Again' if i % 2 else f'Step {i}'}\n" for i in range(20_000))
+    start = time.perf_counter()
+    got = guide_outline(guides(spark, text)).orderBy("number").collect()
+    assert time.perf_counter() - start < 20
+    slugs = ["again" if i % 2 else f"step-{i}" for i in range(20_000)]
+    assert [r["anchor"] for r in got] == _anchors(slugs)
