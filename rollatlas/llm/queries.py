@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollatlas.llm import decontamination, graphs, jaccard, language, matrices, packing, repeats, sharding, toxicity, warc
+from rollatlas.llm import (
+    decontamination, graphs, importance, jaccard, language, matrices, packing, repeats, sharding, spelling, statements as sql,
+    toxicity, urlrules, warc,
+)
 from rollatlas.llm.shared import new_folder, ship, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -69,6 +72,18 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeat_digests(table(spark, folder, "documents"))
 
 
+def op11_importance(spark: SparkSession, folder: str) -> DataFrame:
+    return importance.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return urlrules.judge(table(spark, folder, "pages"), urlrules.rule_table(spark, urlrules.RULES))
+
+
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, folder, "documents"))
+
+
 def _sent(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship(spark)
@@ -84,4 +99,4 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def statements() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {}
+    return sql.statements()
