@@ -33,6 +33,8 @@ CODES = 1 << 15
 SHARPNESS = 6.0
 #: Difference of the two least losses below which a text is ambiguous.
 AMBIGUOUS_GAP = 0.12
+#: Trigrams of a text for which the gap is half as wide.
+AMBIGUOUS_TRIGRAMS = 60
 RESULTS = "lang_pred string, score double, ambiguous boolean"
 # Lower-case letters; every other ASCII byte counts as a space.
 _FOLD = np.array([b | 0x20 if chr(b).isalpha() else b if b > 127 else 0x20 for b in range(256)], np.uint32)
@@ -80,11 +82,24 @@ def codewords(n: int) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, allowed: Column, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(lang, text) of at most ``train_rows`` allowed rows for each language."""
-    known = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= train_rows)
-    return known.select("doc_id", "lang", "text").join(chosen.select("doc_id", "lang").distinct(), ["doc_id", "lang"], "left_semi")
+    """(lang, text) of at most ``train_rows`` allowed rows for each language.
+
+    Rows are counted for each language and the first 16 bits of the hash; the counts, summed in
+    order, tell up to which bits rows can be among the first. Only those are ranked, so neither a
+    language's ids nor the texts of others are shuffled.
+    """
+    known = docs.filter(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "doc_id", "lang", "text", F.xxhash64("doc_id").alias("_hash")
+    )
+    bits = F.shiftright("_hash", 48)
+    counts = known.groupBy("lang", bits.alias("_bits")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = W.partitionBy("lang").orderBy("_bits").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).filter(F.col("_before") < train_rows)
+    # One row a language.
+    last = F.broadcast(summed.groupBy("lang").agg(F.max("_bits").alias("_last")))
+    early = known.join(last, "lang").filter(bits <= F.col("_last"))
+    order = W.partitionBy("lang").orderBy("_hash", "doc_id")
+    return early.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= train_rows).select("lang", "text")
 
 
 def fit(rows: DataFrame) -> Model:
@@ -128,8 +143,8 @@ def fit(rows: DataFrame) -> Model:
     return Model(languages, code, weight, middle, half)
 
 
-def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best language, score and ambiguity for bits-by-texts mean margins."""
+def decode(model: Model, margins: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best language, score and ambiguity for bits-by-texts mean margins over ``count`` trigrams."""
     n = margins.shape[1]
     if len(model.languages) < 2:
         return np.zeros(n, np.int64), np.full(n, float(len(model.languages))), np.zeros(n, bool)
@@ -139,35 +154,68 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     order = np.sort(loss, axis=0)
     best = loss.argmin(axis=0)
     score = 1 / np.exp(-SHARPNESS * (loss - order[0])).sum(axis=0)
-    return best, score, order[1] - order[0] < AMBIGUOUS_GAP
+    # A short text's margins vary more, so it takes a smaller gap to tell a mixture from chance.
+    return best, score, order[1] - order[0] < AMBIGUOUS_GAP * count / (count + AMBIGUOUS_TRIGRAMS)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns with lang_pred, score and ambiguous."""
+def margins(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each bit's mean margin for each text, and the texts' numbers of trigrams.
+
+    A text beyond ``bytetext.STEP_BYTES`` is read in pieces that overlap by two bytes, so that
+    memory follows the piece: the sums are the same.
+    """
+    sums, count = np.zeros((len(model.code), len(offsets) - 1)), np.zeros(len(offsets) - 1)
+
+    def add(rows: slice, data: np.ndarray, offsets: np.ndarray, ends: tuple[bool, bool]) -> None:
+        codes, begin = trigrams(data, offsets)
+        if not ends[0]:
+            codes[0] = CODES
+        if not ends[1]:
+            codes[begin[-1] - 3] = CODES
+        codes = codes[: begin[-1]]
+        count[rows] += np.add.reduceat(codes < CODES, begin[:-1])
+        for b in range(len(model.code)):
+            run_sum = np.concatenate([[0.0], np.cumsum(model.weight[b][codes], dtype=np.float64)])
+            sums[b, rows] += run_sum[begin[1:]] - run_sum[begin[:-1]]
+
+    size = bytetext.STEP_BYTES
+    if len(offsets) == 2 and len(data) > size:
+        for at in range(0, len(data) - 2, size):
+            piece = data[at : at + size + 2]
+            add(slice(0, 1), piece, np.array([0, len(piece)]), (at == 0, at + size + 2 >= len(data)))
+    else:
+        add(slice(None), data, offsets, (True, True))
+    return sums / np.maximum(count, 1), count
+
+
+def identified(model: Model, text: Column) -> Column:
+    """Struct of lang_pred, score and ambiguous for a text.
+
+    Only the text goes to Python, once; other columns stay where they are.
+    """
     names = model.languages
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            best, score, vague = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
-            for first, end, data, offsets in bytetext.steps(batch.column(len(keep))):
-                codes, begin = trigrams(data, offsets)
-                count = np.add.reduceat(codes[: begin[-1]] < CODES, begin[:-1])
-                sums = np.zeros((len(model.code), end - first))
-                for b in range(len(model.code)):
-                    run_sum = np.concatenate([[0.0], np.cumsum(model.weight[b][codes[: begin[-1]]], dtype=np.float64)])
-                    sums[b] = run_sum[begin[1:]] - run_sum[begin[:-1]]
-                best[first:end], score[first:end], vague[first:end] = decode(model, sums / np.maximum(count, 1))
-            told = np.array(batch.column(len(keep) + 1).to_pylist(), bool) & bool(names)
-            langs = [names[i] if t else UNKNOWN for i, t in zip(best.tolist(), told.tolist())]
-            kept = [batch.column(c) for c in range(len(keep))]
-            kept += [pa.array(langs, pa.string()), pa.array(np.where(told, score, 0.0)), pa.array(vague & told)]
-            yield pa.RecordBatch.from_arrays(kept, names=[*keep, "lang_pred", "score", "ambiguous"])
+    @F.arrow_udf(f"struct<{RESULTS.replace(' ', ':').replace(',:', ',')}>")
+    def run(texts: pa.Array) -> pa.Array:
+        n = len(texts)
+        best, score, vague = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
+        for first, end, data, offsets in bytetext.steps(texts):
+            best[first:end], score[first:end], vague[first:end] = decode(model, *margins(model, data, offsets))
+        langs = pa.DictionaryArray.from_arrays(best, pa.array(names, pa.string())).cast(pa.string()) if names else pa.nulls(n, pa.string())
+        return pa.StructArray.from_arrays([langs, pa.array(score), pa.array(vague)], ["lang_pred", "score", "ambiguous"])
+
+    # Told to vary, so that a filter on the result does not run it a second time.
+    return run.asNondeterministic()(text)
 
+
+def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The ``keep`` columns with lang_pred, score and ambiguous."""
     keep = [c for c in keep if c not in ("lang_pred", "score", "ambiguous")]
-    schema = docs.select(*keep).schema
-    for field in RESULTS.split(", "):
-        schema = schema.add(*field.split())
-    text = F.col(text_col)
-    source = docs.select(*keep, text.alias("_text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("_letters"))
-    return source.mapInArrow(run, schema)
+    found = docs.withColumn("_found", identified(model, F.col(text_col)))
+    told = F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)) & F.lit(bool(model.languages))
+    return found.select(
+        *keep,
+        F.when(told, F.col("_found.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(told, F.col("_found.score")).otherwise(0.0).alias("score"),
+        (told & F.col("_found.ambiguous")).alias("ambiguous"),
+    )

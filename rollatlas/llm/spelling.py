@@ -32,7 +32,9 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,21 +178,32 @@ def near_words(words: DataFrame) -> DataFrame:
     """(word, n_near, best) of the words that have near ones; best is (n, word) of the best."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key = None
+        held = None
         for batch in batches:
-            out: list[tuple] = []
-            columns = [c.to_pylist() for c in batch.columns]
-            for this, *member in zip(*columns):
-                if this != key:
-                    # Most keys are one word's alone.
-                    if len(held) > 1:
-                        out.extend(scan_group(held))
-                    held, key = [], this
-                held.append(tuple(member))
-            yield batch_of(out)
-        if len(held) > 1:
-            yield batch_of(list(scan_group(held)))
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+            same = same_as_before(rows.column(0))
+            # The last group may go on in the next batch.
+            last = int(np.flatnonzero(~same)[-1])
+            yield batch_of(scan(rows.slice(0, last), same[:last]))
+            held = rows.slice(last).combine_chunks()
+        if held is not None:
+            yield batch_of(scan(held, same_as_before(held.column(0))))
+
+    def same_as_before(keys: pa.ChunkedArray) -> np.ndarray:
+        same = np.zeros(len(keys), bool)
+        same[1:] = pc.equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False) if len(keys) > 1 else []
+        return same
+
+    def scan(rows: pa.Table, same: np.ndarray) -> list[tuple]:
+        # Most keys are one word's alone; only the others leave Arrow.
+        shared = same | np.append(same[1:], False)
+        at = np.flatnonzero(shared)
+        kept = rows.take(pa.array(at))
+        members = list(zip(*[kept.column(c).to_pylist() for c in range(1, kept.num_columns)]))
+        begin = [*np.flatnonzero(~same[at]).tolist(), len(members)]
+        return [found for i, j in zip(begin, begin[1:]) for found in scan_group(members[i:j])]
 
     def batch_of(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({

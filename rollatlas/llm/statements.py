@@ -19,6 +19,19 @@ def crc32(text: str) -> str:
     return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1]), 4294967295), 4294967295)"
 
 
+def _op5() -> str:
+    return f"""WITH RECURSIVE texts AS (SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+    sets AS (SELECT doc_id, CASE WHEN len(words) = 0 OR words IS NULL THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS shingles FROM texts),
+    sizes AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM sets),
+    listed AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+    common AS (SELECT a.doc_id AS one, b.doc_id AS two, count(*) AS shared FROM listed a JOIN listed b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT one, two FROM common JOIN sizes x ON x.doc_id = one JOIN sizes y ON y.doc_id = two WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+    sides AS (SELECT one, two FROM links UNION ALL SELECT two, one FROM links),
+    reached AS (SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, b.two FROM reached r JOIN sides b ON b.one = r.other)
+    SELECT s.doc_id, s.n AS n_shingles, min(other) AS component_id FROM sizes s JOIN reached r ON r.doc_id = s.doc_id GROUP BY 1, 2"""
+
+
 def _op6() -> str:
     return """WITH payloads AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
     firsts AS (SELECT payload_digest, min(page_id) AS first_id FROM payloads WHERE payload_bytes >= 100 GROUP BY 1)
@@ -89,4 +102,4 @@ def _op13() -> str:
 
 
 def statements() -> dict[str, str]:
-    return {"op6_warc": _op6(), "op11_importance": _op11(), "op12_url_rules": _op12(), "op13_spelling": _op13()}
+    return {"op5_jaccard": _op5(), "op6_warc": _op6(), "op11_importance": _op11(), "op12_url_rules": _op12(), "op13_spelling": _op13()}

@@ -42,8 +42,10 @@ def plain_tiling(one, two, least):
 @given(st.lists(st.integers(0, 2), max_size=16), st.lists(st.integers(0, 2), max_size=12))
 def test_tiles_equal_the_plain_rule(one, two):
     k = 2
-    pairs = [(a, b) for a in range(len(one) - k + 1) for b in range(len(two) - k + 1) if one[a : a + k] == two[b : b + k]]
-    found = decontamination.tiles(pairs, k)
+    seeds = {tuple(two[b : b + k]) for b in range(len(two) - k + 1)}
+    where = lambda text, s: [i for i in range(len(text) - k + 1) if tuple(text[i : i + k]) == s]
+    places = [(where(one, s), where(two, s)) for s in seeds if where(one, s)]
+    found = decontamination.tiles(places, k) if places else []
     assert sum(n for _, _, n in found) == plain_tiling(one, two, k)[0]
     assert all(one[a : a + n] == two[b : b + n] for a, b, n in found)
 
@@ -79,3 +81,25 @@ def test_nothing_to_compare(spark, docs_of):
     some = spark.createDataFrame([(1, " ".join(words(9, 1)))], "item_id long, text string")
     assert decontamination.shared_passages(docs_of([(1, "a b c d e f")]), none).collect() == []
     assert decontamination.shared_passages(docs_of([]), some).collect() == []
+
+
+def test_short_items_match_as_a_whole(spark, docs_of):
+    benchmark = spark.createDataFrame(
+        [(1, "Red, fox!"), (2, "lone"), (3, "one two three four"), (4, " ".join(words(8, 5))), (5, "")], "item_id long, text string"
+    )
+    docs = docs_of([
+        (1, "the red fox and the red fox"), (2, "red foxes"), (3, "lone"), (4, "a one two three four b"), (5, "one two three"),
+        (6, " ".join(words(8, 5))),
+    ])
+    found = decontamination.shared_passages(docs, benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched_words, r.coverage) for r in found) == [
+        (1, 1, 2, 1.0), (3, 2, 1, 1.0), (4, 3, 4, 1.0), (6, 4, 8, 1.0)
+    ]
+
+
+def test_a_passage_that_both_repeat(spark, docs_of):
+    line = words(6, 7)
+    benchmark = spark.createDataFrame([(1, " ".join(line * 30))], "item_id long, text string")
+    docs = docs_of([(1, " ".join(line * 3000)), (2, " ".join(line * 10 + words(50, 8) + line * 10))])
+    found = sorted((r.doc_id, r.matched_words, r.tiles) for r in decontamination.shared_passages(docs, benchmark).collect())
+    assert found == [(1, 180, 1), (2, 120, 2)]

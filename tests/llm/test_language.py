@@ -65,3 +65,26 @@ def test_trigrams_stay_inside_texts():
     one, start = language.trigrams(data[:2], np.array([0, 2]))
     assert begin.tolist() == [0, 4, 6, 11] and codes[:2].tolist() == one[:2].tolist()
     assert (codes[[2, 3, 4, 5, 9, 10]] == language.CODES).all()
+
+
+def test_pieces_of_a_long_text_give_its_margins(spark, monkeypatch):
+    import numpy as np
+
+    docs, _ = labelled(spark)
+    model = language.fit(language.training_rows(docs, F.lit(True)))
+    raw = np.frombuffer(("lantor Vikvik, über 12 torlan quaubi " * 40).encode(), np.uint8)
+    want, count = language.margins(model, raw, np.array([0, len(raw)]))
+    for size in (64, 97, len(raw) - 1, len(raw) - 2, len(raw) - 3):
+        monkeypatch.setattr(language.bytetext, "STEP_BYTES", size)
+        got, same = language.margins(model, raw, np.array([0, len(raw)]))
+        assert np.allclose(got, want, atol=1e-6) and same[0] == count[0]
+
+
+def test_training_rows_are_the_first_of_each_language(spark):
+    rows = [(i, f"t{i}", "ab"[i % 3 == 0]) for i in range(500)] + [(1000, None, "a"), (1001, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.training_rows(docs, F.col("doc_id") != 4, 20).collect()
+    by_hash = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    for lang in "ab":
+        first = sorted((i for i, t, x in rows if x == lang and t is not None and i != 4), key=by_hash.get)[:20]
+        assert sorted(r.text for r in got if r.lang == lang) == sorted(f"t{i}" for i in first)
