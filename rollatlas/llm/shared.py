@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Settings under which an execution deletes its own shuffle files when it ends.
 _CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
+#: Bytes of rows that go to a Python worker at once, so that its memory follows no table's row size.
+BATCH_BYTES = 4 << 20
 _LOCAL: dict[str, str] = {}
 _SHIPPED: dict[str, str] = {}
 
@@ -64,10 +66,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's modules to the Python workers, once for each application.
+    """Send this package's modules to the Python workers, once for each application, and bound
+    what a worker gets at once.
 
     The workers need not find the repository in a folder of their own.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
