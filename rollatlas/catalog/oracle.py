@@ -295,12 +295,14 @@ TABLES: dict[str, str] = {
         {grades('popup', 'l.low_grade', 'l.high_grade')} AS popup
         FROM linked l JOIN placed_s p ON p.ord = l.ord
         WHERE l.status = 'Active' AND upper(trim(l.public_yes_no)) = 'Y' AND {bounded('p.lat', 'p.lon')}""",
+    "page_homes": f"""SELECT *, row_number() OVER (PARTITION BY slug ORDER BY ord) AS first_of FROM (SELECT * REPLACE ({S.PAGE_SLUG} AS slug) FROM districts)""",
+    "page_wanted": f"SELECT slug FROM page_homes WHERE slug <> '' UNION ALL SELECT {S.LOST_SLUG} FROM nation",
     "page_rows": f"SELECT * FROM linked WHERE {PAGE_SCHOOL}",
     "page_list": f"""SELECT d.slug, s.ord, s.cds_code, {default('s.school', 'Unknown School')} AS name,
         {grades('school', 's.low_grade', 's.high_grade')} AS grades, {address_line(*[f's.{c}' for c in STREET])} AS address,
         {SITE.replace('website', 's.website')} AS website, '{DASH}gissearch/schools/' || s.cds_code AS dashboard_url,
         '{CDE}' || s.cds_code AS profile_url
-        FROM page_rows s JOIN districts d ON d.cds_code = s.district_cds""",
+        FROM page_rows s JOIN page_homes d ON d.cds_code = s.district_cds AND first_of = 1""",
     "page_bases": f"""SELECT page_id, html || {S.MORE_LINKS} AS html, regexp_replace(url, '#.*$', '') AS page,
         regexp_replace(url, '[?#].*$', '') AS bare, {ORIGIN} AS origin, regexp_extract(url, '^(https?:)', 1) AS scheme FROM pages""",
     "page_hrefs": """SELECT page_id, origin, CASE WHEN h LIKE '//%' THEN scheme || h WHEN h LIKE '/%' THEN origin || h
@@ -310,6 +312,13 @@ TABLES: dict[str, str] = {
     "page_links": f"""SELECT DISTINCT page_id, {percent_encoded(ORIGIN, dots_folded(PATH), QUERY, FRAGMENT)} AS link
         FROM page_hrefs WHERE {ORIGIN} = origin""",
     "known_urls": f"SELECT DISTINCT {percent_encoded(ORIGIN, PATH, QUERY, NO_FRAGMENT)} AS url FROM pages",
+    "section_lines": r"""SELECT doc_id, i, line, regexp_matches(line, '^[^.]+\..*$') AS heads,
+        sum(CASE WHEN regexp_matches(line, '^[^.]+\..*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS number
+        FROM (SELECT doc_id, i, regexp_replace(raw_line, '^[#>~` ]+', '') AS line FROM (
+          SELECT doc_id, unnest(string_split(text, chr(10))) AS raw_line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))""",
+    "section_bodies": r"""SELECT doc_id, number, trim(regexp_replace(string_agg(CASE WHEN heads THEN
+          'Ask:' || regexp_extract(line, '^[^.]+\.(.*)$', 1) || ' > **Why this is important:** ' || regexp_extract(line, '^([^.]+)\.', 1)
+          ELSE line END, ' ' ORDER BY i), '\s+', ' ', 'g')) AS body FROM section_lines WHERE number > 0 GROUP BY 1, 2""",
     "guide_lines": r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS number,
         trim(regexp_extract(line, '^([^.]+)\.', 1)) AS text,
         trim('Ask:' || regexp_extract(line, '^[^.]+\.(.*)$', 1)) AS question
@@ -321,6 +330,19 @@ TABLES: dict[str, str] = {
         replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}\p{Pc}\- ]', '', 'g'), ' ', '-') AS anchor FROM guide_lines""",
     "guide_slugs": r"""SELECT *, CASE WHEN seen = 1 THEN anchor ELSE anchor || '-' || (seen - 1) END AS slug
         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, anchor ORDER BY pos) AS seen FROM guide_anchors) x""",
+    "sections": f"""SELECT s.doc_id, pos, concat(s.doc_id, '#', slug) AS section_id, s.text AS title, body,
+        concat('{S.GUIDE_SITE}/guides/', s.doc_id, '#', url_encode(slug)) AS source_url
+        FROM guide_slugs s JOIN section_bodies b ON b.doc_id = s.doc_id AND b.number = s.pos + 1""",
+    "filed": f"""SELECT {S.DISTRICT_OF_GUIDE} AS district, section_id,
+        regexp_extract_all(lower(title || ' ' || body), '[\\p{{L}}\\p{{N}}]+') AS terms FROM sections""",
+    "postings": "SELECT district, term, section_id, len(terms) AS size, count(*) AS tf FROM (SELECT *, unnest(terms) AS term FROM filed) GROUP BY ALL",
+    "weighing": """SELECT * FROM (SELECT district, term, count(*) AS df FROM postings GROUP BY ALL)
+        JOIN (SELECT district, count(*) AS sections, sum(len(terms)) AS terms FROM filed GROUP BY ALL) USING (district) WHERE 2 * df < sections""",
+    "asked": f"""SELECT DISTINCT question_id, district, term FROM (SELECT item_id AS question_id, {S.DISTRICT_OF_QUESTION} AS district,
+        unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark)""",
+    "answers": f"""SELECT question_id, district, section_id, CAST(sum(CAST(floor(ln((sections - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))
+          * ((tf * (1.2::DOUBLE + 1.0)) / (tf + 1.2::DOUBLE * (1.0::DOUBLE - 0.75 + 0.75::DOUBLE * size / (terms::DOUBLE / sections)))) * 1000000.0::DOUBLE) AS BIGINT)) AS BIGINT) AS score
+        FROM asked JOIN postings USING (district, term) JOIN weighing USING (district, term) GROUP BY 1, 2, 3""",
 }
 
 
@@ -423,7 +445,7 @@ def _queries() -> dict[str, str]:
             {bounded(LAT, LON)} AS map_ok FROM raw""",
         "district_map_rows": f"SELECT cds_code AS key, ord, {headers}, slug FROM districts",
         "schools_by_district": chunked.format(key="district_cds", table="linked", rows=S.SCHOOLS_IN_ARRAY),
-        "page_params": "SELECT slug AS \"districtSlug\" FROM districts WHERE slug <> ''",
+        "page_params": "SELECT slug AS \"districtSlug\" FROM page_homes WHERE slug <> ''",
         "school_counts": f"""SELECT d.cds_code, d.district, d.slug, coalesce(n, 0) AS school_count FROM districts d
             LEFT JOIN (SELECT district_cds, count(*) AS n FROM links WHERE link_status <> 'bad_prefix' AND {PAGE_SCHOOL} GROUP BY 1) c
             ON c.district_cds = d.cds_code""",
@@ -466,11 +488,26 @@ def _queries() -> dict[str, str]:
             FROM (SELECT DISTINCT unnest([substr(s_name, 16, 3), substr(s_name, 17, 2), substr(s_name, 18, 1),
                     substr(s_name, 14, 5) || ' - UNI', substr(s_name, 1, 9)]) AS term FROM supplier) t
             JOIN districts d ON d.status = 'Active' AND contains(lower(d.district), lower(t.term))) x WHERE place <= 10""",
+        "search_parts": f"""SELECT term, cds_code, district, slug, '/districts/' || slug AS path FROM (
+            SELECT t.term, d.*, row_number() OVER (PARTITION BY t.term ORDER BY d.district, d.ord) AS place
+            FROM (SELECT DISTINCT unnest([{', '.join(S.PART_TERMS)}]) AS term FROM part) t
+            JOIN (SELECT p_partkey AS ord, {', '.join(f'{e} AS {c}' for c, e in S.PART_NAMES.items())} FROM part) d
+              ON d.status = 'Active' AND t.term <> '' AND contains(lower(d.district), lower(t.term))) x WHERE place <= 10""",
+        "exported_records": "SELECT " + ", ".join("' ' || district AS district" if c == "district" else f"trim({c}) AS {c}" for c in RAW_COLUMNS) + " FROM raw",
+        "built_districts": """SELECT p.cds_code, p.slug, p.lat, p.lon, p.geocode_level, coalesce(n, 0) AS schools, coalesce(repaired, 0) AS repaired_schools,
+            p.slug <> '' AS page FROM placed_d p LEFT JOIN (SELECT l.district_cds, count(*) AS n, CAST(count_if(s.geocode_ok) AS BIGINT) AS repaired
+              FROM linked l JOIN placed_s s ON s.ord = l.ord GROUP BY 1) c ON c.district_cds = p.cds_code""",
+        "built_boundaries": """SELECT f.boundary_key, geom_type, CASE geom_type WHEN 'Point' THEN 1 WHEN 'Polygon' THEN 5 ELSE 10 END AS vertices,
+            round(min_lat, 6) AS min_lat, round(min_lon, 6) AS min_lon, round(max_lat, 6) AS max_lat, round(max_lon, 6) AS max_lon
+            FROM kept_features f JOIN boxes b ON b.boundary_key = f.boundary_key""",
+        "district_folders": "SELECT district_cds, count(*) AS schools, max(phone) AS last_phone, count(*) AS listed FROM linked GROUP BY 1",
         "feature_collections": """SELECT pos, boundary_id, geom_type,
             CASE geom_type WHEN 'Point' THEN 1 WHEN 'Polygon' THEN 5 ELSE 10 END AS vertices FROM features""",
         "boundary_vertices": "SELECT boundary_key, reprojected, CAST(vertex AS INTEGER) AS vertex, round(lon, 6) AS lon, round(lat, 6) AS lat FROM vertices",
         "boundary_boxes": "SELECT boundary_key, round(min_lat, 6) AS min_lat, round(min_lon, 6) AS min_lon, round(max_lat, 6) AS max_lat, round(max_lon, 6) AS max_lon FROM boxes",
-        "district_markers": f"""SELECT cds_code, district, lat, lon, '/districts/' || slug || '/' AS link FROM placed_d WHERE {bounded('lat', 'lon')}""",
+        "office_markers": "SELECT cds_code, lat, lon, '<b>' || district || ' Office</b><br>' || address AS popup FROM offices WHERE lat IS NOT NULL AND lon IS NOT NULL",
+        "district_markers": f"""SELECT cds_code, district, lat, lon, '/districts/' || slug || '/' AS link,
+            '<b>' || district || '</b><br><a href="/districts/' || slug || '/">View Details</a>' AS popup FROM placed_d WHERE {bounded('lat', 'lon')}""",
         "unplaced_districts": f"SELECT cds_code, district FROM placed_d WHERE NOT {bounded('lat', 'lon')}",
         "district_marker_cells": _cluster(f"(SELECT lat, lon FROM placed_d WHERE {bounded('lat', 'lon')}) m", ""),
         "school_markers": "SELECT district_cds, ord, cds_code, lat, lon, popup FROM school_points",
@@ -505,9 +542,10 @@ def _queries() -> dict[str, str]:
             {default('status', 'N/A')} AS status, {default('entity_type', 'N/A')} AS entity_type, {grades('district')} AS grades,
             {address_line(*STREET)} AS address, {default('phone', 'N/A')} AS phone, {SITE} AS website,
             '{DASH}gissearch/districts/' || d.cds_code AS dashboard_url, '{CDE}' || d.cds_code AS profile_url, coalesce(n, 0) AS school_count
-            FROM districts d LEFT JOIN (SELECT district_cds, count(*) AS n FROM page_rows GROUP BY 1) c ON c.district_cds = d.cds_code""",
-        "page_schools": "SELECT * FROM page_list",
-        "page_school_chunks": chunked.format(key="slug", table="page_list", rows=S.SCHOOLS_IN_ARRAY),
+            FROM page_wanted w JOIN page_homes d ON d.slug = w.slug AND first_of = 1
+            LEFT JOIN (SELECT district_cds, count(*) AS n FROM page_rows GROUP BY 1) c ON c.district_cds = d.cds_code""",
+        "page_schools": "SELECT l.* FROM page_wanted w JOIN page_list l ON l.slug = w.slug",
+        "page_school_chunks": chunked.format(key="slug", table="page_list WHERE slug <> ''", rows=S.SCHOOLS_IN_ARRAY),
         "internal_links": "SELECT page_id, link FROM page_links",
         "broken_links": "SELECT page_id, link FROM page_links WHERE regexp_replace(link, '#.*$', '') NOT IN (SELECT url FROM known_urls)",
         "broken_targets": """SELECT regexp_replace(link, '#.*$', '') AS target, count(DISTINCT page_id) AS pages FROM page_links
@@ -517,6 +555,9 @@ def _queries() -> dict[str, str]:
         "guide_outline": """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS INTEGER) AS number,
             text, question, text AS note, slug AS anchor FROM guide_slugs WHERE depth = 2""",
         "guide_headings": "SELECT doc_id, pos, depth, slug, text FROM guide_slugs",
+        "guide_sections": "SELECT doc_id, CAST(pos AS INTEGER) AS pos, section_id, title, body, source_url FROM sections",
+        "section_answers": f"""SELECT question_id, district, CAST(place AS INTEGER) AS rank, section_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY question_id, district ORDER BY score DESC, section_id) AS place FROM answers) WHERE place <= {S.ANSWERS}""",
         "boundary_totals": """SELECT 'boundaries' AS section, 'features' AS metric, count(*) AS value FROM features UNION ALL
             SELECT 'boundaries', 'without_id', count(*) FROM features WHERE boundary_id IS NULL UNION ALL
             SELECT 'boundaries', 'boundaries', count(*) FROM kept_features UNION ALL

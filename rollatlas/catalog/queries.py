@@ -13,11 +13,11 @@ from rollatlas.functions import coordinates as K
 from rollatlas.functions import display as D
 from rollatlas.functions import text as X
 from rollatlas.functions.numbers import parse_float
-from rollatlas.operators import cleaning, geocode, geometry, linking, links, outline, ranking, search
-from rollatlas.plans import maps, pages, quality
+from rollatlas.operators import cleaning, geocode, geometry, linking, links, outline, ranking, retrieval, search, sections
+from rollatlas.plans import build, maps, pages, quality
 from rollatlas.schema import DISTRICT_COLUMNS, RAW_COLUMNS, SCHOOL_COLUMNS
-from rollatlas.session import tune
-from rollatlas.sources import assets, directory, geojson
+from rollatlas.session import tune, work_folder
+from rollatlas.sources import assets, directory, geojson, manifest
 
 Query = Callable[[SparkSession, str], DataFrame]
 ZOOMS = [6, 9, 12]
@@ -67,6 +67,22 @@ class Tables:
     def placed_schools(self) -> DataFrame:
         return geocode.geocode(self.schools, self.gazetteer)
 
+    @cached_property
+    def placed_kinds(self) -> DataFrame:
+        """Districts and schools geocoded as one table, for counts over both."""
+        both = geocode.records_of_kinds(["slug", *geocode.GEOCODE_INPUT], districts=self.districts, schools=self.schools)
+        return geocode.geocode(both, self.gazetteer)
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        """Outcome for the addresses of both, for plans that need both tables whole."""
+        return geocode.resolve_records([self.districts, self.schools], self.gazetteer)
+
+    def placed_both(self) -> tuple[DataFrame, DataFrame]:
+        """Geocoded districts, and geocoded schools that have a district."""
+        schools = geocode.geocode(self.schools, self.gazetteer, self.resolved)
+        return geocode.geocode(self.districts, self.gazetteer, self.resolved), linking.linked_schools(schools, self.districts)
+
     @cached_property
     def linked(self) -> DataFrame:
         return linking.linked_schools(self.schools, self.districts)
@@ -166,7 +182,7 @@ def schools_by_district(spark, folder):
 @query
 def page_params(spark, folder):
     """Slug of every page."""
-    return assets.page_params(_districts(spark, folder))
+    return assets.page_params(S.page_districts(_districts(spark, folder)))
 
 
 # Joins and counts ------------------------------------------------------------------
@@ -252,9 +268,7 @@ def geocode_schools(spark, folder):
 @query
 def geocode_report(spark, folder):
     """Outcome counts for districts and schools (A3)."""
-    t = Tables(spark, folder)
-    one = geocode.geocode_report(t.placed_districts, "districts")
-    return one.unionByName(geocode.geocode_report(t.placed_schools, "schools"))
+    return geocode.geocode_report(Tables(spark, folder).placed_kinds, quality.KINDS)
 
 
 @query
@@ -380,6 +394,14 @@ def search_terms(spark, folder):
     return search.search_many(Tables(spark, folder).districts, terms)
 
 
+@query
+def search_parts(spark, folder):
+    """Top ten per term over part names, which repeat and share all their pieces."""
+    parts = S.table(spark, folder, "part")
+    terms = parts.select(F.explode(F.array(*[F.expr(t) for t in S.PART_TERMS])).alias("term"))
+    return search.search_many(S.part_names(spark, folder), terms)
+
+
 # Boundaries and maps ---------------------------------------------------------------------
 
 
@@ -423,6 +445,12 @@ def district_markers(spark, folder):
     return maps.district_markers(Tables(spark, folder).placed_districts)
 
 
+@query
+def office_markers(spark, folder):
+    """District offices with popup text (P5)."""
+    return maps.office_markers(Tables(spark, folder).placed_districts, S.map_gazetteer(spark, folder))
+
+
 @query
 def unplaced_districts(spark, folder):
     """Districts left off the map (F13, anti side)."""
@@ -451,9 +479,7 @@ def school_marker_cells(spark, folder):
 def district_map_view(spark, folder):
     """First view of every district map."""
     t = Tables(spark, folder)
-    view = maps.district_map_view(
-        t.placed_districts, t.placed_linked, _boundaries(spark, folder), S.map_gazetteer(spark, folder)
-    )
+    view = maps.district_map_view(*t.placed_both(), _boundaries(spark, folder), S.map_gazetteer(spark, folder))
     return _round_all(view, geometry.BOX_FIELDS)
 
 
@@ -469,35 +495,39 @@ def card_map_view(spark, folder):
 def overview_map_view(spark, folder):
     """First view of the older overview map (P5, third policy)."""
     t = Tables(spark, folder)
-    view = maps.overview_map_view(
-        t.placed_districts, t.placed_linked, _boundaries(spark, folder), S.map_gazetteer(spark, folder)
-    )
+    view = maps.overview_map_view(*t.placed_both(), _boundaries(spark, folder), S.map_gazetteer(spark, folder))
     return _round_all(view, geometry.BOX_FIELDS)
 
 
 # Pages -----------------------------------------------------------------------------------
 
 
+def _wanted_pages(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Parameters, and districts under their page's slug."""
+    homes = S.page_districts(t.districts)
+    return assets.page_params(homes).unionByName(S.lost_params(t.spark, t.folder)), homes
+
+
 @query
 def district_pages(spark, folder):
-    """Every district page, flat."""
+    """Every district page, flat."""
     t = Tables(spark, folder)
-    built = pages.district_pages(assets.page_params(t.districts), t.districts, t.linked)
-    return built.drop("breadcrumbs")
+    return pages.district_pages(*_wanted_pages(t), t.linked).drop("breadcrumbs")
 
 
 @query
 def page_schools(spark, folder):
     """Schools on every page."""
     t = Tables(spark, folder)
-    return pages.page_schools(assets.page_params(t.districts), t.districts, t.linked)
+    return pages.page_schools(*_wanted_pages(t), t.linked)
 
 
 @query
 def page_school_chunks(spark, folder):
     """School arrays per page in bounded chunks (P3), arrays shown as code lists."""
     t = Tables(spark, folder)
-    schools = pages.page_schools(assets.page_params(t.districts), t.districts, t.linked)
+    params, homes = _wanted_pages(t)
+    schools = pages.page_schools(params.distinct(), homes, t.linked)
     chunks = pages.page_school_chunks(schools, S.SCHOOLS_IN_ARRAY)
     codes = F.array_join(F.transform("schools", lambda s: s["cds_code"]), ",")
     return chunks.select("slug", "chunk", "n", codes.alias("codes"))
@@ -545,6 +575,24 @@ def guide_headings(spark, folder):
     return outline.guide_headings(_guides(spark, folder)).select("doc_id", "pos", "depth", "slug", "text")
 
 
+@query
+def guide_sections(spark, folder):
+    """Sections of every guide with their id, text and source address (V3)."""
+    return sections.guide_sections(_guides(spark, folder), S.GUIDE_SITE)
+
+
+@query
+def section_answers(spark, folder):
+    """The five best sections for every question inside its district (V4)."""
+    listed = sections.guide_sections(_guides(spark, folder), S.GUIDE_SITE)
+    text = F.concat_ws(" ", "title", "body")
+    filed = listed.select(F.expr(S.DISTRICT_OF_GUIDE).alias("district"), "section_id", text.alias("text"))
+    asked = S.table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("question_id"), F.expr(S.DISTRICT_OF_QUESTION).alias("district"), "text"
+    )
+    return retrieval.retrieve(retrieval.build_index(filed), asked, S.ANSWERS)
+
+
 @query
 def boundary_totals(spark, folder):
     """Feature counts of the boundary build (A5)."""
@@ -557,6 +605,61 @@ def quality_report(spark, folder):
     """All counts of a directory build (P10: A3, A4, A5, J2)."""
     t = Tables(spark, folder)
     status = linking.link_status(t.schools, t.districts)
-    return quality.quality_report(
-        S.raw_directory(spark, folder), t.placed_districts, t.placed_schools, status
+    return quality.quality_report(S.raw_directory(spark, folder), t.placed_kinds, status)
+
+
+# Builds: written below the shared folder and read back -----------------------------------
+
+
+@query
+def exported_records(spark, folder):
+    """Records of CSV files with preambles, blank lines and blank records."""
+    files = S.write_export(spark, folder, work_folder(spark, "export"))
+    return directory.read_directory(spark, files).select(*RAW_COLUMNS)
+
+
+@query
+def built_districts(spark, folder):
+    """Districts, schools and page parameters of a directory build."""
+    out = work_folder(spark, "directory")
+    raw, gazetteer = S.raw_directory(spark, folder), S.gazetteer(spark, folder)
+    if not build.build_directory(raw, gazetteer, out) or build.build_directory(raw, gazetteer, out):
+        raise RuntimeError("a build works once, and not again where its outputs are")
+    districts = assets.read_districts(spark, f"{out}/districts")
+    counts = assets.read_schools(spark, f"{out}/schools").groupBy(F.col("district_cds").alias("cds_code")).agg(
+        F.count(F.lit(1)).alias("schools"), F.count_if("geocode_ok").alias("repaired_schools")
+    )
+    params = assets.read_page_params(spark, f"{out}/page_params").select(F.col("districtSlug").alias("slug"), F.lit(True).alias("page"))
+    return districts.join(counts, "cds_code", "left").join(params, "slug", "left").select(
+        "cds_code", "slug", "lat", "lon", "geocode_level", F.coalesce("schools", F.lit(0)).alias("schools"),
+        F.coalesce("repaired_schools", F.lit(0)).alias("repaired_schools"), F.coalesce("page", F.lit(False)).alias("page"),
+    )
+
+
+@query
+def built_boundaries(spark, folder):
+    """Features written by key and read back as JSON."""
+    out = work_folder(spark, "boundaries")
+    build.build_boundaries(S.boundary_features(spark, folder), out, buckets=16)
+    stored = spark.read.schema("boundary_key string, feature string").json(f"{out}/boundary_features")
+    parsed = geometry.parse_features(stored.withColumn("pos", F.col("boundary_key")))
+    boxed = parsed.select(
+        F.col("pos").alias("boundary_key"), "geom_type", geometry.vertex_count("polygons").alias("vertices"),
+        geometry.extent("polygons").alias("box"),
     )
+    return _round_all(boxed.select("boundary_key", "geom_type", "vertices", "box.*"), geometry.BOX_FIELDS)
+
+
+@query
+def district_folders(spark, folder):
+    """Linked schools kept district by district, an update, and what the manifest lists (V1, V2)."""
+    out = work_folder(spark, "districts")
+    linked = Tables(spark, folder).linked.select("district_cds", "ord", "cds_code", "school", "phone")
+    older = linked.withColumn("phone", F.when(F.expr(S.OLDER_DISTRICTS), "").otherwise(F.col("phone")))
+    for version in (older, linked):
+        manifest.write_districts(version, out, "district_cds")
+    now = manifest.read_listed(spark, out, schema=linked.schema)
+    phones = now.groupBy("district_cds").agg(F.count(F.lit(1)).alias("schools"), F.max("phone").alias("last_phone"))
+    key = F.regexp_extract("file", "district_cds=([^/]*)/", 1)
+    listed = manifest.manifest(spark, out).groupBy(key.alias("district_cds")).agg(F.sum("rows").alias("listed"))
+    return phones.join(listed, "district_cds")

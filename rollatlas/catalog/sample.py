@@ -7,7 +7,7 @@ text that Spark and DuckDB read alike; ``k`` is the row's key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollatlas.schema import RAW_COLUMNS
@@ -23,6 +23,7 @@ TABLES = {
     "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
 }
 
 
@@ -39,8 +40,8 @@ STREET = """CASE WHEN k % 13 = 5 AND k % 2 = 0 THEN 'INFORMATION redacted - priv
   ELSE concat(k % 90 + 1, ' Oak Road') END"""
 CITY = "CASE WHEN k % 41 = 10 THEN 'No Data' WHEN k % 43 = 11 THEN '' ELSE n END"
 STATE = "CASE WHEN k % 8 = 7 THEN 'NV' WHEN k % 47 = 12 THEN '' ELSE 'CA' END"
-LATITUDE = f"""CASE k % 7 WHEN 0 THEN '' WHEN 1 THEN 'No Data' WHEN 2 THEN '0' WHEN 3 THEN '37.5abc'
-  ELSE concat(32 + k % 10, '.', {digits('k % 1000', 3)}) END"""
+LATITUDE = f"""CASE WHEN k % 23 = 6 THEN '33.25 (redacted)' WHEN k % 7 = 0 THEN '' WHEN k % 7 = 1 THEN 'No Data'
+  WHEN k % 7 = 2 THEN '0' WHEN k % 7 = 3 THEN '37.5abc' ELSE concat(32 + k % 10, '.', {digits('k % 1000', 3)}) END"""
 LONGITUDE = f"""CASE WHEN k % 61 = 4 THEN '-190.5' WHEN k % 7 = 0 THEN '' WHEN k % 7 = 1 THEN 'No Data'
   WHEN k % 7 = 2 THEN '0'
   ELSE concat('-', 114 + k % 10, '.', {digits('(k * 7) % 1000', 3)}) END"""
@@ -100,6 +101,25 @@ MAP_QUERIES = [
     "concat(district, ', California')",
 ]
 
+# Guides and questions belong to one of 25 districts each; a third of the guides to one of them.
+GUIDE_SITE = "https://guides.example.org"
+DISTRICT_OF_GUIDE = "CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 25 END"
+DISTRICT_OF_QUESTION = "item_id % 25"
+ANSWERS = 5
+
+# Slugs that pages are built from: some districts have none, some share one. Parameters also ask for
+# pages that no district has.
+PAGE_SLUG = "CASE WHEN ord % 26 = 4 THEN '' WHEN ord % 34 = 6 THEN 'shared-page' ELSE slug END"
+LOST_SLUG = "concat('no-page-', n_nationkey)"
+
+# Districts whose schools had no phone in an older version.
+OLDER_DISTRICTS = "substr(district_cds, 6, 2) = '05'"
+
+# Parts as a second table to search: many rows share a name.
+PART_NAMES = {"cds_code": "concat('', p_partkey)", "district": "concat(p_name, ' ', p_type)", "slug": "concat('part-', p_partkey)",
+              "status": "CASE WHEN p_size % 7 = 3 THEN 'Closed' ELSE 'Active' END"}
+PART_TERMS = ["p_name", "upper(substr(p_name, 2, 4))", "substr(p_name, 3, 2)", "p_type", "concat(substr(p_name, 4), ' ', substr(p_type, 1, 4))"]
+
 # Districts of the sample have at most twelve schools, so arrays of this size show a second chunk.
 SCHOOLS_IN_ARRAY = 5
 
@@ -264,3 +284,35 @@ def guides(documents: DataFrame) -> DataFrame:
     # Depth by first letter, so that outlines leave some headings out.
     text = F.regexp_replace(F.regexp_replace(text, r"(?m)^## (?=[A-E])", "# "), r"(?m)^## (?=T)", "### ")
     return documents.select("doc_id", text.alias("text"))
+
+
+def page_districts(districts: DataFrame) -> DataFrame:
+    return districts.withColumn("slug", F.expr(PAGE_SLUG))
+
+
+def lost_params(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "nation").select(F.expr(LOST_SLUG).alias("districtSlug"))
+
+
+def part_names(spark: SparkSession, folder: str) -> DataFrame:
+    columns = [F.expr(e).alias(c) for c, e in PART_NAMES.items()]
+    return table(spark, folder, "part").select(F.col("p_partkey").alias("ord"), *columns)
+
+
+def write_export(spark: SparkSession, folder: str, path: str, files: int = 3) -> str:
+    """The raw records as CSV files with a preamble each, blank lines and blank records between
+    records. The path that names the files."""
+    quoted = [
+        F.concat(F.lit('" '), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) if c == "district"
+        else F.concat(F.lit(" "), F.col(c), F.lit(" ")) for c in RAW_COLUMNS
+    ]
+    lines = raw_directory(spark, folder).select("ord", F.concat_ws(",", *quoted).alias("line"), (F.col("ord") % files).alias("file"))
+    first = F.row_number().over(Window.partitionBy("file").orderBy("ord")) == 1
+    known = "School,77,,,,,,,Active" + "," * (len(RAW_COLUMNS) - 9)
+    preamble = "\n".join([",".join(RAW_COLUMNS), known, "", known]) + "\n"
+    blank = "\n" + '" "' + ", ," * ((len(RAW_COLUMNS) - 1) // 2) + "\n"
+    text = F.concat(F.when(first, preamble).otherwise(F.when(F.col("ord") % 7 == 0, blank + "\n").otherwise("")), "line")
+    lines.select("file", text.alias("value"), "ord").repartition("file").sortWithinPartitions("file", "ord").drop("ord").write.partitionBy(
+        "file"
+    ).text(path)
+    return f"{path}/file=*/part-*"

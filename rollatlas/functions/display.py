@@ -25,6 +25,10 @@ DIRECTORY_PROFILE = "https://www.cde.ca.gov/schooldirectory/details?cdscode="
 YEAR_REPORT = "https://www.caschooldashboard.org/reports/"
 REPORT_YEAR = "2024"
 
+# Texts of the popups of districts and offices.
+DETAILS_LINK = '">View Details</a>'
+OFFICE_MARK = " Office</b><br>"
+
 
 def _stated(c: Column | str) -> Column:
     """Trimmed text, or null when blank or the sentinel in any case."""
@@ -122,6 +126,16 @@ def marker_link(slug: Column | str, code: Column | str, base: str = "/") -> Colu
     return F.concat(F.lit(base + "districts/"), target, F.lit("/"))
 
 
+def district_popup(name: Column | str, link: Column | str) -> Column:
+    """Popup of a district's marker on the index map."""
+    return F.concat(F.lit("<b>"), col(name), F.lit('</b><br><a href="'), col(link), F.lit(DETAILS_LINK))
+
+
+def office_popup(name: Column | str, address: Column | str) -> Column:
+    """Popup of a district office's marker."""
+    return F.concat(F.lit("<b>"), col(name), F.lit(OFFICE_MARK), col(address))
+
+
 def page_title(name: Column | str) -> Column:
     return F.concat(or_default(name, UNKNOWN_DISTRICT), F.lit(TITLE_END))
 

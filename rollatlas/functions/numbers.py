@@ -23,7 +23,6 @@ def fixed_point(value: Column | str) -> Column:
     return F.round(col(value) * SCALE).cast("bigint")
 
 
-def exact_avg(value: Column | str) -> Column:
-    """Average of degrees through a whole-number sum (1e-7 degree units)."""
-    whole = F.sum(fixed_point(value))
-    return whole.cast("double") / F.count(col(value)) / F.lit(float(SCALE))
+def avg_of_sums(whole: Column, count: Column) -> Column:
+    """Average of degrees from their sum in whole 1e-7 degrees and their number."""
+    return whole.cast("double") / count / F.lit(float(SCALE))

@@ -7,6 +7,8 @@ addresses and is joined back to the records.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,9 @@ PART_NAME_SCORE = -10
 CITY_SCORE = -5
 
 ADDRESS = ["street_address", "street_city", "street_state"]
+# What geocoding reads of a record, and what it tells of it.
+GEOCODE_INPUT = [*ADDRESS, "latitude", "longitude"]
+GEOCODE_FLAGS = ["geocode_tried", "geocode_ok", "geocode_fallback"]
 _CANDIDATE_FIELDS = ["rank", "lat", "lon", "display_name", "name", "class", "type"]
 
 
@@ -171,18 +176,30 @@ def needs_geocoding() -> Column:
     return ~valid_for_ingest("latitude", "longitude")
 
 
-def geocode(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
+def _lacking(records: DataFrame) -> DataFrame:
+    """Records that need coordinates, their address without nulls."""
+    return records.filter(needs_geocoding()).withColumns({c: F.coalesce(c, F.lit("")) for c in ADDRESS})
+
+
+def resolve_records(records: list[DataFrame], gazetteer: DataFrame) -> DataFrame:
+    """Outcome of the cascade for the distinct addresses of all the tables that need one.
+
+    One table of attempts, one pass over the gazetteer; ``geocode`` of each table reads it.
+    """
+    asked = reduce(DataFrame.unionByName, [_lacking(r).select(*ADDRESS) for r in records])
+    return resolve_addresses(asked.distinct(), gazetteer)
+
+
+def geocode(records: DataFrame, gazetteer: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
     """Repair records whose coordinates fail the strict rule; leave the others as they are.
 
     Adds geocode_level (0 untouched or failed), geocode_ok, geocode_fallback,
     geocode_tried and numeric lat / lon. A failure sets both texts to the sentinel.
+    ``resolved`` is the result of ``resolve_records`` over these records and perhaps others.
     """
     good = records.filter(~needs_geocoding())
-    bad = records.filter(needs_geocoding()).withColumns(
-        {c: F.coalesce(c, F.lit("")) for c in ADDRESS}
-    )
-    found = resolve_addresses(bad.select(*ADDRESS).distinct(), gazetteer)
-    joined = bad.join(found, ADDRESS, "left")
+    found = resolve_records([records], gazetteer) if resolved is None else resolved
+    joined = _lacking(records).join(found, ADDRESS, "left")
     hit = F.col("_level").isNotNull()
     repaired = joined.withColumns(
         {
@@ -209,13 +226,26 @@ def geocode(records: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return untouched.unionByName(repaired)
 
 
-def geocode_report(records: DataFrame, entity: str) -> DataFrame:
-    """Attempted, successful and fallback-successful records (A3)."""
-    return records.agg(
-        F.count_if("geocode_tried").alias("tried"),
-        F.count_if("geocode_ok").alias("successes"),
-        F.count_if("geocode_fallback").alias("fallback_successes"),
-    ).select(F.lit(entity).alias("entity"), "tried", "successes", "fallback_successes")
+def records_of_kinds(columns: list[str], **tables: DataFrame) -> DataFrame:
+    """Columns of several tables as one with their ``kind``; a text column that one lacks is null."""
+
+    def tagged(kind: str, df: DataFrame) -> DataFrame:
+        own = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]
+        return df.select(F.lit(kind).alias("kind"), *own)
+
+    return reduce(DataFrame.unionByName, [tagged(k, df) for k, df in tables.items()])
+
+
+def geocode_report(records: DataFrame, entities: list[str]) -> DataFrame:
+    """Attempted, successful and fallback-successful records for each kind (A3), in one pass."""
+    found = {"tried": "geocode_tried", "successes": "geocode_ok", "fallback_successes": "geocode_fallback"}
+
+    def counts(entity: str) -> Column:
+        own = F.col("kind") == entity
+        return F.struct(F.lit(entity).alias("entity"), *[F.count_if(own & F.col(c)).alias(n) for n, c in found.items()])
+
+    one = records.agg(F.array(*[counts(e) for e in entities]).alias("_all"))
+    return one.select(F.inline("_all"))
 
 
 def fill_from_address(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollatlas.functions.coordinates import cell_x, cell_y, reproject_polygons
-from rollatlas.functions.numbers import exact_avg
+from rollatlas.functions.numbers import avg_of_sums, fixed_point
 from rollatlas.functions.text import col, present, sanitize_key
 from rollatlas.operators.ranking import last_per_key
 
@@ -124,14 +124,24 @@ def points_extent(points: DataFrame, keys: list[str]) -> DataFrame:
 def cluster_points(
     points: DataFrame, keys: list[str], zooms: list[int], cell_pixels: int = CELL_PIXELS
 ) -> DataFrame:
-    """Points per map cell and zoom, with their centre."""
-    zoomed = points.withColumn("zoom", F.explode(F.array(*[F.lit(z) for z in zooms])))
-    zoom = F.col("zoom")
-    cells = zoomed.withColumn("cell_x", cell_x(F.col("lon"), zoom, cell_pixels)).withColumn(
-        "cell_y", cell_y(F.col("lat"), zoom, cell_pixels)
+    """Points per map cell and zoom, with their centre.
+
+    A pyramid: points are read once and summed into the cells of the finest zoom. One zoom less
+    halves a cell's numbers, so coarser cells are sums of finer cells. Sums are whole numbers and
+    come out the same from any level.
+    """
+    finest = max(zooms)
+    cells = points.groupBy(
+        *keys, cell_x(F.col("lon"), finest, cell_pixels).alias("_x"), cell_y(F.col("lat"), finest, cell_pixels).alias("_y")
+    ).agg(
+        F.count(F.lit(1)).alias("_points"), F.count("lat").alias("_lats"), F.count("lon").alias("_lons"),
+        F.sum(fixed_point("lat")).alias("_lat"), F.sum(fixed_point("lon")).alias("_lon"),
     )
-    return cells.groupBy(*keys, "zoom", "cell_x", "cell_y").agg(
-        F.count(F.lit(1)).alias("points"),
-        exact_avg("lat").alias("lat"),
-        exact_avg("lon").alias("lon"),
+    zoomed = cells.withColumn("zoom", F.explode(F.array(*[F.lit(z) for z in sorted(set(zooms))])))
+    up = f"shiftright({{}}, {finest} - zoom)"
+    rolled = zoomed.groupBy(*keys, "zoom", F.expr(up.format("_x")).alias("cell_x"), F.expr(up.format("_y")).alias("cell_y"))
+    return rolled.agg(
+        F.sum("_points").alias("points"),
+        avg_of_sums(F.sum("_lat"), F.sum("_lats")).alias("lat"),
+        avg_of_sums(F.sum("_lon"), F.sum("_lons")).alias("lon"),
     )

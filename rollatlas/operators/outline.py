@@ -35,23 +35,31 @@ def first_paragraph(piece: Column) -> Column:
     return F.when(body.startswith(">"), "").otherwise(F.get(F.split(body, _PARAGRAPH_END, 2), F.lit(0)))
 
 
+def heading_pieces(text: Column | str) -> Column:
+    """A document cut before each heading; code blocks, and what stands before the first, go."""
+    plain = F.regexp_replace(F.regexp_replace(col(text), r"\r\n?", "\n"), _FENCE, "")
+    return F.filter(F.split(plain, _BEFORE_HEADING), lambda p: p.rlike(_HEADING))
+
+
+def heading_text(piece: Column) -> Column:
+    """The heading of a piece without its marks."""
+    return trim_blanks(F.regexp_replace(F.regexp_extract(piece, _HEADING, 2), r"[ \t]+#+[ \t]*$", ""))
+
+
 def sections(text: Column | str) -> Column:
     """(depth, text, question, note) of every heading of a document."""
-    plain = F.regexp_replace(F.regexp_replace(col(text), r"\r\n?", "\n"), _FENCE, "")
-    pieces = F.filter(F.split(plain, _BEFORE_HEADING), lambda p: p.rlike(_HEADING))
 
     def section(piece: Column) -> Column:
-        title = F.regexp_replace(F.regexp_extract(piece, _HEADING, 2), r"[ \t]+#+[ \t]*$", "")
         question = trim_blanks(first_paragraph(piece))
         note = trim_blanks(F.regexp_extract(piece, _NOTE, 1))
         return F.struct(
             F.length(F.regexp_extract(piece, _HEADING, 1)).alias("depth"),
-            trim_blanks(title).alias("text"),
+            heading_text(piece).alias("text"),
             F.nullif(question, F.lit("")).alias("question"),
             F.nullif(note, F.lit("")).alias("note"),
         )
 
-    return F.transform(pieces, section)
+    return F.transform(heading_pieces(text), section)
 
 
 _NUMBERED = r"-\d+$"

@@ -34,11 +34,11 @@ def search_districts(
     return ranked.withColumn("path", page_path("slug", base))
 
 
-def _grams(text: Column, size: Column | int) -> Column:
-    size = F.lit(size) if isinstance(size, int) else size
+def _pieces(text: Column, size: Column) -> Column:
+    """(piece, at) for every place of a text, from 1."""
     starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    cut = F.transform(starts, lambda i: F.substr(text, i, size))
-    return F.when(F.length(text) >= size, F.array_distinct(cut)).otherwise(F.array().cast("array<string>"))
+    cut = F.transform(starts, lambda i: F.struct(F.substr(text, i, size).alias("piece"), i.alias("at")))
+    return F.when(F.length(text) >= size, cut).otherwise(F.array().cast("array<struct<piece:string,at:int>>"))
 
 
 def search_many(
@@ -46,34 +46,33 @@ def search_many(
 ) -> DataFrame:
     """Search for every row of ``terms(term)`` at once.
 
-    A name can only contain a term if it contains the term's rarest three-letter
-    piece, so names and terms meet on that piece and the match is then checked on
-    the whole text. Shorter terms meet on themselves.
+    A term has an anchor: its rarest three-letter piece, the piece's place in it, and its length.
+    Where a name holds the piece, the anchor tells which stretch of the name the term would have to
+    be, so names meet the different anchors, which are few however many terms share a piece, and
+    the stretches then meet the terms in a join on the whole text. The best names of a text are
+    taken before its terms come in.
     """
     names = districts.filter(F.col("status") == ACTIVE).withColumn("_name", F.lower("district"))
-    wanted = terms.select("term", F.lower("term").alias("_wanted")).distinct()
-    wanted = wanted.filter(F.col("_wanted") != "")
+    wanted = terms.select("term", F.lower("term").alias("_text")).distinct().filter(F.col("_text") != "")
 
     sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
-    pieces = F.flatten(F.transform(sizes, lambda n: _grams(F.col("_name"), n)))
+    pieces = F.flatten(F.transform(sizes, lambda n: _pieces(F.col("_name"), n)))
     kept = ["ord", "cds_code", "district", "slug", "_name"]
-    postings = explode_costly(names, kept, pieces, "_piece")
+    postings = explode_costly(names, kept, pieces, "_piece").select(*kept, "_piece.*")
 
-    size = F.least(F.length("_wanted"), F.lit(GRAM))
-    needed = explode_costly(wanted, ["term", "_wanted"], _grams(F.col("_wanted"), size), "_piece")
-    frequency = postings.groupBy("_piece").agg(F.count(F.lit(1)).alias("_names"))
+    size = F.least(F.length("_text"), F.lit(GRAM))
+    own = explode_costly(wanted.select("_text").distinct(), ["_text"], _pieces(F.col("_text"), size), "_piece")
+    frequency = postings.groupBy("piece").agg(F.count(F.lit(1)).alias("_names"))
     # A piece no name has rules its term out: count it as zero and let it win.
-    weighed = needed.join(frequency, ["_piece"], "left")
-    rarest = weighed.groupBy("term", "_wanted").agg(
-        F.min_by("_piece", F.struct(F.coalesce("_names", F.lit(0)), "_piece")).alias("_piece")
+    weighed = own.select("_text", "_piece.*").join(frequency, "piece", "left")
+    rarest = weighed.groupBy("_text").agg(
+        F.min_by(F.struct("piece", F.col("at").alias("_in")), F.struct(F.coalesce("_names", F.lit(0)), "piece", "at")).alias("_anchor")
     )
-    order = [locale_key("district"), F.col("ord")]
-    # A short term is its piece: every name with it is a hit, so the best are taken before the
-    # terms come in, however many share them.
-    whole = F.length("_wanted") <= GRAM
-    short = rarest.filter(whole)
-    met = top_k(postings.join(short.select("_piece").distinct(), "_piece", "left_semi"), ["_piece"], order, k)
-    long = postings.join(rarest.filter(~whole), ["_piece"], "inner").filter(F.contains("_name", "_wanted"))
-    hits = met.join(short, "_piece").unionByName(long)
-    best = top_k(hits, ["term"], order, k)
-    return best.select("term", "cds_code", "district", "slug", page_path("slug", base).alias("path"))
+    anchors = rarest.select("_anchor.*", F.length("_text").alias("_length")).distinct()
+    start = F.col("at") - F.col("_in") + 1
+    placed = postings.join(anchors, "piece").filter((start >= 1) & (start + F.col("_length") - 1 <= F.length("_name")))
+    stretches = placed.select(*kept, F.substr("_name", start, F.col("_length")).alias("_text"))
+    # A name may hold a term several times.
+    hits = stretches.join(wanted.select("_text"), "_text", "left_semi").distinct()
+    best = top_k(hits, ["_text"], [locale_key("district"), F.col("ord")], k)
+    return best.join(wanted, "_text").select("term", "cds_code", "district", "slug", page_path("slug", base).alias("path"))

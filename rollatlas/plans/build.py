@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rollatlas.operators.cleaning import district_rows, school_rows
-from rollatlas.operators.geocode import geocode
+from rollatlas.operators.geocode import GEOCODE_FLAGS, geocode, records_of_kinds, resolve_records
 from rollatlas.operators.geometry import boundary_rows, parse_features
 from rollatlas.operators.linking import link_status
 from rollatlas.sources.assets import (
@@ -20,8 +20,10 @@ from rollatlas.sources.assets import (
     page_params,
     schools_by_district,
     write_by_key,
+    write_finished,
     write_table,
 )
+from rollatlas.sources.manifest import write_manifest
 
 
 def _stage(df: DataFrame, path: str) -> DataFrame:
@@ -48,15 +50,17 @@ def build_directory(
     raw = _stage(raw, f"{out}/stage/raw")
     districts = _stage(district_rows(raw), f"{out}/stage/districts")
     schools = _stage(school_rows(raw), f"{out}/stage/schools")
-    districts = _stage(geocode(districts, gazetteer), f"{out}/districts")
-    schools = _stage(geocode(schools, gazetteer), f"{out}/stage/schools_geocoded")
+    resolved = _stage(resolve_records([districts, schools], gazetteer), f"{out}/stage/addresses")
+    districts = _stage(geocode(districts, gazetteer, resolved), f"{out}/districts")
+    write_manifest(spark, f"{out}/districts")
+    schools = _stage(geocode(schools, gazetteer, resolved), f"{out}/stage/schools_geocoded")
     status = _stage(link_status(schools, districts), f"{out}/stage/school_links")
     linked = status.filter("link_status = 'linked'").drop("link_status")
-    write_table(linked, f"{out}/schools")
+    write_finished(linked, f"{out}/schools")
     if json_assets:
         write_table(district_map(districts), f"{out}/districts_json", "json")
         write_table(schools_by_district(linked), f"{out}/schools_by_district_json", "json")
-    write_table(page_params(districts), f"{out}/page_params", "json")
+    write_finished(page_params(districts), f"{out}/page_params", "json")
     return True
 
 
@@ -73,6 +77,6 @@ def load_build(spark: SparkSession, out: str) -> dict[str, DataFrame]:
         "raw": "stage/raw", "districts": "districts", "schools": "stage/schools_geocoded",
         "links": "stage/school_links", "linked": "schools",
     }
-    return {name: spark.read.parquet(f"{out}/{path}") for name, path in names.items()}
-
-
+    found = {name: spark.read.parquet(f"{out}/{path}") for name, path in names.items()}
+    columns = ["slug", "lat", "lon", *GEOCODE_FLAGS]
+    return found | {"placed": records_of_kinds(columns, districts=found["districts"], schools=found["schools"])}

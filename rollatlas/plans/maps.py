@@ -32,9 +32,8 @@ NAME_ZOOM = 10
 def district_markers(districts: DataFrame, base: str = "/") -> DataFrame:
     """Districts that can be placed on the index map, with their link."""
     placed = districts.filter(in_bounds(F.col("lat"), F.col("lon")))
-    return placed.select(
-        "cds_code", "district", "lat", "lon", D.marker_link("slug", "cds_code", base).alias("link")
-    )
+    linked = placed.withColumn("link", D.marker_link("slug", "cds_code", base))
+    return linked.select("cds_code", "district", "lat", "lon", "link", D.district_popup("district", "link").alias("popup"))
 
 
 def unplaced_districts(districts: DataFrame) -> DataFrame:
@@ -87,6 +86,12 @@ def district_offices(
     return fill_from_address(located, known, "address")
 
 
+def office_markers(districts: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """District offices that have a point, with popup text."""
+    placed = district_offices(districts, gazetteer).filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    return placed.select("cds_code", "lat", "lon", D.office_popup("district", "address").alias("popup"))
+
+
 def district_map_view(
     districts: DataFrame,
     linked: DataFrame,

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from rollatlas.functions.coordinates import in_bounds
 from rollatlas.functions.text import present
 from rollatlas.operators.cleaning import reject_report
-from rollatlas.operators.geocode import geocode_report
 
 
 def _metrics(df: DataFrame, section: str) -> DataFrame:
@@ -21,18 +20,27 @@ def _metrics(df: DataFrame, section: str) -> DataFrame:
     )
 
 
-def totals(raw: DataFrame, districts: DataFrame, links: DataFrame) -> DataFrame:
-    """Records read, districts, pages, markers, linked and orphan schools (A5)."""
-    read = _metrics(raw.agg(F.count(F.lit(1)).alias("records")), "totals")
-    placed = in_bounds(F.col("lat"), F.col("lon"))
-    district = _metrics(
-        districts.agg(
-            F.count(F.lit(1)).alias("districts"),
-            F.count_if(present("slug")).alias("slugs"),
-            F.count_if(placed).alias("valid_markers"),
-        ),
-        "totals",
-    )
+KINDS = ["districts", "schools"]
+
+
+def geocode_totals(placed: DataFrame) -> DataFrame:
+    """Geocode outcomes of districts and schools, and districts, pages and markers (A3, A5), of
+    geocoded records with their ``kind``, counted in one pass."""
+    district = F.col("kind") == KINDS[0]
+    flags = {"tried": "geocode_tried", "successes": "geocode_ok", "fallback_successes": "geocode_fallback"}
+    counts = {(f"geocode_{k}", n): F.count_if((F.col("kind") == k) & F.col(c)) for k in KINDS for n, c in flags.items()}
+    counts[("totals", "districts")] = F.count_if(district)
+    counts[("totals", "slugs")] = F.count_if(district & present("slug"))
+    counts[("totals", "valid_markers")] = F.count_if(district & in_bounds(F.col("lat"), F.col("lon")))
+    listed = [
+        F.struct(F.lit(s).alias("section"), F.lit(m).alias("metric"), c.cast("bigint").alias("value")) for (s, m), c in counts.items()
+    ]
+    return placed.agg(F.array(*listed).alias("_all")).select(F.inline("_all"))
+
+
+def totals(read: DataFrame, links: DataFrame) -> DataFrame:
+    """Records read, linked and orphan schools (A5); ``read`` holds reject counts."""
+    read = _metrics(read.agg(F.sum("value").alias("records")).fillna(0), "totals")
     school = _metrics(
         links.agg(
             F.count(F.lit(1)).alias("schools"),
@@ -42,7 +50,7 @@ def totals(raw: DataFrame, districts: DataFrame, links: DataFrame) -> DataFrame:
         ),
         "totals",
     )
-    return read.unionByName(district).unionByName(school)
+    return read.unionByName(school)
 
 
 def boundary_totals(features: DataFrame, boundaries: DataFrame) -> DataFrame:
@@ -58,18 +66,15 @@ def boundary_totals(features: DataFrame, boundaries: DataFrame) -> DataFrame:
     return _metrics(read, "boundaries").unionByName(_metrics(written, "boundaries"))
 
 
-def quality_report(
-    raw: DataFrame, districts: DataFrame, schools: DataFrame, links: DataFrame
-) -> DataFrame:
-    """All counts of a directory build as (section, metric, value) (P10)."""
+def quality_report(raw: DataFrame, placed: DataFrame, links: DataFrame) -> DataFrame:
+    """All counts of a directory build as (section, metric, value) (P10).
+
+    ``placed`` holds geocoded districts and schools with their ``kind``. Each table is counted in
+    one pass, however many counts it gives.
+    """
     rejects = reject_report(raw).select(
         F.lit("rejects").alias("section"),
         F.col("reject_reason").alias("metric"),
         F.col("records").alias("value"),
     )
-    geocoded = [
-        _metrics(geocode_report(df, name).drop("entity"), f"geocode_{name}")
-        for name, df in (("districts", districts), ("schools", schools))
-    ]
-    parts = [rejects, *geocoded, totals(raw, districts, links)]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [rejects, geocode_totals(placed), totals(rejects, links)])

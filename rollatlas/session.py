@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # Runtime settings every plan in this package counts on. They can be changed on
@@ -37,3 +42,17 @@ def build_session(
     for key, value in conf.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
+
+
+def work_folder(spark: SparkSession, label: str) -> str:
+    """An unused path that driver and executors share, below ``spark.checkpoint.dir``.
+
+    Only a session in one process that names none gets a temporary folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="rollatlas-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

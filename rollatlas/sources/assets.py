@@ -8,17 +8,12 @@ from pyspark.sql import functions as F
 from rollatlas.functions.text import or_sentinel, present
 from rollatlas.operators.linking import CHUNK_ROWS, chunk_by_key
 from rollatlas.schema import DISTRICT_COLUMNS, HEADER_OF, SCHOOL_COLUMNS
-
-
-def output_complete(spark: SparkSession, path: str) -> bool:
-    """True when a Spark job has committed its output under ``path``."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+from rollatlas.sources.manifest import has_manifest, write_manifest
 
 
 def outputs_complete(spark: SparkSession, paths: list[str]) -> bool:
-    """Write-once guard: true only when every output is there."""
-    return all(output_complete(spark, p) for p in paths)
+    """Write-once guard: true only when every output is finished, that is, has its manifest."""
+    return all(has_manifest(spark, p) for p in paths)
 
 
 def with_headers(df: DataFrame, columns: list[str], extra: list[str] = ()) -> list[Column]:
@@ -70,6 +65,12 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     df.write.format(fmt).mode(mode).options(**options).save(path)
 
 
+def write_finished(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Write a table, and its manifest after it."""
+    write_table(df, path, fmt)
+    write_manifest(df.sparkSession, path, fmt)
+
+
 def write_by_key(df: DataFrame, path: str, key: str, buckets: int = 256, fmt: str = "parquet") -> None:
     """Files grouped by a hash bucket of the key, sorted by key inside.
 
@@ -94,21 +95,40 @@ def read_one_key(spark: SparkSession, path: str, key: str, value: str, fmt: str
     return table.filter(own & (F.col(key) == value)).drop("buckets", "bucket")
 
 
-def read_checked(spark: SparkSession, path: str, needed: list[str], fmt: str = "parquet") -> DataFrame:
-    """Load a table and reject one that lacks the needed columns."""
+def read_checked(spark: SparkSession, path: str, needed: dict[str, str | None], fmt: str = "parquet") -> DataFrame:
+    """Load a table and reject one that lacks a needed column or has it in another type.
+
+    ``needed`` gives each column's type, null for any. Types of formats that store them are
+    compared before a job reads rows. Text formats are read by the given types, none of which may
+    be open, and the first row that does not fit them stops the job.
+    """
+    if fmt != "parquet":
+        untyped = [c for c, t in needed.items() if t is None]
+        if untyped:
+            raise ValueError(f"a type is needed for {', '.join(untyped)} to read {fmt}")
+        schema = ", ".join(f"`{c}` {t}" for c, t in needed.items())
+        return spark.read.schema(schema).option("mode", "FAILFAST").format(fmt).load(path)
     table = spark.read.format(fmt).load(path)
-    missing = [c for c in needed if c not in table.columns]
+    types = {f.name: f.dataType.simpleString() for f in table.schema.fields}
+    missing = [c for c in needed if c not in types]
     if missing:
         raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    wrong = [f"{c} is {types[c]}, not {t}" for c, t in needed.items() if t and types[c] != t]
+    if wrong:
+        raise ValueError(f"{path}: {', '.join(wrong)}")
     return table
 
 
+def _texts(columns: list[str]) -> dict[str, str | None]:
+    return dict.fromkeys(columns, "string")
+
+
 def read_districts(spark: SparkSession, path: str) -> DataFrame:
-    return read_checked(spark, path, ["ord", *DISTRICT_COLUMNS, "slug"])
+    return read_checked(spark, path, {"ord": None, **_texts([*DISTRICT_COLUMNS, "slug"])})
 
 
 def read_schools(spark: SparkSession, path: str) -> DataFrame:
-    return read_checked(spark, path, ["ord", "district_cds", *SCHOOL_COLUMNS])
+    return read_checked(spark, path, {"ord": None, **_texts(["district_cds", *SCHOOL_COLUMNS])})
 
 
 def read_page_params(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import candidate, gazetteer_table
 from test_directory import PREAMBLE, line
 
@@ -50,8 +51,7 @@ def test_outputs(spark, built):
 def test_written_once(spark, built):
     raw, gaz, out = built
     assert not build_directory(raw, gaz, out)
-    assert assets.output_complete(spark, f"{out}/districts")
-    assert not assets.output_complete(spark, f"{out}/none")
+    assert assets.outputs_complete(spark, [f"{out}/districts", f"{out}/page_params"])
     assert not assets.outputs_complete(spark, [f"{out}/districts", f"{out}/none"])
 
 
@@ -61,10 +61,24 @@ def test_shape_check(spark, built):
         assets.read_schools(spark, f"{out}/districts")
 
 
+def test_wrong_types_are_rejected_before_a_job(spark, built, tmp_path):
+    _, _, out = built
+    path = str(tmp_path / "t")
+    spark.read.parquet(f"{out}/districts").withColumn("phone", F.lit(5)).write.parquet(path)
+    with pytest.raises(ValueError, match="phone is int, not string"):
+        assets.read_districts(spark, path)
+    assert assets.read_checked(spark, path, {"phone": None}).count() == 2
+    spark.createDataFrame([("x", "7"), ("y", "z")], "a string, n string").write.json(f"{path}-json")
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        assets.read_checked(spark, f"{path}-json", {"a": "string", "n": "struct<v:int>"}, "json").collect()
+    with pytest.raises(ValueError, match="type is needed"):
+        assets.read_checked(spark, f"{path}-json", {"a": None}, "json")
+
+
 def test_quality_report(spark, built):
     _, _, out = built
     t = load_build(spark, out)
-    report = quality_report(t["raw"], t["districts"], t["schools"], t["links"])
+    report = quality_report(t["raw"], t["placed"], t["links"])
     got = {(r["section"], r["metric"]): r["value"] for r in report.collect()}
     assert got == {
         ("rejects", "kept"): 6, ("rejects", "status"): 1, ("rejects", "redacted"): 1,

@@ -64,8 +64,9 @@ def test_cascade(spark):
     assert got["valid"]["latitude"] == "37.5abc" and not got["valid"]["geocode_tried"]
     assert got["other state"]["latitude"] == got["other state"]["longitude"] == "No Data"
     assert float(got["raw"]["latitude"]) == 38.1
-    report = G.geocode_report(placed, "schools").collect()[0]
-    assert tuple(report) == ("schools", 12, 10, 7)
+    kinds = G.records_of_kinds(["slug", *G.GEOCODE_FLAGS], schools=placed.drop("slug"))
+    report = G.geocode_report(kinds, ["districts", "schools"]).collect()
+    assert [tuple(r) for r in report] == [("districts", 0, 0, 0), ("schools", 12, 10, 7)]
 
 
 def test_attempt_texts(spark):
@@ -110,3 +111,12 @@ def test_ranks_need_not_start_at_one(spark):
         gaz = gazetteer_table(spark, [candidate("A", ranks[1], "7", "8"), candidate("A", ranks[0], "5", "6")])
         assert [(r["lat"], r["lon"]) for r in G.fill_from_address(points, gaz, "address").collect()] == [(5.0, 6.0)]
         assert [c["lat"] for c in G.top_candidates(gaz, 1).collect()[0]["candidates"]] == ["5"]
+
+
+def test_shared_resolution_reads_the_gazetteer_once(spark):
+    one = school_table(spark, [record("a", "12 First Street"), record("b", "No Data")])
+    two = school_table(spark, [record("c", "12 First Street"), record("d", "5 Oak Rd")])
+    gaz = gazetteer_table(spark, [candidate("12 1st Street, Napa, CA", 1), candidate("Napa, CA", 1, "1", "2")])
+    resolved = G.resolve_records([one, two], gaz)
+    for table in (one, two):
+        assert sorted(map(str, G.geocode(table, gaz, resolved).collect())) == sorted(map(str, G.geocode(table, gaz).collect()))

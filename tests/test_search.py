@@ -60,3 +60,21 @@ def test_many_terms_by_brute_force(spark):
 def test_many_terms_use_no_cross_join(spark):
     plan = plan_of(search_many(table(spark, NAMES[:1]), spark.createDataFrame([("a",)], "term string")))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_ten_thousand_terms_on_one_piece(spark):
+    """All names and terms share a piece, and most terms have no rarer one: still no product."""
+    names = [f"{i:03d} unified" for i in range(900)] + ["unified " * 4 + str(i) for i in range(100)]
+    terms = [f"unified {i}" for i in range(9_000)] + [f"{i:04d} unified" for i in range(1_000)] + ["UNIFIED", "nif", "unified unified 7"]
+    districts = table(spark, names)
+    got: dict[str, list[str]] = {}
+    for r in search_many(districts, spark.createDataFrame([(t,) for t in terms], "term string")).collect():
+        got.setdefault(r["term"], []).append(r["district"])
+    want = {}
+    for t in terms:
+        hits = sorted((n, i) for i, n in enumerate(names) if t.lower() in n)[:10]
+        if hits:
+            want[t] = [n for n, _ in hits]
+    assert {t: sorted(n) for t, n in got.items()} == {t: sorted(n) for t, n in want.items()}
+    plan = plan_of(search_many(districts, spark.createDataFrame([("a",)], "term string")))
+    assert "Contains" not in plan
