@@ -196,12 +196,18 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.concatenate([wide, np.zeros((1, wide.shape[1]))]).astype(np.float32)
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows over a power of two each, which changes no cosine and keeps squares in range."""
+    wide = vectors.astype(np.float64)
+    return np.ldexp(wide, -np.frexp(np.abs(wide).max(axis=1, keepdims=True))[1]) if len(wide) else wide
+
+
 def usable(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, vector, dim) of the rows that take part."""
     v = F.col(vector_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return rows.filter(F.col(id_col).isNotNull() & v.isNotNull() & fine).select(
-        F.col(id_col).cast("long").alias("id"), v.cast("array<float>").alias("vector"), F.size(v).alias("dim")
+        F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vector"), F.size(v).alias("dim")
     )
 
 
@@ -216,7 +222,7 @@ def build_index(rows: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, degre
     def build(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         dim, shard = table.column("dim")[0].as_py(), table.column("shard")[0].as_py()
-        vectors = table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype("<f4")
+        vectors = table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dim).astype("<f8")
         ids = table.column("ids").to_pylist()
         by_id = sorted(range(len(ids)), key=lambda i: ids[i])
         vectors, ids = vectors[by_id], [ids[i] for i in by_id]
@@ -235,7 +241,7 @@ def build_index(rows: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, degre
 
 
 def _read_graph(row: dict, degree: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    vectors = np.frombuffer(row["vectors"], "<f4").reshape(-1, row["dim"])
+    vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, row["dim"])
     nodes, links = np.frombuffer(row["nodes"], "<i4"), np.frombuffer(row["neighbours"], "<i4")
     graph, at, place = [], 0, 0
     for height, size in enumerate(row["level_sizes"]):
@@ -260,14 +266,14 @@ def search(
         row = shard.to_pylist()[0]
         vectors, graph = _read_graph(row, degree)
         unit = _unit(vectors)
-        exact = vectors.astype(np.float64)
+        exact = _scaled(vectors)
         length = np.sqrt((exact * exact).sum(axis=1))
         ids = row["ids"]
         query_id = asked.column("id").to_numpy()
         asked_vectors = asked.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, row["dim"])
         out: list[tuple[int, int, float]] = []
         for lo in range(0, len(query_id), BATCH):
-            q = asked_vectors[lo : lo + BATCH].astype(np.float64)
+            q = _scaled(asked_vectors[lo : lo + BATCH])
             q_unit = _unit(asked_vectors[lo : lo + BATCH])[:-1]
             entry = _entries(unit, graph[1:], q_unit, graph[0][0][:1])
             _, found = beam_search(unit, graph[0][1], q_unit, entry, max(beam, k + 1))

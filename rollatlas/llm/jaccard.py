@@ -16,7 +16,9 @@ return links and no pairs; so no link between components is lost. Texts that are
 Words are stretches without ASCII white space, A-Z lower-cased. A shingle's identity is 52 bits
 of its hash. A text without words has an empty set and links with nothing; one of fewer words
 than a shingle has one shingle, all its words. Rows with null doc_id get their set's size and no
-component. Rows with one doc_id are one document. An empty table gives an empty result.
+component. Rows with one doc_id are one document; of different texts under one id the one with the
+smallest digest is compared. An empty table gives an empty result. Very long texts are read in pieces
+that overlap by three words; their set is held whole. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ BLOCK_SHINGLES = 4096
 TASK_TEXTS = 8000
 #: Steps of a text column hold at most so many rows, which leaves 52 bits for a shingle.
 STEP_ROWS = 4096
+#: Bytes of a long text that are looked at together.
+LONG_TEXT = 2 << 20
 _SEGMENT = np.uint64(0xC2B2AE3D27D4EB4F)
 _BAND = np.uint64(0x165667B19E3779F9)
 
@@ -103,8 +107,46 @@ def bands(texts: int, percent: int = PERCENT) -> Bands:
     return Bands(*(np.array(x, np.int64) for x in zip(*rows)))
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, shingle) of the different shingles of each row, in order."""
+def _pieces(data: np.ndarray, n_words: int, size: int) -> Iterator[np.ndarray]:
+    """A text in pieces of about ``size`` bytes that begin and end between words and overlap by
+    one word less than a shingle has, so that every shingle lies in one of them."""
+    at = 0
+    while at < len(data):
+        end = min(at + size, len(data))
+        while True:
+            gap = np.flatnonzero(bytetext.SPACES[data[end : end + size]])
+            end = end + int(gap[0]) if len(gap) else min(end + size, len(data))
+            if len(gap) or end == len(data):
+                w = bytetext.words(data[at:end], np.array([0, end - at]))
+                # Short of a shingle and its overlap, a piece would not move on.
+                if end == len(data) or len(w.start) > 2 * n_words:
+                    break
+                end = min(end + size, len(data))
+        # What is left behind the overlap may hold no word.
+        if at == 0 or len(w.start) >= n_words:
+            yield data[at:end]
+        if end == len(data):
+            return
+        at = at + int(w.start[len(w.start) - n_words + 1]) if n_words > 1 else end
+
+
+def shingle_sets(
+    data: np.ndarray, offsets: np.ndarray, n_words: int, size: int = LONG_TEXT
+) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of the different shingles of each row, in order.
+
+    A single text of more than ``size`` bytes is read in pieces, so that memory follows the piece
+    and the set.
+    """
+    if len(offsets) != 2 or len(data) <= size:
+        return _shingle_sets(data, offsets, n_words)
+    found = np.zeros(0, np.uint64)
+    for piece in _pieces(data, n_words, size):
+        found = np.union1d(found, _shingle_sets(piece, np.array([0, len(piece)]), n_words)[1])
+    return np.zeros(len(found), np.int64), found
+
+
+def _shingle_sets(data: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     w = bytetext.words(bytetext.LOWER[data], offsets)
     value, at = bytetext.shingles(w.hash, w.row, n_words)
     row = w.row[at]
@@ -373,8 +415,9 @@ def jaccard_components(
     ).filter("a > b and (a_chosen or b_chosen)").select("a", "b")
 
     docs_met = members.select("doc").distinct()
-    mine = source.join(docs_met.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stage(_sets(mine.select("doc_id", "text"), n_words), "jaccard-sets")
+    mine = source.join(docs_met.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
+    mine = mine.groupBy("doc_id").agg(F.min_by("text", text_key()).alias("text"))
+    sets = stage(_sets(mine, n_words), "jaccard-sets")
 
     members = members.filter(F.col("size") > FEW)
     centre = members.groupBy("list").agg(F.min("doc").alias("b"))

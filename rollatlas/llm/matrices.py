@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollatlas.llm import wordpieces
+from rollatlas.llm.shared import send_file
 
 CAPACITY = 4096
 #: Tokens that are packed together in one task.
@@ -92,6 +93,7 @@ def packed_matrices(
     """Rows of ids (little-endian unsigned 32-bit, padded with 0 to ``capacity``), the cumulative
     lengths of their segments, position ids (32-bit) that restart with each segment, and the
     document and place that each segment comes from."""
+    sent = send_file(docs.sparkSession, tokenizer)
 
     def matrix(block: list[tuple], number: int) -> pa.RecordBatch:
         ids = np.concatenate([b[1] for b in block])
@@ -128,7 +130,7 @@ def packed_matrices(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, block, held = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for first, ids, ends in wordpieces.encoded_rows(batch.column(1), tokenizer):
+            for first, ids, ends in wordpieces.encoded_rows(batch.column(1), sent):
                 block.append((batch.column(0).slice(first, len(ends)), ids, ends))
                 held += len(ids)
                 if held >= BLOCK_TOKENS:

@@ -6,7 +6,8 @@ bucket of documents are split over ``k`` windows by multiway differencing, begin
 fewest windows that could hold them; ``k`` rises until no window exceeds the capacity.
 
 Null or empty text is the end id alone. Rows repeated with the same doc_id are packed like any
-other. An empty table gives an empty result. Columns other than the two named are not read.
+other, in different buckets. An empty table gives an empty result. A very long text is encoded
+alone and held whole. Columns other than the two named are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollatlas.llm import differencing, wordpieces
+from rollatlas.llm.shared import send_file
 
 CAPACITY = 4096
 #: Rows of documents that one differencing task sees; padding hardly falls beyond it.
@@ -33,11 +35,12 @@ def token_pieces(
     text_col: str = "text", keep_ids: bool = False,
 ) -> DataFrame:
     """Pieces of at most ``capacity`` tokens, with their ids (unsigned 32-bit) if asked for."""
+    sent = send_file(docs.sparkSession, tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
-            for first, ids, ends in wordpieces.encoded_rows(batch.column(1), tokenizer):
+            for first, ids, ends in wordpieces.encoded_rows(batch.column(1), sent):
                 tokens = np.diff(ends, prepend=0)
                 count = -(-tokens // capacity)
                 row = np.repeat(np.arange(len(ends)), count)
@@ -94,7 +97,9 @@ def pack(pieces: DataFrame, rows: int, capacity: int = CAPACITY, bucket_rows: in
         return table.append_column("offset", pa.array(offset, pa.int64()))
 
     schema = PACKED if "ids" not in pieces.columns else PACKED.replace("doc_tokens long,", "doc_tokens long, ids binary,")
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(buckets)))
+    # The place among the rows deals out what is repeated under one id.
+    key = F.xxhash64("doc_id", "doc_tokens", F.monotonically_increasing_id())
+    keyed = pieces.withColumn("bucket", F.pmod(key, F.lit(buckets)))
     return keyed.groupBy("bucket").applyInArrow(fill, schema)
 
 

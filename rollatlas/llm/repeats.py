@@ -19,7 +19,8 @@ the same text or another. Texts are UTF-8 bytes and matches never cross texts.
 A text that is there more than once is covered whole if it has ``length`` bytes or more; one of
 its rows stands for it in the steps above, so groups of copies cost no more than one text. Null
 counts as empty. Texts shorter than ``length`` are left alone. Repeated rows count as copies, and
-an empty table gives an empty result.
+an empty table gives an empty result. Very long texts are read in overlapping steps while anchors
+are looked for; a task holds such a text once or twice. Columns that are not read may have any name.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ GRAM = 32
 SHARD_BYTES = 3 << 20
 #: A hash whose regions hold more than this part of ``SHARD_BYTES`` is split.
 HOT_PART = 4
+#: Windows of a long text that are looked at together.
+LONG_STEP = 1 << 20
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -55,8 +58,27 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place in the row, hash) of the least hashes of all windows of ``length`` bytes."""
+def anchors(
+    data: np.ndarray, offsets: np.ndarray, length: int, gram: int, step: int = LONG_STEP
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in the row, hash) of the least hashes of all windows of ``length`` bytes.
+
+    A single text of more than ``step`` windows is read in steps of so many, which overlap by
+    ``length - 1`` bytes: every window lies in one of them, and memory follows the step.
+    """
+    if len(offsets) != 2 or len(data) < step + length:
+        return _anchors(data, offsets, length, gram)
+    found = []
+    for at in range(0, len(data) - length + 1, step):
+        piece = data[at : at + step + length - 1]
+        _, place, value = _anchors(piece, np.array([0, len(piece)]), length, gram)
+        found.append((place + at, value))
+    # A string may be the least of windows of two steps.
+    place, first = np.unique(np.concatenate([f[0] for f in found]), return_index=True)
+    return np.zeros(len(place), np.int64), place, np.concatenate([f[1] for f in found])[first]
+
+
+def _anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, width = len(data), length - gram + 1
     size = np.diff(offsets)
     if n < length or (size < length).all():

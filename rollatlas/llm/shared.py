@@ -17,6 +17,7 @@ _CLEANUP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sq
 BATCH_BYTES = 4 << 20
 _LOCAL: dict[str, str] = {}
 _SHIPPED: dict[str, str] = {}
+_SENT: set[tuple[str, str]] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -85,3 +86,12 @@ def ship(spark: SparkSession) -> None:
             out.write(file, file.relative_to(package.parent))
     context.addPyFile(path)
     _SHIPPED[context.applicationId] = path
+
+
+def send_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver's to all executors, once; the name by which they find it."""
+    context = spark.sparkContext
+    if (context.applicationId, path) not in _SENT:
+        context.addFile(path)
+        _SENT.add((context.applicationId, path))
+    return Path(path).name

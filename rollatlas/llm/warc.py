@@ -139,12 +139,18 @@ class Archive:
             else:
                 found, at = yield from self._plain(at, head, wanted, payloads)
 
-    def _emit(self, headers, block_head: bytes, whole, payloads: bool):
-        """Split the protocol headers of a response off its payload."""
+    def _emit(self, headers, first, whole, payloads: bool):
+        """Split the protocol headers of a response off its payload.
+
+        ``first`` gives so many bytes of the block; more of it are asked for until the headers end.
+        """
         start = 0
         length = None
         if headers.get("content-type", "").startswith("application/http"):
-            end = _header_end(block_head)
+            asked, block_head = 64 << 10, first(64 << 10)
+            while (end := _header_end(block_head)) is None and len(block_head) == asked:
+                asked *= 4
+                block_head = first(asked)
             if end:
                 start = end[1]
                 told = parse_headers(block_head[: end[0]]).get("content-length", "")
@@ -169,11 +175,11 @@ class Archive:
         size, start = int(headers.get("content-length", 0)), at + end[1]
         self.counts["records"] += 1
         if wanted(headers):
-            def whole() -> bytes:
+            def first(n: int) -> bytes:
                 self.source.seek(start)
-                return self.source.read(size)
+                return self.source.read(min(n, size))
 
-            yield self._emit(headers, head[end[1] : end[1] + size], whole, payloads)
+            yield self._emit(headers, first, lambda: first(size), payloads)
         return headers, start + size
 
     def _packed(self, at: int, head: bytes, wanted, payloads: bool):
@@ -212,12 +218,13 @@ class Archive:
             self.counts["records"] += 1
             fit = wanted(headers)
         if fit:
-            def whole() -> bytes:
-                while len(raw) < start + size and not inflate.eof and more(8 << 20):
+            def first(n: int) -> bytes:
+                end = start + min(n, size)
+                while len(raw) < end and not inflate.eof and more(max(64 << 10, end - len(raw))):
                     pass
-                return raw[start : start + size]
+                return raw[start:end]
 
-            yield self._emit(headers, raw[start : start + size], whole, payloads)
+            yield self._emit(headers, first, lambda: first(size), payloads)
         if length is None:
             # Another writer's member: its end shows only when it is inflated.
             while not inflate.eof:

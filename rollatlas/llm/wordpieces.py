@@ -8,10 +8,12 @@ joins with letters (the apostrophe, those of special tokens) are never a border.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 
 from rollatlas.llm import bytetext
 
@@ -84,8 +86,9 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
+    """Encoder of a vocabulary file: a whole path, or the name of a file that Spark has sent."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path if os.path.isabs(path) else SparkFiles.get(path))
     return _encoders[path]
 
 

@@ -58,3 +58,11 @@ def test_vectors_that_take_no_part(spark):
 def test_no_vectors(spark):
     df = graphs.usable(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert graphs.search(graphs.build_index(df), df).collect() == []
+
+
+def test_double_vectors_are_scored_as_they_are(spark):
+    """Differences below single precision decide, and squares beyond the range do no harm."""
+    rows = [(50, [1.0, 0.0]), (1, [1.0, 3e-6]), (2, [1.0, 2e-6]), (3, [1e250, 1e244]), (4, [1e-250, 2.5e-256]), (5, [1.0, 1.0])]
+    df = graphs.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = graphs.search(graphs.build_index(df), df.filter("id % 50 = 0")).collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r.rank)] == [3, 2, 4, 1, 5]

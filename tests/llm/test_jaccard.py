@@ -102,3 +102,24 @@ def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     found = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
     assert found == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_long_texts_are_read_in_pieces():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 3, 4, 5, 60, 61, 200):
+        text = " ".join("".join(rng.choice(list("abé"), rng.integers(1, 9))) for _ in range(n)) + " " * int(rng.integers(0, 40))
+        raw = np.frombuffer(text.encode(), np.uint8)
+        offsets = np.array([0, len(raw)])
+        want = jaccard.shingle_sets(raw, offsets, 4)[1]
+        for size in (1, 7, 30, 64, 500):
+            row, got = jaccard.shingle_sets(raw, offsets, 4, size)
+            assert got.tolist() == want.tolist() and not row.any()
+
+
+def test_texts_under_one_id_give_one_result_each_time(docs_of):
+    one, two = "a b c d e f g h", "p q r s t u v w"
+    docs = [(1, one), (1, two), (2, one), (3, two)]
+    got = [sorted(map(tuple, jaccard.jaccard_components(docs_of(docs[i:] + docs[:i])).collect())) for i in range(3)]
+    assert got[0] == got[1] == got[2]

@@ -93,3 +93,27 @@ def test_no_shard_takes_all_of_a_quoted_passage(docs_of, monkeypatch):
     found = repeats.repeat_digests(docs_of(rows), length=40, gram=8).collect()
     assert sorted(map(tuple, found)) == sorted(x[:5] for x in brute(rows, 40))
     assert max(largest, default=0) <= 3 * repeats.SHARD_BYTES
+
+
+def test_long_texts_have_the_same_anchors_in_steps():
+    rng = np.random.default_rng(4)
+    for n in (39, 40, 41, 150, 1000):
+        data = rng.integers(97, 99, n).astype(np.uint8)
+        offsets = np.array([0, n])
+        want = repeats.anchors(data, offsets, 40, 8)
+        for step in (1, 13, 40, 120, 999):
+            got = repeats.anchors(data, offsets, 40, 8, step)
+            assert [x.tolist() for x in got] == [x.tolist() for x in want]
+
+
+def test_memory_of_a_very_long_text():
+    """64 MB: anchors are found within a bounded piece, not many times the text."""
+    import tracemalloc
+
+    data = np.random.default_rng(5).integers(97, 123, 64 << 20).astype(np.uint8)
+    tracemalloc.start()
+    row, place, _ = repeats.anchors(data, np.array([0, len(data)]), repeats.LENGTH, repeats.GRAM)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(place) > len(data) // repeats.LENGTH and (np.diff(place) <= repeats.LENGTH).all()
+    assert most < 400 << 20

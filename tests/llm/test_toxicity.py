@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from rollatlas.llm import toxicity
+from rollatlas.llm import queries, toxicity
 
 
 def corpus(spark):
@@ -61,3 +63,28 @@ def test_label_model_discounts_one_voice_in_many():
     echo = rng.random(2000) < 0.1
     posterior = toxicity.label_model(np.column_stack([*good, echo, echo, echo]), truth)
     assert ((posterior > 0.5) == truth).mean() > 0.93
+
+
+def test_calibration_takes_off_what_length_adds():
+    """Sums that grow with the length alone tell nothing; 0.5 is where both classes are as likely."""
+    rng = np.random.default_rng(2)
+    words = rng.integers(20, 5000, 4000)
+    truth = rng.random(4000) < 0.2
+    logit = 6 * truth + 1.5 * np.log1p(words) + rng.normal(0, 1.5, 4000) + 4
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    toxicity.calibrate(model, logit, words, truth)
+    scale, shift, length = model.scale
+    found = scale * logit + shift + length * (np.log1p(words) - model.length[0]) > 0
+    assert (found & truth).sum() / found.sum() > 0.93 and (found & truth).sum() / truth.sum() > 0.9
+    assert length < 0 and (logit[~truth] > 0).mean() > 0.99
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_precision_and_recall_on_rows_not_learned_from(spark):
+    folder = "/root/testdata/sf0.1"
+    scored = queries.registry()["op9_toxicity"](spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    held = scored.filter("held_out").join(labels, "doc_id").toPandas()
+    both = ((held.predicted == 1) & (held.toxic == 1)).sum()
+    assert (held.toxic == 1).sum() > 50
+    assert both / (held.predicted == 1).sum() >= 0.9 and both / (held.toxic == 1).sum() >= 0.9

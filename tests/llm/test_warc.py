@@ -91,3 +91,20 @@ def test_archives_of_other_writers(spark, tmp_path, kind):
     assert [(r.record_id, r.payload_length, bytes(r.payload)) for r in found] == [(f"urn:r:{i}", len(b), b) for i, b in enumerate(bodies)]
     light = warc.read_warc(spark, str(path), ["record_id", "record_type"]).filter("record_type = 'resource'").collect()
     assert [r.record_id for r in light] == ["urn:r:1", "urn:r:3"]
+
+
+@pytest.mark.parametrize("pad", [65_200, 65_300, 65_400, 65_500, 65_600, 200_000])
+@pytest.mark.parametrize("packed", [True, False])
+def test_protocol_headers_beyond_the_first_read(spark, tmp_path, pad, packed):
+    """Record or protocol headers that end near or behind the edge of what is read first."""
+    body = b"<p>page</p>"
+    for name, record_pad, http_pad in (("record", pad, 0), ("http", 0, pad)):
+        block = b"HTTP/1.1 200 OK\r\nX-Pad: " + b"y" * http_pad + b"\r\n\r\n" + body
+        head = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{name}>\r\nX-Pad: {'x' * record_pad}\r\n"
+        head += f"Content-Type: application/http;msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+        raw = head.encode() + block + b"\r\n\r\n"
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / ("a.warc.gz" if packed else "a.warc")).write_bytes(gzip.compress(raw) * 2 if packed else raw * 2)
+        got = warc.read_warc(spark, str(folder)).select("payload").collect()
+        assert [bytes(r.payload) for r in got] == [body, body]
