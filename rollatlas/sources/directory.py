@@ -7,10 +7,13 @@ shuffle. Row numbers grow within a block, blocks within a file.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollatlas.operators.ranking import top_k
 from rollatlas.schema import RAW_COLUMNS, RAW_SCHEMA
 
 PREAMBLE_LINES = 4
@@ -23,6 +26,7 @@ _OPTIONS = {
 }
 
 
+_NOT_VALUES = ", \t\n\v\f\r"
 # An empty quoted field. Without a repeated group, for which the regex engine would recurse.
 _EMPTY_QUOTED = r"(^|,)\s*\"\s*\"\s*(?=,|$)"
 
@@ -34,7 +38,10 @@ def no_values(line: Column | str) -> Column:
     run it once per field.
     """
     line = F.col(line) if isinstance(line, str) else line
-    return F.translate(F.regexp_replace(line, _EMPTY_QUOTED, "$1"), ", \t\n\v\f\r", "") == ""
+    # Most records begin with a value; only others are looked at whole.
+    begins = ~F.substring(F.ltrim(line), 1, 1).isin("", '"', *_NOT_VALUES)
+    empty = F.translate(F.regexp_replace(line, _EMPTY_QUOTED, "$1"), _NOT_VALUES, "") == ""
+    return F.when(begins, False).otherwise(empty)
 
 
 def source_position() -> Column:
@@ -50,17 +57,44 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path).select(source_position().alias("ord"), F.col("value").alias("line"))
 
 
+def row_in_file(file: Column | str, block: Column | str) -> Column:
+    """Number of a row in its file, from 0, for rows of a scan; exact in a file's first block.
+
+    A task reads its files one after the other and rows stay in order, so rows are counted where
+    they are read. Only two whole numbers of each row go to Python, the row itself does not. Told
+    to vary, so that it runs before any filter on it and only once.
+    """
+
+    @F.arrow_udf("long")
+    def count(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        last, seen = None, 0
+        for files, blocks in batches:
+            key = np.stack([files.to_numpy(zero_copy_only=False), blocks.to_numpy(zero_copy_only=False)])
+            if not key.shape[1]:
+                yield pa.array([], pa.int64())
+                continue
+            new = np.ones(key.shape[1], bool)
+            new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+            new[0] = last is None or (key[:, 0] != last).any()
+            at = np.arange(len(new))
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            yield pa.array(np.where(start >= 0, at - start, at + seen))
+            seen = len(new) - int(start[-1]) if start[-1] >= 0 else seen + len(new)
+            last = key[:, -1]
+
+    return count.asNondeterministic()(F.xxhash64(file), block)
+
+
 def skip_preamble(lines: DataFrame, count: int = PREAMBLE_LINES) -> DataFrame:
     """Drop the first ``count`` rows of every file of a scan with ``ord``.
 
-    The last preamble row of each file comes from the first blocks' positions alone, by a
-    row-number limit that is cut in each task; later blocks pass whatever it is.
+    One scan and no shuffle, however many files: the first rows are known where they are read.
+    ``lines`` must come straight from the scan. A preamble that does not end in the first block
+    of a file is longer than this can see, so blocks must hold it.
     """
     at = F.col("ord")
-    heads = lines.filter(at["block"] == 0).select(at["file"].alias("_file"), at["row"].alias("_row"))
-    last = top_k(heads, ["_file"], ["_row"], count).groupBy("_file").agg(F.max("_row").alias("_last"))
-    placed = lines.withColumn("_file", at["file"]).join(last, "_file", "left")
-    return placed.filter((at["block"] > 0) | (at["row"] > F.col("_last"))).drop("_file", "_last")
+    numbered = lines.withColumn("_number", row_in_file(at["file"], at["block"]))
+    return numbered.filter((at["block"] > 0) | (F.col("_number") >= count)).drop("_number")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:

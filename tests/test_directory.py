@@ -139,3 +139,23 @@ def test_preamble_of_many_files(spark, tmp_path):
         (tmp_path / f"{i}.csv").write_text("\n".join([*PREAMBLE, line(record_type="School", cds_code=f"c{i}")]))
     got = directory.read_directory(spark, f"{tmp_path}/*.csv")
     assert sorted(r["cds_code"] for r in got.collect()) == sorted(f"c{i}" for i in range(70))
+
+
+def test_preambles_of_many_files_in_one_scan(spark, tmp_path):
+    """More files than partitions; files shorter than the preamble, empty ones, and split ones."""
+    sizes = [0, 1, 3, 4, 5, 9] * 13 + [400]
+    for i, n in enumerate(sizes):
+        rows = (PREAMBLE + [line(record_type="School", cds_code=f"{i:03d}-{j:03d}") for j in range(n)])[: n if n < 4 else None]
+        (tmp_path / f"{i:03d}.csv").write_text("".join(r + "\n" for r in rows))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        raw = directory.read_directory(spark, str(tmp_path))
+        got = [r[0] for r in raw.orderBy("ord").select("cds_code").collect()]
+        assert len(raw.inputFiles()) == 79 and raw.rdd.getNumPartitions() < 79
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [f"{i:03d}-{j:03d}" for i, n in enumerate(sizes) if n >= 4 for j in range(n)]
+    plan = plan_of(raw)
+    assert plan.count("Scan text") == 2 and "Exchange" not in plan and "Join" not in plan  # the tree and its detail

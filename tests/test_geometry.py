@@ -5,6 +5,8 @@ import math
 import random
 
 import pytest
+from helpers import plan_of
+from pyspark.sql import functions as F
 
 from rollatlas.operators import geometry as M
 from rollatlas.sources import geojson
@@ -145,3 +147,25 @@ def test_feature_output(spark, tmp_path, collection):
     assert kinds["07"] == ("Feature", None, None)
     assert len(kinds["02_x"][2]) == 2 and len(kinds["01"][2][0]) == 2
 
+
+
+def test_coarse_cells_are_those_of_the_points(spark):
+    """Cells rolled up from the finest zoom against cells of each zoom from the points."""
+    from rollatlas.functions.coordinates import cell_x, cell_y
+    from rollatlas.functions.numbers import SCALE
+
+    pick = random.Random(2)
+    points = [(pick.choice("ab"), pick.uniform(-90, 90), pick.uniform(-180, 180)) for _ in range(400)] + [("a", 90.0, 180.0), ("a", -90.0, -180.0)]
+    df = spark.createDataFrame(points, "k string, lat double, lon double")
+    got = {(r["k"], r["zoom"], r["cell_x"], r["cell_y"]): (r["points"], r["lat"], r["lon"]) for r in M.cluster_points(df, ["k"], [3, 0, 11]).collect()}
+    want: dict = {}
+    for zoom in (0, 3, 11):
+        placed = df.select("*", cell_x(F.col("lon"), zoom, M.CELL_PIXELS).alias("x"), cell_y(F.col("lat"), zoom, M.CELL_PIXELS).alias("y"))
+        for r in placed.collect():
+            want.setdefault((r["k"], zoom, r["x"], r["y"]), []).append((r["lat"], r["lon"]))
+    mean = lambda v: float(sum(round(x * SCALE) for x in v)) / len(v) / SCALE
+    assert got.keys() == want.keys()
+    for key, (n, lat, lon) in got.items():
+        assert n == len(want[key])
+        assert abs(lat - mean([p[0] for p in want[key]])) < 1e-9 and abs(lon - mean([p[1] for p in want[key]])) < 1e-9
+    assert sum(plan_of(M.cluster_points(df, ["k"], [3, 0, 11])).count(x) for x in ("Scan ExistingRDD",)) == 2
