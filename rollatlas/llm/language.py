@@ -8,8 +8,9 @@ two nearest codewords are almost as near is flagged as ambiguous.
 
 Null text, or text without a letter, is ``und`` with score 0, as is every text when nothing
 could be learned. Training takes at most ``train_rows`` rows for each language, those with the
-smallest hash of doc_id; prediction reads every whole text. Repeated rows get equal results. An
-empty table gives an empty result. A column of the input that bears the name of a result is
+smallest hash of doc_id; prediction reads every whole text, a very long one in pieces. The gap that
+flags a text grows with its length, since a short one's margins vary more. Repeated rows get equal
+results. An empty table gives an empty result. A column of the input that bears the name of a result is
 replaced.
 """
 

@@ -6,7 +6,8 @@ tree over room sizes finds it in log(capacity) steps. Packing happens where the
 a bounded number of tokens at a time, so ids are never shuffled.
 
 Null or empty text is the end id alone; repeated rows are packed like any other; an empty table
-gives an empty result; columns other than the two named are not read.
+gives an empty result; a very long text is encoded alone and held whole; columns other than the two
+named are not read.
 """
 
 from __future__ import annotations

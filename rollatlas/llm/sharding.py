@@ -8,6 +8,8 @@ a task and level by level, so that no task and no driver sees more than that man
 A null text counts as empty (size 1). A null doc_id is a row like any other. Repeated rows keep
 their own slots, given in the order of doc_id and size. An empty table gives an empty result.
 A group larger than a shard's share makes its shard as large as the group: it is never split.
+Of a text, however long, only its size, digest and checksum leave the row. Other columns of the
+input are not read, whatever their names.
 """
 
 from __future__ import annotations

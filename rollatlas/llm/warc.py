@@ -13,6 +13,9 @@ repeated leaves nothing that a reader sees.
 Files are opened with ``pyarrow.fs``, so paths may lie on local disk or on any store it knows.
 Null header fields are left out and read back as null; null payloads are written as empty. Line
 breaks in header fields are written as spaces. An empty table gives an archive without records.
+Repeated rows are records of their own: of equal payloads one with the smallest page_id is the
+response, a row that repeats that page_id too. A very long payload is one record, held whole by the
+task that reads or writes it. Columns of pages other than page_id, url and html are not read.
 """
 
 from __future__ import annotations

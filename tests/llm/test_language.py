@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from rollatlas.llm import language
@@ -88,3 +89,29 @@ def test_training_rows_are_the_first_of_each_language(spark):
     for lang in "ab":
         first = sorted((i for i, t, x in rows if x == lang and t is not None and i != 4), key=by_hash.get)[:20]
         assert sorted(r.text for r in got if r.lang == lang) == sorted(f"t{i}" for i in first)
+
+
+def test_decoding_equals_the_plain_rule():
+    """Loss-weighted decoding, bit by bit and word by word, without arrays."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    code = language.codewords(5).T
+    model = language.Model(list("abcde"), code, np.zeros((len(code), 1)), rng.normal(size=len(code)), rng.uniform(0.1, 2, len(code)))
+    margins, count = rng.normal(size=(len(code), 40)) * 2, rng.integers(0, 900, 40)
+    best, score, vague = language.decode(model, margins, count)
+    for t in range(40):
+        losses = []
+        for word in range(5):
+            parts = []
+            for b in range(len(code)):
+                z = (margins[b, t] - model.middle[b]) / model.half[b]
+                parts.append(model.half[b] / sum(model.half) * math.log1p(math.exp(-2 * z * code[b, word])))
+            losses.append(sum(parts))
+        first, second = sorted(losses)[:2]
+        assert losses[best[t]] == pytest.approx(first)
+        assert score[t] == pytest.approx(1 / sum(math.exp(-language.SHARPNESS * (x - first)) for x in losses))
+        gap = language.AMBIGUOUS_GAP * count[t] / (count[t] + language.AMBIGUOUS_TRIGRAMS)
+        assert vague[t] == (second - first < gap)

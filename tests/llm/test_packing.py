@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -140,3 +140,15 @@ def test_matrices_of_nothing(docs_of):
     assert matrices.packed_matrices(docs_of([]), TOKENIZER).collect() == []
     with pytest.raises(IndexError):
         matrices.RoomTree(4).take(2)
+
+
+def test_one_id_on_many_rows_is_dealt_over_buckets(docs_of):
+    docs = docs_of([(1, "the same words again and again")] * 3000 + [(None, "x")] * 500)
+    pieces = packing.token_pieces(docs, TOKENIZER)
+    rows = packing.pack(pieces, 3500, bucket_rows=100).collect()
+    assert len(rows) == 3500
+    buckets = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(buckets) == 35 and max(buckets.values()) < 200
+    placed = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    for (a, at, n), (b, begin, _) in zip(placed, placed[1:]):
+        assert begin == (at + n if a == b else 0)
