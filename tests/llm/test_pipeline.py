@@ -20,7 +20,7 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tab
 
 def test_registered():
     names = set(entry.queries())
-    assert "pipeline" in names and {n for n in range(1, 11)} == {int(k[2:].split("_")[0]) for k in names if re.match(r"op\d", k)}
+    assert "pipeline" in names and {n for n in range(1, 14)} == {int(k[2:].split("_")[0]) for k in names if re.match(r"op\d", k)}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near copies", "repeats", "benchmark", "packing"]
 
 
