@@ -32,7 +32,11 @@ def heading_slug(text: Column | str) -> Column:
 def first_paragraph(piece: Column) -> Column:
     """Text between the heading line of a piece and the first blank or quoted line after it."""
     body = F.regexp_replace(F.regexp_replace(piece, r"\A[^\n]*", ""), r"\A\s+", "")
-    return F.when(body.startswith(">"), "").otherwise(F.get(F.split(body, _PARAGRAPH_END, 2), F.lit(0)))
+
+    def cut(text: Column) -> Column:
+        return F.when(text.startswith(">"), "").otherwise(F.get(F.split(text, _PARAGRAPH_END, 2), F.lit(0)))
+
+    return let(body, cut)
 
 
 def heading_pieces(text: Column | str) -> Column:
@@ -49,14 +53,17 @@ def heading_text(piece: Column) -> Column:
 def sections(text: Column | str) -> Column:
     """(depth, text, question, note) of every heading of a document."""
 
+    def unless_empty(value: Column) -> Column:
+        return F.when(value != "", value)
+
     def section(piece: Column) -> Column:
         question = trim_blanks(first_paragraph(piece))
         note = trim_blanks(F.regexp_extract(piece, _NOTE, 1))
         return F.struct(
             F.length(F.regexp_extract(piece, _HEADING, 1)).alias("depth"),
             heading_text(piece).alias("text"),
-            F.nullif(question, F.lit("")).alias("question"),
-            F.nullif(note, F.lit("")).alias("note"),
+            let(question, unless_empty).alias("question"),
+            let(note, unless_empty).alias("note"),
         )
 
     return F.transform(heading_pieces(text), section)
@@ -141,10 +148,18 @@ def unique_anchors(slugs: Column) -> Column:
 
         return let(_runs(family, "slug"), choose)
 
+    def in_order(parts: Column) -> Column:
+        return F.transform(F.array_sort(F.flatten(parts)), lambda h: h["anchor"])
+
+    # Most documents repeat no slug, and most others have none that ends in a number.
+    alone = F.transform(slugs, lambda s, i: F.struct(s.alias("slug"), i.alias("pos")))
+    plain = F.transform(_runs(F.array_sort(alone), "slug"), numbered)
     families = F.transform(_runs(F.array_sort(placed), "stem"), settle)
-    by_place = F.array_sort(F.flatten(families))
-    anchors = F.transform(by_place, lambda h: h["anchor"])
-    return F.when(F.size(slugs) == 0, F.array().cast("array<string>")).otherwise(anchors)
+    return (
+        F.when(F.size(F.array_distinct(slugs)) == F.size(slugs), slugs)
+        .when(~F.exists(slugs, lambda s: s.rlike(_NUMBERED)), in_order(plain))
+        .otherwise(in_order(families))
+    )
 
 
 def _anchored(guides: DataFrame, text: str) -> DataFrame:
