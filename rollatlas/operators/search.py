@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollatlas.functions.display import page_path
@@ -49,16 +49,29 @@ def search_many(
     A term has an anchor: its rarest three-letter piece, the piece's place in it, and its length.
     Where a name holds the piece, the anchor tells which stretch of the name the term would have to
     be, so names meet the different anchors, which are few however many terms share a piece, and
-    the stretches then meet the terms in a join on the whole text. The best names of a text are
-    taken before its terms come in.
+    the stretches then meet the terms in a join on the whole text.
+
+    Different names are searched, each with its place in name order as a whole number. The first
+    ``k`` names of a stretch are taken before the stretches meet the texts, in each task before
+    they are sent on, so a term that most names hold costs no more than another. Rows come in
+    last: the first ``k`` rows of a text have some of its first ``k`` names, by name and first row.
     """
-    names = districts.filter(F.col("status") == ACTIVE).withColumn("_name", F.lower("district"))
+    active = districts.filter(F.col("status") == ACTIVE).select("ord", "cds_code", "district", "slug")
     wanted = terms.select("term", F.lower("term").alias("_text")).distinct().filter(F.col("_text") != "")
+    # A null ord comes first, as in the order of rows.
+    different = active.filter(F.col("district") != "").groupBy("district").agg(F.min(F.struct("ord")).alias("_first"))
+    # Ids rise with the sorted partitions and within them. A few bytes of a name make many pieces,
+    # so names lie in as many partitions as a shuffle has, however few bytes they are.
+    spread = int(districts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [locale_key("district"), F.col("_first"), F.col("district")]
+    placed_names = different.repartitionByRange(spread, *order).sortWithinPartitions(*order).select(
+        "district", F.lower("district").alias("_name"), F.monotonically_increasing_id().alias("_place")
+    )
 
     sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
     pieces = F.flatten(F.transform(sizes, lambda n: _pieces(F.col("_name"), n)))
-    kept = ["ord", "cds_code", "district", "slug", "_name"]
-    postings = explode_costly(names, kept, pieces, "_piece").select(*kept, "_piece.*")
+    kept = ["_place", "district", "_name"]
+    postings = explode_costly(placed_names, kept, pieces, "_piece").select(*kept, "_piece.*")
 
     size = F.least(F.length("_text"), F.lit(GRAM))
     own = explode_costly(wanted.select("_text").distinct(), ["_text"], _pieces(F.col("_text"), size), "_piece")
@@ -71,8 +84,13 @@ def search_many(
     anchors = rarest.select("_anchor.*", F.length("_text").alias("_length")).distinct()
     start = F.col("at") - F.col("_in") + 1
     placed = postings.join(anchors, "piece").filter((start >= 1) & (start + F.col("_length") - 1 <= F.length("_name")))
-    stretches = placed.select(*kept, F.substr("_name", start, F.col("_length")).alias("_text"))
-    # A name may hold a term several times.
-    hits = stretches.join(wanted.select("_text"), "_text", "left_semi").distinct()
-    best = top_k(hits, ["_text"], [locale_key("district"), F.col("ord")], k)
+    stretches = placed.select("_place", "district", F.substr("_name", start, F.col("_length")).alias("_text"))
+    # A name may hold a stretch several times: its places are one rank.
+    first = F.dense_rank().over(Window.partitionBy("_text").orderBy("_place"))
+    leading = stretches.withColumn("_rank", first).filter(F.col("_rank") <= k).select("_text", "district").distinct()
+    hits = leading.join(wanted.select("_text"), "_text", "left_semi")
+
+    nth = F.dense_rank().over(Window.partitionBy("district").orderBy("ord", "cds_code", "slug"))
+    rows = active.withColumn("_rank", nth).filter(F.col("_rank") <= k).drop("_rank").distinct()
+    best = top_k(rows.join(hits, "district"), ["_text"], [locale_key("district"), F.col("ord")], k)
     return best.join(wanted, "_text").select("term", "cds_code", "district", "slug", page_path("slug", base).alias("path"))

@@ -3,8 +3,10 @@ from __future__ import annotations
 import random
 
 import pytest
-from helpers import district_table, plan_of
+from helpers import F, district_table, plan_of
 
+from rollatlas.operators import search
+from rollatlas.operators.arrays import explode_costly
 from rollatlas.operators.search import search_districts, search_many
 
 
@@ -78,3 +80,28 @@ def test_ten_thousand_terms_on_one_piece(spark):
     assert {t: sorted(n) for t, n in got.items()} == {t: sorted(n) for t, n in want.items()}
     plan = plan_of(search_many(districts, spark.createDataFrame([("a",)], "term string")))
     assert "Contains" not in plan
+
+
+def test_rows_of_one_name_cost_no_more_than_the_name(spark, monkeypatch):
+    names = [f"{w} unified" for w in ("apple", "Éclair", "banana", "Apple")]
+    districts = table(spark, [names[i % 4] for i in range(400)] + [""]).unionByName(table(spark, ["apple unified", "pear"]))
+    districts = districts.withColumn("ord", F.expr("CASE WHEN district = 'pear' THEN NULL ELSE ord END"))
+    cut = []
+
+    def spy(df, *more):
+        cut.append(df.count())
+        return explode_costly(df, *more)
+
+    monkeypatch.setattr(search, "explode_costly", spy)
+    terms = ["UNI", "p", "apple unified", "éclair", "ear", "nn"]
+    found = search.search_many(districts, spark.createDataFrame([(t,) for t in terms], "term string"))
+    got: dict[str, list[str]] = {}
+    for r in found.collect():
+        got.setdefault(r["term"], []).append(r["cds_code"])
+    # The row that is there twice counts once, as in a search for many terms it always has.
+    once = districts.distinct()
+    want = {t: sorted(r["cds_code"] for r in search_districts(once, t).collect()) for t in terms}
+    assert {t: sorted(c) for t, c in got.items()} == {t: c for t, c in want.items() if c}
+    assert max(cut) <= len(terms)
+    # Each task cuts a stretch's names to k before they are sent on.
+    assert "dense_rank" in plan_of(found) and "WindowGroupLimit" in plan_of(found)
