@@ -21,6 +21,8 @@ from rollatlas.operators.ranking import top_k
 K1 = 1.2
 B = 0.75
 UNIT = 1_000_000
+#: Terms of all questions together, up to which they are sent to every task (some 100 bytes each).
+SENT = 200_000
 
 
 def text_terms(text: Column | str) -> Column:
@@ -43,8 +45,12 @@ def build_index(sections: DataFrame, text: str = "text") -> Index:
     listed = sections.select("district", "section_id", text_terms(text).alias("_terms"))
     sized = listed.withColumn("size", F.size("_terms"))
     each = explode_costly(sized, ["district", "section_id", "size"], "_terms", "term")
+    # Terms stay with their section: nothing more is shuffled until sections' scores are summed,
+    # and rows that follow each other are alike, so they pack well.
+    each = each.repartition("district", "section_id")
     postings = each.groupBy("district", "term", "section_id", "size").agg(F.count(F.lit(1)).alias("tf"))
-    frequencies = postings.groupBy("district", "term").agg(F.count(F.lit(1)).alias("df"))
+    # Counted over tf, so that postings and frequencies of one plan are read from one shuffle.
+    frequencies = postings.groupBy("district", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     districts = sized.groupBy("district").agg(F.count(F.lit(1)).alias("sections"), F.sum("size").alias("terms"))
     return Index(postings, frequencies, districts)
 
@@ -77,19 +83,22 @@ def retrieve(index: Index, questions: DataFrame, k: int, text: str = "text") ->
     questions(question_id, district, text), within its district; ties go to the smaller id.
 
     Sections that share no weighing term with the question are not listed. Only terms that are
-    asked in a district are read, rows are scored before they meet, and each task keeps no more
-    than ``k`` sections of a question.
+    asked in a district are read: where the asked ones are at most ``SENT``, they are sent to every
+    task, and an index that is not stored counts no other term and shuffles none. Rows are scored
+    before they meet, and each task keeps no more than ``k`` sections of a question.
     """
     asked = explode_costly(questions, ["question_id", "district"], F.array_distinct(text_terms(text)), "term")
-    wanted = asked.select("district", "term").distinct()
-    weighing = (
+    sent = F.broadcast if asked.count() <= SENT else lambda df: df
+    wanted = sent(asked.select("district", "term").distinct())
+    weighing = sent(
         index.frequencies.join(wanted, ["district", "term"], "left_semi")
         .join(index.districts, "district")
         .filter(F.col("df") * 2 < F.col("sections"))
     )
     part = term_part(F.col("tf"), F.col("df"), F.col("size"), F.col("sections"), F.col("terms"))
-    scored = index.postings.join(weighing, ["district", "term"]).select("district", "term", "section_id", part.alias("part"))
-    met = scored.join(asked, ["district", "term"])
+    postings = index.postings.join(wanted, ["district", "term"], "left_semi")
+    scored = postings.join(weighing, ["district", "term"]).select("district", "term", "section_id", part.alias("part"))
+    met = scored.join(sent(asked), ["district", "term"])
     sums = met.groupBy("question_id", "district", "section_id").agg(F.sum("part").alias("score"))
     order = [F.desc("score"), F.col("section_id")]
     best = top_k(sums, ["question_id", "district"], order, k)

@@ -99,3 +99,21 @@ def test_sections(spark):
     # Other sections may come without changing an id.
     more = spark.createDataFrame([(7, "# New\n" + GUIDE)], "doc_id int, text string")
     assert {r["section_id"] for r in got} < {r["section_id"] for r in guide_sections(more).collect()}
+
+
+def test_only_asked_terms_are_shuffled(spark, monkeypatch):
+    texts = [(f"d{i % 3}", f"s{i:03d}", f"word{i % 7} other{i} more{i % 5} last{i * 3 % 11}") for i in range(90)]
+    questions = [(i, f"d{i % 4}", f"word{i} last{i}") for i in range(12)]
+    sections = spark.createDataFrame(texts, "district string, section_id string, text string")
+    asked = spark.createDataFrame(questions, "question_id int, district string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for sent, semi in ((100, 2), (1, 0)):
+            monkeypatch.setattr(R, "SENT", sent)
+            found = R.retrieve(R.build_index(sections), asked, 4)
+            # Postings and their frequencies meet the asked terms where these are sent.
+            assert plan_of(found).split("\n\n")[0].count("BroadcastHashJoin LeftSemi") == semi
+            assert sorted(map(tuple, found.collect())) == brute(texts, questions, 4)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
