@@ -117,3 +117,19 @@ def test_memory_of_a_very_long_text():
     tracemalloc.stop()
     assert len(place) > len(data) // repeats.LENGTH and (np.diff(place) <= repeats.LENGTH).all()
     assert most < 400 << 20
+
+
+def test_memory_of_a_shard():
+    """Suffix arrays hold 32-bit places: some 40 bytes for a byte of regions."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    parts = [rng.integers(97, 123, 768).astype(np.uint8).tobytes() for _ in range(1500)]
+    parts += [p[20:] + b"." for p in parts[:700]]
+    repeats.repeated_starts(parts[:10], 400)
+    tracemalloc.start()
+    masks = repeats.repeated_starts(parts, 400)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(int(m.sum()) for m in masks) == 1400 * (748 - 400 + 1)
+    assert most < 50 * sum(map(len, parts))
