@@ -133,3 +133,27 @@ def test_memory_of_a_shard():
     tracemalloc.stop()
     assert sum(int(m.sum()) for m in masks) == 1400 * (748 - 400 + 1)
     assert most < 50 * sum(map(len, parts))
+
+
+def test_likely_stretches_hold_all_repeated_windows():
+    for seed in (1, 2, 3):
+        parts = list(dict.fromkeys(t.encode() for _, t in texts(seed) if t and len(t.encode()) >= 40))
+        row, start, end = repeats.likely_stretches(parts, 40)
+        assert all(b < c for i, j, b, c in zip(row, row[1:], end, start[1:]) if i == j)
+        seen = Counter(p[i : i + 40] for p in parts for i in range(len(p) - 39))
+        for n, p in enumerate(parts):
+            for i in range(len(p) - 39):
+                if seen[p[i : i + 40]] > 1:
+                    assert any(a <= i and i + 40 <= b for r, a, b in zip(row, start, end) if r == n)
+    assert [len(x) for x in repeats.likely_stretches([], 40)] == [0, 0, 0]
+
+
+def test_parts_that_share_short_strings_alone_cost_no_suffix_array(docs_of):
+    random.seed(8)
+    new = lambda n: "".join(random.choice("abcdé ") for _ in range(n))
+    line, passage = new(20), new(60)
+    rows = [(i, new(60) + line + new(60)) for i in range(50)] + [(100 + i, new(50) + passage + new(50)) for i in range(2)]
+    row, start, end = repeats.likely_stretches([t.encode() for _, t in rows], 40)
+    assert set(row.tolist()) == {50, 51} and (end - start).sum() < 2 * 90
+    found = repeats.repeat_digests(docs_of(rows), length=40, gram=8).collect()
+    assert sorted(map(tuple, found)) == sorted(x[:5] for x in brute(rows, 40))
