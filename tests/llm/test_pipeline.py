@@ -102,6 +102,16 @@ def test_repeats_keep_a_text_that_also_has_no_id(spark, docs_of):
     assert [(r.doc_id, r.text) for r in corpus_pipeline.no_repeats(spark, docs, "").collect()] == rows[:1]
 
 
+def test_passages_of_over_fifty_words_go(spark, docs_of):
+    """Such a passage is often shorter than the strings that operator 10 removes."""
+    passage = " ".join(f"p{i}" for i in range(52))
+    assert len(passage) < 400
+    rows = [(i, f"{text_of(i)} {passage} {text_of(50 + i)}") for i in range(3)] + [(9, text_of(9)), (10, passage[: len(passage) // 2])]
+    kept = {r.doc_id: r for r in corpus_pipeline.no_repeats(spark, docs_of(rows), "").collect()}
+    assert {i: r.text for i, r in kept.items()} == dict([(i, f"{text_of(i)}  {text_of(50 + i)}") for i in range(3)] + rows[3:])
+    assert all(r.n_chars == len(r.text) for r in kept.values())
+
+
 def test_benchmark_without_id(spark, docs_of, tmp_path):
     item = text_of(9, 20)
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")

@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -157,3 +158,65 @@ def test_parts_that_share_short_strings_alone_cost_no_suffix_array(docs_of):
     assert set(row.tolist()) == {50, 51} and (end - start).sum() < 2 * 90
     found = repeats.repeat_digests(docs_of(rows), length=40, gram=8).collect()
     assert sorted(map(tuple, found)) == sorted(x[:5] for x in brute(rows, 40))
+
+
+def without_runs(rows, words):
+    """What is left of texts without the runs of ``words`` words that begin at two places, by brute force."""
+    raw = [(t or "").encode() for _, t in rows]
+    found = [[(m.start(), m.end(), m.group().lower()) for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", b)] for b in raw]
+    seen = Counter(tuple(w[2] for w in ws[i : i + words]) for ws in found for i in range(len(ws) - words + 1))
+    out = []
+    for b, ws in zip(raw, found):
+        cover = bytearray(len(b))
+        for i in range(len(ws) - words + 1):
+            if seen[tuple(w[2] for w in ws[i : i + words])] > 1:
+                cover[ws[i][0] : ws[i + words - 1][1]] = b"\1" * (ws[i + words - 1][1] - ws[i][0])
+        out.append(bytes(x for x, c in zip(b, cover) if not c).decode())
+    return out
+
+
+def test_runs_of_words_that_occur_again(docs_of, monkeypatch):
+    random.seed(9)
+    pick = lambda n: [random.choice("aé bé the of it wörd x1 On Ex".split()) + str(random.randrange(90)) for _ in range(n)]
+    passage, other = pick(12), pick(30)
+    rows = [" ".join(pick(20) + passage + pick(20)), ", ".join(pick(3) + passage).upper().replace("É", "é").replace("Ö", "ö") + "."]
+    rows += [" ".join(pick(5) + passage[:10]), " ".join(passage[:9] + pick(5)), " ".join(other), " ".join(pick(4) + other[3:25] + pick(4))]
+    rows += ["to " * 11, "so " * 10, " ".join(pick(200) + other[:12] + pick(200)), " ".join(pick(300)), "", None, "9", "-" * 300]
+    rows = list(enumerate(rows))
+    for step in (repeats.LONG_STEP, 200):
+        monkeypatch.setattr(repeats.word_anchor_rows, "__defaults__", (step,))
+        monkeypatch.setattr(repeats.word_runs, "__defaults__", (step,))
+        found = {r.doc_id: r.text for r in repeats.without_repeats(docs_of(rows), length=2000, words=10).collect()}
+        for (doc, text), left in zip(rows, without_runs(rows, 10)):
+            assert found[doc] == (text if left == (text or "") else left or None)
+    assert sum(found[doc] != text for doc, text in rows) == 7
+
+
+def test_copies_and_bytes_beside_runs_of_words(docs_of):
+    random.seed(10)
+    new = lambda n: "".join(random.choice("abcdé") for _ in range(n))
+    word, copy = new(50), " ".join(new(3) for _ in range(12)) + "!"
+    rows = [(1, new(9) + word + new(9)), (2, word + new(20)), (3, copy), (None, copy), (4, "few words"), (4, "few words"), (5, None)]
+    found = repeats.without_repeats(docs_of(rows), length=40, gram=8, words=10).collect()
+    kept = brute(rows, 40)
+    want = [(i, kept[n][5].decode("utf-8", "ignore")) for n, (i, _) in enumerate(rows[:2])] + [(3, None), (None, None), *rows[4:]]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in found))) == sorted(map(str, want))
+
+
+def test_long_texts_have_the_same_runs_of_words_in_pieces():
+    random.seed(11)
+    text = " ".join(random.choice(["a", "bé", "Some", "x" * 90]) + random.choice(["", ".", "  "]) for _ in range(120))
+    column = pa.array([text])
+
+    def runs(step):
+        out = []
+        for begin, data, offsets, shift in repeats._word_steps(column, 7, step):
+            found, _, least = repeats._word_windows(data, offsets, 7, 3)
+            at = np.flatnonzero(least)
+            out += [(begin, a + shift, b + shift, h) for a, b, h in zip(found.start[at], found.end[at + 6], least[at])]
+        return out
+
+    whole = runs(1 << 20)
+    assert len(whole) == len(re.findall(r"\w+", text)) - 6
+    for step in (1, 50, 333, 1000):
+        assert runs(step) == whole
