@@ -49,6 +49,9 @@ BLOCK_ROWS = 512
 BLOCK_SHINGLES = 4096
 #: Texts for each task that looks for equal segments.
 TASK_TEXTS = 8000
+#: Texts for each file of a staged table, and the number of files from which that counts.
+FILE_TEXTS = 16000
+LEAST_FILES = 8
 #: Steps of a text column hold at most so many rows, which leaves 52 bits for a shingle.
 STEP_ROWS = 4096
 #: Bytes of a long text that are looked at together.
@@ -392,7 +395,8 @@ def jaccard_components(
     count = rows.count()
     plan = bands(count, percent)
     tasks = max(32, count // TASK_TEXTS)
-    found = stage(_shared_segments(_signature_rows(texts, plan, n_words, tasks)), "jaccard-segments")
+    files = max(LEAST_FILES, count // FILE_TEXTS)
+    found = stage(_shared_segments(_signature_rows(texts, plan, n_words, tasks)), "jaccard-segments", files)
 
     sizes = found.filter("kind = 0").groupBy(F.col("a").alias("doc")).agg(F.max("size").alias("n_shingles"))
     # Each set gives up its most crowded segments, as many as its band can spare.
@@ -406,9 +410,9 @@ def jaccard_components(
     # Two linked sets share more segments than can be given up.
     least = F.element_at(F.array([F.lit(int(x)) for x in plan.spare + 1 - 2 * plan.deletions]), F.col("band") + 1)
     enough = F.sum(F.when(~F.col("fixed"), F.col("n")).otherwise(0)).over(W.partitionBy("doc", "band")) >= least
-    members = stage(members.withColumn("chosen", chosen).withColumn("enough", enough).filter("enough"), "jaccard-lists")
+    members = stage(members.withColumn("chosen", chosen).withColumn("enough", enough).filter("enough"), "jaccard-lists", files)
     needed = members.groupBy("list").agg(F.max("chosen").alias("any")).filter("any").select("list")
-    members = stage(members.join(needed, "list", "left_semi").select("list", "doc", "chosen", "size"), "jaccard-lists")
+    members = stage(members.join(needed, "list", "left_semi").select("list", "doc", "chosen", "size"), "jaccard-lists", files)
     few = members.filter(F.col("size") <= FEW)
     pairs = few.select("list", F.col("doc").alias("a"), F.col("chosen").alias("a_chosen")).join(
         few.select("list", F.col("doc").alias("b"), F.col("chosen").alias("b_chosen")), "list"
@@ -417,25 +421,25 @@ def jaccard_components(
     docs_met = members.select("doc").distinct()
     mine = source.join(docs_met.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi")
     mine = mine.groupBy("doc_id").agg(F.min_by("text", text_key()).alias("text"))
-    sets = stage(_sets(mine, n_words), "jaccard-sets")
+    sets = stage(_sets(mine, n_words), "jaccard-sets", files)
 
     members = members.filter(F.col("size") > FEW)
     centre = members.groupBy("list").agg(F.min("doc").alias("b"))
     stars = members.filter("chosen").join(centre, "list").select(F.col("doc").alias("a"), "b").filter("a != b")
-    links = stage(_verified(pairs.union(stars).distinct(), sets, percent), "jaccard-links")
-    labels = components(links)
+    links = stage(_verified(pairs.union(stars).distinct(), sets, percent), "jaccard-links", files)
+    labels = components(links, files)
     labelled = members.join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left").select(
         "list", "doc", F.coalesce("root", "doc").alias("root")
     )
     split = labelled.groupBy("list").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.min("doc").alias("b")
     ).filter("low < high")
-    open_lists = stage(labelled.join(split.select("list", "b"), "list").select(F.col("doc").alias("a"), "b"), "jaccard-open")
+    open_lists = stage(labelled.join(split.select("list", "b"), "list").select(F.col("doc").alias("a"), "b"), "jaccard-open", files)
     if not open_lists.isEmpty():
         # What shares such segments is compared in blocks; a group of one document is none.
-        groups = components(open_lists)
+        groups = components(open_lists, files)
         links = links.union(_block_links(groups, sets, percent))
-        labels = components(links)
+        labels = components(links, files)
 
     told = rows.join(owners, "key").join(sizes, "doc").join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "doc"))

@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from rollatlas.llm import components as components_module
 from rollatlas.llm import jaccard
 from rollatlas.llm.components import components
 
@@ -123,3 +124,31 @@ def test_texts_under_one_id_give_one_result_each_time(docs_of):
     docs = [(1, one), (1, two), (2, one), (3, two)]
     got = [sorted(map(tuple, jaccard.jaccard_components(docs_of(docs[i:] + docs[:i])).collect())) for i in range(3)]
     assert got[0] == got[1] == got[2]
+
+
+def test_staged_tables_are_few_files(spark, docs_of, monkeypatch):
+    """Files of a table follow the number of texts, not of shuffle partitions."""
+    written = []
+    plain = jaccard.stage
+
+    def counted(df, label, *files):
+        made = plain(df, label, *files)
+        written.append((label, len(made.inputFiles())))
+        return made
+
+    monkeypatch.setattr(jaccard, "stage", counted)
+    monkeypatch.setattr(components_module, "stage", counted)
+    monkeypatch.setattr(jaccard, "LEAST_FILES", 2, raising=False)
+    settings = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    rows = families(5)
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = jaccard.jaccard_components(docs_of(rows).coalesce(1)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, 4, 85)
+    assert {label for label, _ in written} >= {"jaccard-sets", "jaccard-links", "component-hooks"}
+    assert all(n <= 2 for _, n in written), written
