@@ -329,11 +329,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _block_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _met_blocks(groups: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
+    """(doc, group, low, high): the pairs of blocks that each document of (node, root) takes part in.
+
+    A group is dealt into blocks, and a document has a row for every block of its group. The
+    documents are few bytes that would all be read by one task, so they are dealt out to ``tasks``
+    before these rows are made.
+    """
+    members = groups.select(F.col("node").alias("doc"), F.col("root").alias("group"))
+    sized = members.join(sets.select("doc", F.octet_length("shingles").cast("long").alias("bytes")), "doc")
+    most = F.greatest(F.sum("bytes") / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_ROWS)
+    blocks = sized.groupBy("group").agg(F.ceil(most).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    dealt = members.join(blocks, "group").repartition(tasks, "doc").withColumn("own", own).select(
+        "doc", "group", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    )
+    return dealt.select("doc", "group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+
+def _block_links(groups: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Links that join what is similar enough within each group of (node, root).
 
-    A group is dealt into blocks; every two blocks meet in one task, which counts the shingles
-    that their documents share as a product of 0/1 matrices and returns a tree for each cluster.
+    Every two blocks of a group meet in one task, which counts the shingles that their documents
+    share as a product of 0/1 matrices and returns a tree for each cluster.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -367,15 +385,7 @@ def _block_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         moved = label != np.arange(len(parts))
         return pa.table({"a": docs[moved], "b": docs[label[moved]]})
 
-    members = groups.select(F.col("node").alias("doc"), F.col("root").alias("group"))
-    sized = members.join(sets.select("doc", F.octet_length("shingles").cast("long").alias("bytes")), "doc")
-    most = F.greatest(F.sum("bytes") / BLOCK_BYTES, F.count(F.lit(1)) / BLOCK_ROWS)
-    blocks = sized.groupBy("group").agg(F.ceil(most).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    dealt = members.join(blocks, "group").withColumn("own", own).select(
-        "doc", "group", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    )
-    met = dealt.select("doc", "group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    met = _met_blocks(groups, sets, tasks)
     return met.join(sets, "doc").groupBy("group", "low", "high").applyInArrow(run, "a long, b long")
 
 
@@ -438,7 +448,7 @@ def jaccard_components(
     if not open_lists.isEmpty():
         # What shares such segments is compared in blocks; a group of one document is none.
         groups = components(open_lists, files)
-        links = links.union(_block_links(groups, sets, percent))
+        links = links.union(_block_links(groups, sets, percent, tasks))
         labels = components(links, files)
 
     told = rows.join(owners, "key").join(sizes, "doc").join(labels.select(F.col("node").alias("doc"), "root"), "doc", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rollatlas.llm import components as components_module
 from rollatlas.llm import jaccard
@@ -152,3 +153,21 @@ def test_staged_tables_are_few_files(spark, docs_of, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, 4, 85)
     assert {label for label, _ in written} >= {"jaccard-sets", "jaccard-links", "component-hooks"}
     assert all(n <= 2 for _, n in written), written
+
+
+def test_rows_of_a_large_group_are_made_in_several_tasks(spark, monkeypatch):
+    """A group has a row for each document and block, which grow with the square of its size."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
+    groups = spark.createDataFrame([(i, 0) for i in range(40)] + [(100 + i, 100) for i in range(3)], "node long, root long")
+    sets = spark.createDataFrame([(i, bytearray(8)) for i in [*range(40), *range(100, 103)]], "doc long, shingles binary")
+    met = jaccard._met_blocks(groups, sets, 4)
+    rows = [(r.doc, r.group, r.low, r.high) for r in met.collect()]
+    # Ten blocks of the one group and a single one of the other.
+    assert len(rows) == len(set(rows)) == 40 * 10 + 3
+    together = {}
+    for doc, group, low, high in rows:
+        together.setdefault((group, low, high), set()).add(doc)
+    pairs = {(a, b) for docs in together.values() for a in docs for b in docs if a < b}
+    assert pairs == {(a, b) for b in range(40) for a in range(b)} | {(100, 101), (100, 102), (101, 102)}
+    tasks = {r.task for r in met.select(F.spark_partition_id().alias("task")).collect()}
+    assert len(tasks) > 1
